@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, line_dedup
+from coursewright.llm import chat, langid, line_dedup, media, packing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op4_language_id": langid.op4_language_id,
+    "op5_packing": packing.op5_packing,
+    "op6_media_columns": media.op6_media_columns,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }

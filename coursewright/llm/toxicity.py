@@ -18,7 +18,7 @@ from coursewright.llm.common import arrow_map, fold, table
 TOXIC_ROWS, ORDINARY_ROWS = 2_500, 5_000
 SAMPLE_CHARS = 6_000
 #: Bytes of a window, and of the dictionaries trained on ordinary and on toxic text.
-WINDOW = 256
+WINDOW = 96
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 4_096
 #: Characters of a fragment that tells toxic from ordinary text.
 GRAM = 5
@@ -91,21 +91,41 @@ def _train(size: int, samples: list[bytes]) -> bytes:
     return content[at:] if at >= 0 else content
 
 
-def toxic_fragments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words of the toxic texts that hold a run of ``GRAM`` letters found in several of them and in no ordinary one."""
-    seen: Counter[str] = Counter()
+def _grams(word: str) -> set[str]:
+    w = f" {word} "
+    return {w[k : k + GRAM] for k in range(max(1, len(w) - GRAM + 1))}
+
+
+def toxic_fragments(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
+    """What recurs in words of the toxic texts and is in no ordinary text.
+
+    A run of ``GRAM`` characters counts once for each word it follows, so the
+    same passage in many copies of a text counts once. A word's start and end
+    count as characters. Each word is trimmed to its runs that recur; the
+    result counts these fragments by the contexts of their best run.
+    """
     plain: set[str] = set()
-    grams = lambda t: {w[k : k + GRAM] for w in set(t.lower().split()) for k in range(len(w) - GRAM + 1)} | {f" {w} " for w in set(t.lower().split()) if len(w) < GRAM}
     for t in ordinary:
-        plain |= grams(t)
-    for t in toxic:
-        seen.update(grams(t) - plain)
-    least = max(3, len(toxic) // 200)
-    telling = {g for g, n in seen.items() if n >= least}
-    out = []
+        for w in set(t.lower().split()):
+            plain |= _grams(w)
+    contexts: dict[str, set[str]] = {}
+    inner: dict[str, set[str]] = {}
     for t in toxic:
-        words = [w for w in t.lower().split() if any(w[k : k + GRAM] in telling for k in range(len(w) - GRAM + 1)) or f" {w} " in telling]
-        out += [f" {w} ".encode() for w in words]
+        words = t.lower().split()
+        for before, w in zip(["", *words], words):
+            fresh = _grams(w) - plain
+            if fresh:
+                inner[w] = fresh
+            for g in fresh:
+                contexts.setdefault(g, set()).add(before)
+    least = max(3, len(toxic) // 150)
+    out: Counter[bytes] = Counter()
+    for w in inner:
+        whole = f" {w} "
+        strong = [k for k in range(len(whole) - GRAM + 1) if len(contexts.get(whole[k : k + GRAM], ())) >= least]
+        if strong:
+            n = max(len(contexts[whole[k : k + GRAM]]) for k in strong)
+            out[whole[strong[0] : strong[-1] + GRAM].encode()] = n
     return out
 
 
@@ -124,12 +144,10 @@ def fit_distance(rows: list[tuple[int, str]]) -> DistanceModel:
     samples = [w for t in ordinary[:1500] for w in windows_of(t)]
     model = DistanceModel(b"", b"", np.zeros(4), np.ones(4), np.zeros(4), -3.0)
     model.ordinary = _train(ORDINARY_BYTES, samples) if samples else b""
-    fragments = toxic_fragments(toxic, ordinary)
-    if not fragments:
+    counts = toxic_fragments(toxic, ordinary)
+    if not counts:
         return model
-    counts = Counter(fragments)
-    repeated = [f for f, n in counts.most_common() for _ in range(min(n, 50))]
-    model.toxic = _toxic_content(counts, repeated)
+    model.toxic = _toxic_content(counts)
     plain, better = model.compressors()
     x = np.array([text_features(t, plain, better) for _, t in rest])
     y = np.array([float(bool(v)) for v, _ in rest])
@@ -146,11 +164,12 @@ def fit_distance(rows: list[tuple[int, str]]) -> DistanceModel:
     return model
 
 
-def _toxic_content(counts: Counter[bytes], repeated: list[bytes]) -> bytes:
-    """The trained toxic dictionary, with the most frequent fragments last, where matches are cheapest."""
-    trained = _train(TOXIC_BYTES // 2, repeated) if len(counts) >= 8 else b""
+def _toxic_content(counts: Counter[bytes]) -> bytes:
+    """The dictionary trained on the fragments by weight, and the weightiest of them last, where matches are cheapest."""
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    trained = _train(TOXIC_BYTES // 2, [f for f, n in ranked[:2000] for _ in range(min(n, 50))]) if len(ranked) >= 8 else b""
     top, size = [], 0
-    for f, _ in counts.most_common():
+    for f, _ in ranked:
         if size + len(f) > TOXIC_BYTES // 2:
             break
         top.append(f)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity
+from coursewright.llm import chat, decontam, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
     "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,

@@ -71,37 +71,42 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, more: tuple[int, int] | None = None) -> DataFrame:
     """``id, f0 .. f<lanes-1>``: the SimHash of each text's word shingles, 64 bits a lane.
 
-    Null texts and texts without a word have fingerprint zero. One output row
-    per input row.
+    ``more`` adds ``g0 ..``: (words, lanes) of a second one. Null texts and
+    texts without a word have fingerprint zero. One output row per input row.
     """
+    kinds = [("f", words, lanes), *([("g", *more)] if more else [])]
+    names = [f"{c}{k}" for c, _, n in kinds for k in range(n)]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done: list[list[np.ndarray]] = []
-        held, sizes, total = [], [], 0
+        held: list[list[np.ndarray]] = [[] for _ in kinds]
+        total = 0
 
         def flush() -> None:
-            nonlocal held, sizes, total
-            if sizes:
-                h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                done.append([majority_bits(lane(h, k), np.array(sizes)) for k in range(lanes)])
-                held, sizes, total = [], [], 0
+            nonlocal held, total
+            if held[0]:
+                prints = []
+                for h, (_, _, n) in zip(held, kinds):
+                    flat, sizes = np.concatenate(h), np.array([len(x) for x in h])
+                    prints += [majority_bits(lane(flat, k), sizes) for k in range(n)]
+                done.append(prints)
+                held, total = [[] for _ in kinds], 0
 
         for t in batch.column(1).to_pylist():
-            h = shingle_hashes(t, words)
-            held.append(h)
-            sizes.append(len(h))
-            total += len(h)
+            for h, (_, n, _) in zip(held, kinds):
+                h.append(shingle_hashes(t, n))
+            total += len(held[0][-1])
             if total > 100_000:
                 flush()
         flush()
-        cols = [pa.array(np.concatenate([d[k] for d in done]).view(np.int64)) for k in range(lanes)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *(f"f{k}" for k in range(lanes))])
+        cols = [pa.array(np.concatenate([d[k] for d in done]).view(np.int64)) for k in range(len(names))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return arrow_map(d, run, f"id {dict(d.dtypes)['id']}, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return arrow_map(d, run, f"id {dict(d.dtypes)['id']}, " + ", ".join(f"{c} long" for c in names))
 
 
 # The index
@@ -353,45 +358,55 @@ def _hex(c: Column) -> Column:
 
 # Near duplicates by shingle similarity
 
-#: Lanes of the wide fingerprint: the first two are compared, the others make keys of 16 bits.
+#: Lanes over three-word shingles: two are compared to find candidates, the others make keys of 16 bits.
 WIDE, COMPARED = 12, 2
-#: Bits of 128 in which texts of five-word similarity 0.8 differ at most (mean 15 on three-word shingles, plus 2.3 deviations).
+#: Bits of those 128 in which texts of five-word similarity 0.8 differ at most (mean 15, plus 2.3 deviations).
 WIDE_RADIUS = 24
+#: Lanes over five-word shingles that decide, and the bits of them that texts of similarity 0.8 differ in at most (mean 77, plus 1.7 deviations).
+FINE, FINE_RADIUS = 8, 90
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, most: int = MOST_IN_GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = FINE_RADIUS, most: int = MOST_IN_GROUP) -> DataFrame:
     """``id, component_id`` of every document, linking texts whose five-word shingles have a similarity of 0.8 or more.
 
-    A pair of such texts differs in about 12 % of the bits of a fingerprint
-    over three-word shingles. 768 bits are kept: 40 keys of 16 bits find the
-    pair (it agrees in one of them with a probability over 0.99), and the Gray
-    index compares the other 128 bits. Similarity is estimated, not verified:
-    pairs down to 0.7 may be linked, unrelated texts are not (they differ in
-    half of the bits, 7 deviations away). A key's group of more than ``most``
-    rows is dealt over pairs of keys; what is still larger is searched as it is.
-    Null and empty texts are copies of each other. A null id is never the
-    smallest unless all are null; an empty table gives an empty result.
+    Candidates: a pair of such texts differs in about 12 % of the bits of a
+    fingerprint over three-word shingles. Of 768 bits, 40 keys of 16 find the
+    pair (it agrees in one with a probability over 0.99), and the Gray index
+    compares the other 128. Decision: within each group of candidates the
+    index compares 512 bits over five-word shingles, of which such texts differ
+    in 77 on average. The similarity is estimated so to about 0.04, not
+    counted: pairs just under 0.8 may be linked; texts that share half of their
+    shingles are 4 deviations away. A group of more than ``most`` rows is dealt
+    over pairs of keys. Null and empty texts are copies of each other. A null
+    id is never the smallest unless all are null; an empty table gives an
+    empty result.
     """
-    lanes = [f"f{k}" for k in range(WIDE)]
-    every = cut_lineage(fingerprints(docs, id_col, text_col, 3, WIDE).select("id", F.xxhash64(*lanes).alias("node"), *lanes))
-    prints = cut_lineage(every.groupBy("node").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in lanes]))
-    short = [F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in lanes[COMPARED:] for k in range(4)]
-    keyed = prints.withColumn("keys", F.array(*short)).select("node", *lanes[:COMPARED], "keys", F.posexplode("keys").alias("mask", "bits"))
-    lean = keyed.select("node", *lanes[:COMPARED], F.col("mask").cast("long").alias("mask"), "bits")
-    big = cut_lineage(lean.groupBy("mask", "bits").count().where(F.col("count") > most).drop("count"))
-    if big.isEmpty():
-        edges = _search(lean, COMPARED, radius)
-    else:
-        rest = _search(lean.join(big, ["mask", "bits"], "left_anti"), COMPARED, radius)
-        hot = keyed.join(big, ["mask", "bits"], "left_semi")
-        others = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.struct(k.alias("k"), F.get("keys", (F.col("mask") + 3 * k) % len(short)).alias("v")))
-        second = hot.select("node", *lanes[:COMPARED], "mask", "bits", F.explode(others).alias("o"))
-        second = second.select("node", *lanes[:COMPARED], (F.col("mask") * 64 + F.col("o.k") + 1000).cast("long").alias("mask"), (F.col("bits") * 65536 + F.col("o.v")).alias("bits"))
-        edges = rest.union(_search(second, COMPARED, radius))
-    labels = components_of(prints, edges)
+    wide, fine = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(FINE)]
+    every = cut_lineage(fingerprints(docs, id_col, text_col, 3, WIDE, more=(5, FINE)).select("id", F.xxhash64(*wide, *fine).alias("node"), *wide, *fine))
+    prints = cut_lineage(every.groupBy("node").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*wide, *fine)]))
+    short = F.array(*[F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in wide[COMPARED:] for k in range(4)])
+    keyed = prints.select("node", *wide[:COMPARED], short.alias("keys")).select("node", *wide[:COMPARED], "keys", F.posexplode("keys").alias("mask", "bits"))
+    edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, WIDE_RADIUS, most)
+    groups = connected_components(edges)
+    rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], short.alias("keys"), F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
+    labels = components_of(prints, _by_keys(cut_lineage(rows), FINE, radius, most))
     return every.select("id", "node").join(labels, "node").select("id", "component_id")
 
 
+def _by_keys(keyed: DataFrame, lanes: int, radius: int, most: int) -> DataFrame:
+    """Edges within the groups ``mask, bits``; a group of more than ``most`` rows is dealt by 12 of its rows' ``keys``."""
+    prints = [f"f{k}" for k in range(lanes)]
+    big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most).drop("count"))
+    lean = keyed.select("node", *prints, "mask", "bits")
+    if big.isEmpty():
+        return _search(lean, lanes, radius)
+    hot = keyed.join(big, ["mask", "bits"], "left_semi")
+    others = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.struct(k.alias("k"), F.get("keys", ((F.col("mask") + 3 * k) % F.size("keys")).cast("int")).alias("v")))
+    second = hot.select("node", *prints, "mask", "bits", F.explode(others).alias("o"))
+    second = second.select("node", *prints, (F.col("mask") * 64 + F.col("o.k") + 1000).alias("mask"), F.xxhash64("bits", "o.v").alias("bits"))
+    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, radius).union(_search(second, lanes, radius))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates, the document with the smallest id.
 

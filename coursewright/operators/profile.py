@@ -93,19 +93,15 @@ def text_patterns(df: DataFrame, column: str, order: str, rows: int = 100) -> Da
     return to_rows(sample.agg(*[F.round(F.avg(x.cast("double")) * 100, 4).alias(n) for n, x in forms.items()]), [(n, n) for n in forms], ("form", "pct"))
 
 
-def ngrams(t: Column, n: int) -> Column:
-    """Runs of ``n`` tokens joined by spaces."""
-    if n == 1:
-        return t
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(t, k, n), " "))
-
-
 def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """``term, score`` with the largest summed TF-IDF over n-grams of up to ``most`` words (unnormalised weights)."""
-    t = tokens(F.col("text"))
-    grams = F.concat(*[ngrams(t, n) for n in range(1, most + 1)])
-    tf = docs.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    # each token with those after it in its text, so that no array is cut again and again
+    t = docs.select("id", F.posexplode(tokens(F.col("text"))).alias("k", "t"))
+    w = Window.partitionBy("id").orderBy("k")
+    runs = [F.concat_ws(" ", "t", *[F.lead("t", j).over(w) for j in range(1, n)]) for n in range(1, most + 1)]
+    whole = [F.lit(True), *[F.lead("t", n - 1).over(w).isNotNull() for n in range(2, most + 1)]]
+    grams = F.array(*[F.when(ok, r) for ok, r in zip(whole, runs)])
+    tf = t.select("id", grams.alias("g")).select("id", F.explode("g").alias("term")).where("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
     n = docs.agg(F.count("*").alias("n"))
     score = F.col("total") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
@@ -113,17 +109,7 @@ def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int =
 
 
 def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
-    """Each text's ``n`` most frequent tokens, in alphabetical order; ties in that order too.
-
-    Counted per text with array functions: nothing is shuffled.
-    """
-    words = F.array_sort(tokens(F.col("text")))
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
-    return docs.select("id", F.array_join(F.array_sort(F.transform(F.slice(F.array_sort(counted), 1, n), lambda s: s["w"])), ",").alias("keywords"))
-
-
-def keywords_wide(docs: DataFrame, n: int = 10) -> DataFrame:
-    """As ``keywords``, for long texts: one aggregation over (text, token)."""
+    """Each text's ``n`` most frequent tokens, in alphabetical order; ties in that order too."""
     tf = docs.select("id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
     best = tf.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), 1, n).alias("top"))
     return best.select("id", F.array_join(F.array_sort(F.transform("top", lambda s: s["w"])), ",").alias("keywords"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,6 @@ def embedding_pairs(vectors: DataFrame, threshold: float, blocks: int = 16) -> D
     own task as a matrix product, so no task holds more than two blocks and a
     vector travels once per block.
     """
-    import numpy as np
-    import pandas as pd
-
     v = vectors.where("embedding is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("embedding").cast("array<float>").alias("e"))
     a = v.select("id", "e", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
     a = a.select("id", "e", F.col("i").alias("own"), F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"))
@@ -165,7 +164,7 @@ def department_matrix(described: DataFrame) -> DataFrame:
     """Mean similarity and pairs between departments, the same in both directions; 1 on the diagonal."""
     p = described.where("dept_1 is not null and dept_2 is not null and dept_1 <> dept_2").select("dept_1", "dept_2", "score")
     both = p.union(p.select("dept_2", "dept_1", "score"))
-    off = both.groupBy("dept_1", "dept_2").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("pairs"))
+    off = both.groupBy("dept_1", "dept_2").agg(F.round(F.avg("score"), 4).alias("mean_score"), F.count("*").alias("pairs"))
     diagonal = described.select(F.explode(F.array("dept_1", "dept_2")).alias("dept_1")).where("dept_1 is not null").groupBy("dept_1").agg(F.count("*").alias("pairs"))
     return off.union(diagonal.select("dept_1", F.col("dept_1").alias("dept_2"), F.lit(1.0).alias("mean_score"), "pairs"))
 
@@ -190,8 +189,6 @@ def same_number_pairs(courses: DataFrame) -> DataFrame:
 
 def string_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``indel`` (2 LCS over both lengths, in hundredths) and ``jaro_winkler`` of two text columns, by an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def indel(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([indel_ratio(p or "", q or "") for p, q in zip(x, y)])

@@ -296,7 +296,7 @@ def _refine(rows: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame,
         nexts = F.element_at(F.create_map(*[x for m in masks for x in (literal(m), F.array(*[literal(w) for w in wider[m]]))]), F.col("mask"))
     out = rows.drop("mask", "bits").withColumn("mask", F.lit(0)) if masks == [0] else rows
     out = out.withColumn("mask", F.explode(nexts)).withColumn("bits", F.col("f0").bitwiseAND(F.col("mask")))
-    return out, [w for ws in wider.values() for w in ws]
+    return out, sorted({w for ws in wider.values() for w in ws})
 
 
 def hamming_links(prints: DataFrame, radius: int = 3, most: int = MOST_IN_GROUP) -> DataFrame:

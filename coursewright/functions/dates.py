@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright import config
@@ -51,3 +51,15 @@ def recent(c: Column, as_of: str, days: int = config.RECENT_DAYS) -> Column:
 def period_start(c: Column, unit: str) -> Column:
     """Start of the day, week, month, quarter or year (D, W, M, Q, Y)."""
     return F.date_trunc({"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}[unit], c)
+
+
+def parse_column(df: DataFrame, column: str, formats: tuple[str, ...] = config.COLUMN_DATE_FORMATS) -> DataFrame:
+    """Read a column with the first format that reads any of its values, and flag what it does not read.
+
+    One aggregate counts what each format reads.
+    """
+    t = F.trim(F.col(column).cast("string"))
+    counts = df.agg(*[F.count(F.try_to_timestamp(t, F.lit(f))).alias(f"n{k}") for k, f in enumerate(formats)]).first()
+    best = next((f for k, f in enumerate(formats) if counts[f"n{k}"]), None)
+    read = F.try_to_timestamp(t, F.lit(best)).cast("timestamp_ntz") if best else F.lit(None).cast("timestamp_ntz")
+    return df.withColumn(column, read).withColumn(f"{column}_is_valid", F.col(column).isNotNull())

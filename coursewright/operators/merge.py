@@ -155,3 +155,32 @@ def rank_sources(sources: list[tuple[str, DataFrame]]) -> list[tuple[str, DataFr
 
 def required_coverage(columns: list[str]) -> float:
     return len(set(columns) & set(config.REQUIRED_COLUMNS)) / len(config.REQUIRED_COLUMNS)
+
+
+def file_structure(df: DataFrame) -> DataFrame:
+    """Kind of a file by its columns, coverage of the required ones, and how complete and distinct its values are."""
+    kind, sure = classify_source(df.columns)
+    n = F.count("*")
+    complete = sum((F.count(F.col(f"`{c}`")) / n for c in df.columns), F.lit(0.0)) / len(df.columns)
+    distinct = sum((F.countDistinct(F.col(f"`{c}`")) / n for c in df.columns), F.lit(0.0)) / len(df.columns)
+    return df.agg(
+        F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.round(F.lit(required_coverage(df.columns)), 6).alias("coverage"), F.round(complete, 6).alias("completeness"), F.round(distinct, 6).alias("distinctness")
+    )
+
+
+def alternative_keys(df: DataFrame) -> DataFrame:
+    """Rows without a number get a key from title, type, region or place; ``key_source`` and ``key_confidence`` tell which."""
+    from coursewright.functions.text import title_key
+
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    number, title = blank("course_no"), title_key(blank("course_title"))
+    region = F.concat_ws("_", F.lit("region"), title_key(blank("region_entity")), title_key(blank("course_type")))
+    row = F.concat_ws("_", F.lit("source"), F.col("data_source"), F.col("row_no").cast("string"))
+    has_region = blank("region_entity").isNotNull() & blank("course_type").isNotNull()
+    return df.withColumns(
+        {
+            "key": F.coalesce(number, title, F.when(has_region, region), row),
+            "key_source": F.when(number.isNotNull(), "course_no").when(title.isNotNull(), "course_title").when(has_region, "region_type").otherwise("row"),
+            "key_confidence": F.when(number.isNotNull(), 1.0).otherwise(0.5),
+        }
+    )

@@ -237,3 +237,31 @@ def jaro_winkler(a: str, b: str) -> float:
             break
         prefix += 1
     return jaro + 0.1 * prefix * (1 - jaro)
+
+
+def fuzzy_titles(courses: DataFrame, least: float = 0.85, prefix: int = 3) -> DataFrame:
+    """Pairs of different titles with a Jaro-Winkler similarity of at least ``least``.
+
+    Distinct titles are compared within blocks of equal first letters, which
+    Jaro-Winkler weighs most; a title in many courses is compared once.
+    """
+    t = courses.where("title is not null and title <> ''").groupBy(F.lower(F.trim("title")).alias("title")).agg(F.count("*").alias("n"))
+    t = t.withColumn("block", F.substring("title", 1, prefix))
+    a, b = t.select("block", F.col("title").alias("title_1"), F.col("n").alias("n_1")), t.select("block", F.col("title").alias("title_2"), F.col("n").alias("n_2"))
+    pairs = string_ratio(a.join(b, "block").where("title_1 < title_2"), "title_1", "title_2")
+    return pairs.select("title_1", "title_2", "n_1", "n_2", F.round("jaro_winkler", 4).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def course_pairs(courses: DataFrame, high: float = 0.6) -> DataFrame:
+    """Course similarity from title and description embeddings of ``id, title_vec, text_vec, text_length``.
+
+    The title similarity is joined first and prunes: with weight ``w`` on the
+    title, a pair below ``(high - (1 - w)) / w`` cannot reach ``high``.
+    """
+    w = 0.4
+    need = max((high - (1 - w)) / w, -1.0)
+    pairs = embedding_pairs(courses.select("id", F.col("title_vec").alias("embedding")), need).withColumnRenamed("score", "title_score")
+    side = lambda k: courses.select(F.col("id").alias(f"id_{k}"), F.col("text_vec").alias(f"v_{k}"), F.col("text_length").alias(f"n_{k}"))
+    d = pairs.join(side(1), "id_1").join(side(2), "id_2").withColumn("text_score", F.round(cosine(F.col("v_1"), F.col("v_2")), 6))
+    score = F.round(combined_score(F.col("title_score"), F.col("text_score"), F.col("n_1"), F.col("n_2"), w), 6)
+    return d.select("id_1", "id_2", "title_score", "text_score", score.alias("score")).where(F.col("score") >= high)

@@ -64,7 +64,7 @@ def derive(df: DataFrame, as_of: str) -> DataFrame:
 
 def analyze(sources: list[tuple[str, DataFrame]], as_of: str) -> Results:
     """Clean each source, put them together, keep the latest row of each number, and describe the rest."""
-    ready = [(n, clean(d)) for n, d in merge.rank_sources(sources)]
+    ready = merge.rank_sources([(n, clean(d)) for n, d in sources])
     ready = [(n, d if "row_no" in d.columns else d.withColumn("row_no", F.monotonically_increasing_id())) for n, d in ready]
     whole = columns.synthetic_keys(columns.union_sources(ready))
     whole = derive(whole, as_of)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vectors that the driver gets at most, each a sum over tasks.
-MERGED = 6
+MERGED = 3
 
 
 def sum_vectors(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, dtype: str = "float64", sent: str | None = None) -> np.ndarray:
@@ -28,10 +28,13 @@ def sum_vectors(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([v.astype(wire).tobytes()], pa.binary())], names=["v"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype)
+        total, some = np.zeros(size, dtype), False
         for b in batches:
             for v in b.column("v"):
                 total += np.frombuffer(v.as_buffer(), wire)
+                some = True
+        if not some:
+            return
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     sent_ = df.mapInArrow(each, "v binary").withColumn("k", F.spark_partition_id() % MERGED)

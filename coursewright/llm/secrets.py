@@ -115,13 +115,12 @@ def _stratum(n: Column) -> Column:
 def choose_levels(tested: DataFrame, max_false: float = 0.05) -> dict[int, float]:
     """The loosest level for each length stratum whose estimated share of false discoveries is at most ``max_false``.
 
-    ``tested`` has ``ordinary`` (tokens of letters only, which stand for plain
-    words), ``len`` and ``p_value``. A token is discovered if its p-value
-    exceeds the level. Plain words pass a level at the rate of the ordinary
-    tokens of that stratum and all longer shares of it, so the expected number
-    of false ones is that rate times the tokens in question. The result has
-    one entry per stratum at most; a stratum in which no level qualifies has
-    none. Only these counts, one row per stratum, reach the driver.
+    ``tested`` has ``ordinary`` (words of letters only), ``len`` and
+    ``p_value``. A token is discovered if its p-value exceeds the level. Plain
+    text among the tokens in question passes a level as often as the ordinary
+    words of that length do; how much plain text there is shows in the tokens
+    that fail. The result has one entry per stratum at most, none where no
+    level qualifies. Only these counts, one row per stratum, reach the driver.
     """
     counts = [F.sum((~F.col("ordinary")).cast("long")).alias("n"), F.sum(F.col("ordinary").cast("long")).alias("m")]
     for k, a in enumerate(ALPHAS):

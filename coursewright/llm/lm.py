@@ -68,6 +68,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Vocabulary:
     """The head of the counts and the totals of all."""
 
+    least: int
     words: list[bytes]
     counts: np.ndarray
     tokens: int
@@ -87,8 +88,20 @@ class Vocabulary:
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
-    """Gather from ``word, c``: the ``HEAD`` most frequent words, totals, and one row per class."""
-    top = [(r["word"].encode(), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    """Gather from ``word, c``: the most frequent words, ``HEAD`` at most, totals, and one row per class.
+
+    A histogram over the counts' logarithms, of bounded size, tells from
+    which count on all words fit; only those reach the driver.
+    """
+    bins = counts.groupBy(F.floor(F.log2("c") * 64).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect()
+    least, room = 1 << 62, HEAD
+    for r in bins:
+        if r["n"] > room:
+            break
+        least, room = r["c"], room - r["n"]
+    head = counts.where(F.col("c") >= least).toArrow()
+    top = sorted(zip((w.encode() for w in head.column("word").to_pylist()), head.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
+    del head
     own = [w.decode() for w, _ in top[:OWN]]
     shared = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % SHARED + OWN
     k = F.lit(-1) if not own else F.coalesce(F.element_at(F.create_map(*[x for i, w in enumerate(own) for x in (F.lit(w), F.lit(i))]), F.col("word")), shared)
@@ -97,7 +110,7 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     for r in rows:
         n[r["k"]], once[r["k"]] = r["n"], r["once"]
     unseen = np.where(np.arange(CLASSES) < OWN, 0.0, np.minimum((once + 0.5) / (n + 1), 0.5))
-    return Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.int64), int(n.sum()), sum(r["v"] for r in rows), n, unseen)
+    return Vocabulary(least, [w for w, _ in top], np.array([c for _, c in top], np.int64), int(n.sum()), sum(r["v"] for r in rows), n, unseen)
 
 
 class Reader:
@@ -280,8 +293,7 @@ def score_texts(docs: DataFrame, model: EntropyModel, counts: DataFrame, id_col:
     scored = cut_lineage(d.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.n", "x.k")
     all_counts = counts.select(F.xxhash64("word").alias("h"), "c")
-    if len(v.words) == HEAD:
-        all_counts = all_counts.where(F.col("c") <= int(v.counts[-1]))
+    all_counts = all_counts.where(F.col("c") < v.least)
     c = F.coalesce("c", F.lit(0))
     pick = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("k") + 1)
     within = F.when(c > 0, F.log10(c.cast("double")) + pick(share)).otherwise(pick(np.log10(np.maximum(v.unseen, 1e-12))))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from coursewright.llm.vectors import sum_vectors
 #: The end of a text, as a token; words are never empty.
 END = b""
 #: Classes: the most frequent tokens have their own, other words share one by their last two bytes.
-OWN, SHARED = 32, 32
+OWN, SHARED = 16, 32
 CLASSES = OWN + SHARED
 #: Frequent words whose counts every task holds; rarer ones are joined. A bound, not a cut: scores do not depend on it.
 HEAD = 1 << 17
@@ -126,7 +127,7 @@ class Reader:
         words = [tokens_of(t) for t in texts]
         sizes = np.array([len(w) for w in words])
         flat = [w for ws in words for w in ws]
-        ids = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
         at = np.flatnonzero(ids < 0)
         return ids, sizes, at, [flat[k] for k in at.tolist()]
 
@@ -136,7 +137,7 @@ class Reader:
         Features: the word before, the two before it as a pair, the second and
         the third before (skips). Places before a text's start are padding.
         """
-        shared = np.fromiter(map(shared_class, rare), np.int64, len(rare))
+        shared = np.fromiter(map(zlib.crc32, [w[-2:] for w in rare]), np.int64, len(rare)) % SHARED + OWN
         known = np.maximum(ids, 0)
         if len(self.classes):
             classes, context = self.classes[known], self.contexts[known]

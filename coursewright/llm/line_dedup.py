@@ -26,7 +26,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     They are range-partitioned by (hash, document), so that a key held by a
     third of all documents spreads over several tasks, and sorted by document
     and position inside each; first occurrences come from a pre-aggregated
-    minimum per key, joined back to the duplicates only.
+    minimum per key, joined back to the duplicates only. Both sides of that
+    join are written tables, so adaptive execution can split a key's rows.
 
     Returns ``id, sig, dropped array<int>, keep_rle``; ``sig`` is the text's
     hash, which tells rows of one id apart. ``keep_rle`` is the bitmap as run
@@ -42,7 +43,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("id", "sig", "n", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     ranged = cut_lineage(keyed.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos"))
-    first = (
+    first = cut_lineage(
         ranged.groupBy("h1", "h2")
         .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("id").isNull()).alias("has_null"))
         .where("first_id < last_id or (has_null and first_id is not null)")
@@ -94,12 +95,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, with only its first occurrences of shared lines."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs))
-    text = F.when(F.col("n_dropped") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    out = apply_bitmaps(rows, keep_bitmaps(docs))
+    lost = F.col("n_dropped") > 0
+    text = F.when(lost, F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(lost, F.length(text)).otherwise(F.col("__row.n_chars")).cast("long")} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -140,8 +140,7 @@ def fit_chains(lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3,
     ids: dict[str, int] = {}
     coded = [np.array([ids.setdefault(w, len(ids)) for w in c]) for _, c in chains]
     labels = np.array([y for y, _ in chains])
-    features = word_features(list(ids))
-    features = features[:, (features != 0).any(axis=0)]
+    features = _features_of_all(list(ids))
     seen_w, seen_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -201,6 +200,14 @@ def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str,
     return out
 
 
+def _features_of_all(words: list[str], part: int = 8_000) -> np.ndarray:
+    """Features of many words, made part by part to keep the intermediate arrays small."""
+    out = np.zeros((len(words), word_features(["a"]).shape[1]), np.int32)
+    for a in range(0, len(words), part):
+        out[a : a + part] = word_features(words[a : a + part])
+    return out[:, (out != 0).any(axis=0)] if not (out != 0).any(axis=0).all() else out
+
+
 class _Lexicon(dict):
     """Row of each word in a table of emissions that is filled batch by batch."""
 

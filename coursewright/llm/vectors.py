@@ -9,34 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that the driver gets at most, each a sum over tasks.
-MERGED = 3
+#: Vectors that one merging task reads, and that the driver gets, at most or nearly so.
+FAN_IN, MERGED = 16, 4
 
 
-def sum_vectors(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, dtype: str = "float64", sent: str | None = None) -> np.ndarray:
+def sum_vectors(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, dtype: str = "float64", sent: str | None = None, tasks: int | None = None) -> np.ndarray:
     """Sum over all tasks of the vector of ``size`` that ``fn`` makes of a task's batches.
 
     Tasks send their vector as bytes of type ``sent`` (``dtype`` unless
-    given); the sums are formed in ``MERGED`` tasks that hold one vector each,
-    so memory does not depend on the number of tasks.
+    given). The sums are formed as a tree: each merging task reads about
+    ``FAN_IN`` vectors and holds one, so neither it nor the driver depends on
+    the number of tasks. Pass ``tasks`` where ``df`` is not a plain scan, since
+    counting its partitions would run it.
     """
     wire = sent or dtype
+    n = tasks or df.rdd.getNumPartitions()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = fn(batches)
         if v is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v.astype(wire).tobytes()], pa.binary())], names=["v"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(size, dtype), False
-        for b in batches:
-            for v in b.column("v"):
-                total += np.frombuffer(v.as_buffer(), wire)
-                some = True
-        if not some:
-            return
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
-
-    sent_ = df.mapInArrow(each, "v binary").withColumn("k", F.spark_partition_id() % MERGED)
-    rows = sent_.repartition(MERGED, "k").select("v").mapInArrow(merge, "v binary").collect()
+    def merge(wire: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, some = np.zeros(size, dtype), False
+            for b in batches:
+                for v in b.column("v"):
+                    total += np.frombuffer(v.as_buffer(), wire)
+                    some = True
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        return run
+
+    vectors = df.mapInArrow(each, "v binary")
+    while True:
+        n = max(1, -(-n // FAN_IN))
+        keyed = vectors.withColumn("k", F.spark_partition_id() % n)
+        vectors = keyed.repartition(n, "k").select("v").mapInArrow(merge(wire), "v binary")
+        wire = dtype
+        if n <= MERGED:
+            break
+    rows = vectors.collect()
     return np.sum([np.frombuffer(r["v"], dtype) for r in rows], axis=0) if rows else np.zeros(size, dtype)

@@ -302,6 +302,28 @@ def test_leaks(spark):
     assert decontam.find_leaks(d, b.limit(0)).count() == 0 and decontam.find_leaks(d.limit(0), b).count() == 0
 
 
+def _vocabulary(rnd, n):
+    return ["".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_leaks_of_a_hot_item(spark):
+    """A third of all rows hold one item, so its words are in over a third of the documents."""
+    rnd = random.Random(31)
+    words = _vocabulary(rnd, 3000)
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [f"{text(20)}. {text(12)}." for _ in range(4)]
+    rows, want = [], set()
+    for k in range(120):
+        item = 0 if k % 3 == 0 else k if k < 4 else None
+        rows.append((k, text(80) if item is None else f"{text(30)} {items[item]} {text(45)}"))
+        want |= set() if item is None else {(k, item)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = decontam.find_leaks(d, b).collect()
+    assert {(r["id"], r["item_id"]) for r in got} == want
+    assert all(r["answer"] == 1 for r in got)
+
+
 def test_common_subsequence():
     rnd = random.Random(11)
     for _ in range(50):

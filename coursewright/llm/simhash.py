@@ -376,8 +376,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index compares 512 bits over five-word shingles, of which such texts differ
     in 77 on average. The similarity is estimated so to about 0.04, not
     counted: pairs just under 0.8 may be linked; texts that share half of their
-    shingles are 4 deviations away. A group of more than ``most`` rows is dealt
-    over pairs of keys. Null and empty texts are copies of each other. A null
+    shingles are 4 deviations away. A group of more than ``most`` rows is searched
+    by pairs of its parts, with the same links. Null and empty texts are copies of each other. A null
     id is never the smallest unless all are null; an empty table gives an
     empty result.
     """
@@ -385,25 +385,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = cut_lineage(fingerprints(docs, id_col, text_col, 3, WIDE, more=(5, FINE)).select("id", F.xxhash64(*wide, *fine).alias("node"), *wide, *fine))
     prints = cut_lineage(every.groupBy("node").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*wide, *fine)]))
     short = F.array(*[F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in wide[COMPARED:] for k in range(4)])
-    keyed = prints.select("node", *wide[:COMPARED], short.alias("keys")).select("node", *wide[:COMPARED], "keys", F.posexplode("keys").alias("mask", "bits"))
+    keyed = prints.select("node", *wide[:COMPARED], F.posexplode(short).alias("mask", "bits"))
     edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, WIDE_RADIUS, most)
     groups = connected_components(edges)
-    rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], short.alias("keys"), F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
+    rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
     labels = components_of(prints, _by_keys(cut_lineage(rows), FINE, radius, most))
     return every.select("id", "node").join(labels, "node").select("id", "component_id")
 
 
 def _by_keys(keyed: DataFrame, lanes: int, radius: int, most: int) -> DataFrame:
-    """Edges within the groups ``mask, bits``; a group of more than ``most`` rows is dealt by 12 of its rows' ``keys``."""
+    """Edges within the groups ``mask, bits``.
+
+    A group of more than ``most`` rows is cut into parts of about half as many,
+    and each two parts are searched together, so that every pair meets.
+    """
     prints = [f"f{k}" for k in range(lanes)]
-    big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most).drop("count"))
+    big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most))
     lean = keyed.select("node", *prints, "mask", "bits")
     if big.isEmpty():
         return _search(lean, lanes, radius)
-    hot = keyed.join(big, ["mask", "bits"], "left_semi")
-    others = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.struct(k.alias("k"), F.get("keys", ((F.col("mask") + 3 * k) % F.size("keys")).cast("int")).alias("v")))
-    second = hot.select("node", *prints, "mask", "bits", F.explode(others).alias("o"))
-    second = second.select("node", *prints, (F.col("mask") * 64 + F.col("o.k") + 1000).alias("mask"), F.xxhash64("bits", "o.v").alias("bits"))
+    n_parts = F.ceil(2 * F.col("count") / F.lit(most)).cast("long")
+    hot = lean.join(big.select("mask", "bits", n_parts.alias("n")), ["mask", "bits"])
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("part <> other")
+    pair = F.xxhash64("bits", F.least("part", "other"), F.greatest("part", "other"))
+    second = hot.select("node", *prints, (F.col("mask") + 1000).alias("mask"), pair.alias("bits"))
     return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, radius).union(_search(second, lanes, radius))
 
 

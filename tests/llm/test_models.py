@@ -123,6 +123,26 @@ def test_near_duplicates(spark):
     assert simhash.keep_one_of_each(spark, d, "").count() == 12
 
 
+def test_links_do_not_depend_on_the_size_of_a_group(spark):
+    """Chains of near fingerprints that agree in no key, in one group that is split or not."""
+    rnd = random.Random(33)
+    rows = []
+    for k in range(90):
+        x = rnd.getrandbits(128) if k % 9 == 0 else x
+        for bit in rnd.sample(range(128), 12):
+            x ^= 1 << bit
+        f = [v - (1 << 64) if v >> 63 else v for v in (x & (1 << 64) - 1, x >> 64)]
+        rows.append((k, *f, [1000 * j + k for j in range(40)], 0, 5))
+    d = spark.createDataFrame(rows, "node long, f0 long, f1 long, keys array<long>, mask long, bits long")
+    for most in (2, 7, 10**9):
+        edges = [(r["src"], r["dst"]) for r in simhash._by_keys(d, 2, 12, most).collect()]
+        label = list(range(90))
+        for _ in rows:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert label == [k - k % 9 for k in range(90)], most
+
+
 # Packing
 
 

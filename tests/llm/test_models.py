@@ -344,6 +344,21 @@ def test_leaks_of_a_hot_item(spark):
     assert all(r["answer"] == 1 for r in got)
 
 
+def test_leaks_over_several_blocks(spark, monkeypatch):
+    """Documents outside the fitted sample leak items of every block, whose words are in no other document."""
+    rnd = random.Random(32)
+    words = _vocabulary(rnd, 2000)
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [" ".join(_vocabulary(rnd, 40)) for _ in range(8)]
+    rows = [(k, text(60)) for k in range(150)] + [(1000 + k, f"{text(30)} {x} {text(30)}") for k, x in enumerate(items)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    monkeypatch.setattr(decontam, "BLOCK", 2)
+    monkeypatch.setattr(decontam, "FITTED_DOCS", 1)
+    got = {(r["id"], r["item_id"]) for r in decontam.find_leaks(d, b).collect()}
+    assert got == {(1000 + k, k) for k in range(8)}
+
+
 def test_common_subsequence():
     rnd = random.Random(11)
     for _ in range(50):

@@ -359,6 +359,20 @@ def test_leaks_over_several_blocks(spark, monkeypatch):
     assert got == {(1000 + k, k) for k in range(8)}
 
 
+@pytest.mark.parametrize("size", [4, 8, 16])
+def test_leaks_of_short_items(spark, size):
+    """Items shorter than a passage, whole among other words, are all found."""
+    rnd = random.Random(34)
+    words = _vocabulary(rnd, 3000)
+    text = lambda n: " ".join(rnd.sample(words, n))
+    items = [text(size) for _ in range(60)]
+    rows = [(k, f"{text(rnd.randrange(20, 40))} {x} {text(40)}") for k, x in enumerate(items)] + [(100 + k, text(80)) for k in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r["id"], r["item_id"]) for r in decontam.find_leaks(d, b).collect()}
+    assert got == {(k, k) for k in range(60)}
+
+
 def test_common_subsequence():
     rnd = random.Random(11)
     for _ in range(50):

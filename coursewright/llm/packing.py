@@ -30,13 +30,28 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+@functools.cache
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """A pattern of the file's added tokens, which stand for one id wherever they occur, and those ids."""
+    added = _spec(path).get("added_tokens", ())
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError(f"{path}: added tokens that take in blanks or stand at word ends are not supported")
+    ids = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
+    return re.compile("(" + "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True)) + ")") if ids else None, ids
+
+
 @functools.cache
 def _encoder(path: str):
-    """A byte-level BPE encoder for a tokenizers JSON file; special strings are ordinary text."""
+    """A byte-level BPE encoder for a tokenizers JSON file, for text between its added tokens."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -68,7 +83,15 @@ _MOST_CACHED = 300_000
 
 
 def token_bytes(text: str, path: str) -> bytes:
-    """The text's ids as little-endian 32-bit integers.
+    """The text's ids as little-endian 32-bit integers; an added token's string in the text is its id."""
+    pattern, ids = _added(path)
+    if pattern is None or not pattern.search(text):
+        return _plain_bytes(text, path)
+    return b"".join(ids[x] if k % 2 else _plain_bytes(x, path) for k, x in enumerate(pattern.split(text)))
+
+
+def _plain_bytes(text: str, path: str) -> bytes:
+    """Ids of a text without added tokens.
 
     A space between two other characters always begins a piece of the
     pre-tokenization, so the text may be cut there and each part looked up.
@@ -186,16 +209,16 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[l
     return steps, windows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of ``length`` at most ``capacity``.
 
     Full pieces are sequences by themselves. The others get a rank among the
-    pieces of their length; a length is dealt over ``salts`` buckets, ranked
-    bucket by bucket and moved on by the buckets before, so no length is ranked
-    in one task. Only the histogram, ``capacity`` rows at most, reaches the
-    driver. ``pieces`` is evaluated once.
+    pieces of their length, task by task of ``pieces`` and moved on by the
+    tasks before, so no length is ranked in one task, however many pieces or
+    repeated rows have it. Only the histogram, ``capacity`` rows at most,
+    reaches the driver. ``pieces`` is evaluated once.
     """
-    p = cut_lineage(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")))
+    p = cut_lineage(pieces.withColumn("bucket", F.spark_partition_id()))
     parts = p.where(F.col("length") < capacity)
     counts = cut_lineage(parts.groupBy("length", "bucket").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}

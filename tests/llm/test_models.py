@@ -151,9 +151,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rnd = random.Random(4)
-    texts = [None, "", " a  b \n c", "<|endoftext|>", "x\x1cy z\xa0 w", prose(rnd, DE, 5000)] + [prose(rnd, EN, rnd.randrange(1, 900)) for _ in range(40)]
+    odd = ["<|endoftext|>", " ", "  ", "\n", "a", "<|endoftext", "Straße", "|>", "\xa0", "é", "12", "'s"]
+    mixed = ["".join(rnd.choices(odd, k=rnd.randrange(1, 30))) for _ in range(200)]
+    texts = [None, "", " a  b \n c", "<|endoftext|>", "x\x1cy z\xa0 w", prose(rnd, DE, 5000)] + [prose(rnd, EN, rnd.randrange(1, 900)) for _ in range(40)] + mixed
     rows = [(k % 44, x) for k, x in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x"))
     out = packing.pack(packing.cut_pieces(d)).collect()

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coursewright.functions.storage import cut_lineage
 from coursewright.llm.common import BLANKS, ascii_lower, table
 
 
@@ -17,24 +16,39 @@ def _key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+#: Ranges of the line hashes in the first sort; a key's rows are dealt over a number of document groups that grows with the partitions.
+RANGES = 8
+
+
+def _range_of(h: str, parts: int) -> Column:
+    """Which of ``parts`` equal ranges of 64-bit hashes; hashes are uniform, so no sample is needed for the bounds."""
+    return F.floor((F.col(h).cast("double") / F.lit(2.0**64) + F.lit(0.5)) * parts).cast("int")
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """Documents that lose lines, each with its dropped positions and its keep bitmap.
 
     A line's key is the line stripped of ASCII blanks with A-Z in lower case.
     A key of at least ``min_chars`` code points that several documents hold
     stays only in the smallest id. Keys travel as 128 bits of hash, not text.
-    They are range-partitioned by (hash, document), so that a key held by a
-    third of all documents spreads over several tasks, and sorted by document
-    and position inside each; first occurrences come from a pre-aggregated
-    minimum per key, joined back to the duplicates only. Both sides of that
-    join are written tables, so adaptive execution can split a key's rows.
+
+    Rows are range-partitioned by hash, each range split by document group, and
+    sorted by hash, document and position. A pass over a sorted partition drops
+    what follows a key's first document. Only lines of first documents go on,
+    one document a key and group; they are range-partitioned and sorted once
+    more, and a second pass finds which are not the first of all groups. So a
+    key that a third of all documents hold is spread over the groups, whose
+    number grows with the partitions, and no key is gathered.
 
     Returns ``id, sig, dropped array<int>, keep_rle``; ``sig`` is the text's
     hash, which tells rows of one id apart. ``keep_rle`` is the bitmap as run
     lengths that begin with dropped lines: ``0,2,1,5`` keeps 2, drops 1, keeps 5.
     Null ids count as one document after all others. Null texts and texts
-    without a shared line give no row; an empty table gives none.
+    without a shared line give no row; rows that repeat id and text share one
+    bitmap; an empty table gives none; other columns are not read.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = -(-parts // RANGES)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sig"), _lines(F.col(text_col)).alias("lines"))
     keyed = (
         base.select("id", "sig", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
@@ -42,14 +56,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.length("key") >= min_chars)
         .select("id", "sig", "n", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    ranged = cut_lineage(keyed.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos"))
-    first = cut_lineage(
-        ranged.groupBy("h1", "h2")
-        .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("id").isNull()).alias("has_null"))
-        .where("first_id < last_id or (has_null and first_id is not null)")
-        .select("h1", "h2", "first_id")
-    )
-    dropped = ranged.join(first, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
+    keyed = keyed.withColumn("part", _range_of("h1", RANGES) * groups + F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    first = lambda *keys: F.first("id").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("id"), "pos").rowsBetween(Window.unboundedPreceding, 0))
+    local = keyed.repartitionById(RANGES * groups, "part").withColumn("first_id", first("part", "h1", "h2"))
+    later = ~F.col("id").eqNullSafe(F.col("first_id"))
+    row = ["id", "sig", "n", "pos"]
+    firsts = local.where(~later).select(*row, "h1", "h2", _range_of("h1", parts).alias("range"))
+    firsts = firsts.repartitionById(parts, "range").withColumn("first_id", first("range", "h1", "h2"))
+    dropped = local.where(later).select(*row).union(firsts.where(later).select(*row))
     per_doc = dropped.groupBy("id", "sig").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("dropped"))
     kept = kept_runs("dropped", "n")
     ends = F.transform("kept", lambda r: r["e"])

@@ -72,21 +72,34 @@ CONV = [
 
 
 def test_chat_round_trip(spark):
-    d = spark.createDataFrame(CONV, "conv_id long, turn long, role string, text string")
+    d = spark.createDataFrame(CONV, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("x"))
     turns = chat.format_turns(d)
-    whole = {r["conv_id"]: r for r in chat.conversations_text(turns).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()}
-    for c in {x[0] for x in CONV}:
-        want = sorted((t, r or "", x or "") for k, t, r, x in CONV if k == c)
-        assert [(t["role"], t["text"]) for t in whole[c]["turns"]] == [(r, x) for _, r, x in want]
-        body = whole[c]["formatted"]
+    whole = chat.prefix_targets(turns)
+    rows = whole.withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn("loss", chat.spans_text(F.col("formatted"), F.col("examples"), "loss_start", "loss_chars")).collect()
+    by = {r["conv_id"]: r for r in rows}
+    assert by.keys() == {x[0] for x in CONV}
+    for c, r in by.items():
+        want = sorted((t, role or "", x or "") for k, t, role, x in CONV if k == c)
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(x, y) for _, x, y in want]
+        body = r["formatted"]
         assert body.count("</s>\n") == len(want) and "[INST]" not in body
-    examples = chat.prefix_targets(turns)
-    shown = chat.render(examples, chat.conversations_text(turns)).collect()
-    assert len(shown) == 5
+        assert r["loss"] == [body[e["loss_start"] : e["loss_start"] + e["loss_chars"]] for e in r["examples"]]
+        assert [e["context_turns"] for e in r["examples"]] == [k for k, (_, x, _) in enumerate(want) if x == "assistant"]
+    shown = chat.render(whole).collect()
+    assert len(shown) == sum(len(r["examples"]) for r in rows) == 5
     for r in shown:
-        text = whole[r["conv_id"]]["formatted"]
-        assert text[: r["loss_start"]] == r["prompt"] and text[r["loss_start"] : r["loss_start"] + r["loss_chars"]] == r["target"]
-    assert chat.format_turns(d.limit(0)).count() == 0
+        body = by[r["conv_id"]]["formatted"]
+        assert body.startswith(r["prompt"] + r["completion"]) and r["prompt"].endswith("<|assistant|>\n") and r["completion"].endswith("</s>\n")
+        assert r["prompt"].count("</s>\n") == r["context_turns"]
+    assert chat.prefix_targets(chat.format_turns(d.limit(0))).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    """40,000 turns and 4 million characters in one conversation, in time linear in them."""
+    long = spark.range(40_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("\ufeffa<b😀"), 20).alias("text"))
+    whole = chat.prefix_targets(chat.format_turns(long)).withColumn("loss", chat.spans_text(F.col("formatted"), F.col("examples"), "loss_start", "loss_chars"))
+    r = whole.select(F.array_join(F.transform("loss", chat.unescape), "").alias("x"), F.size("examples").alias("n")).first()
+    assert r["n"] == 20_000 and r["x"] == "\ufeffa<b😀" * 20 * 20_000
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions.storage import cut_lineage
@@ -34,25 +34,23 @@ ALPHAS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7)
 STRATA = (16, 20, 24, 32, 48)
 
 
-def match_starts(text: Column, pattern: str, matches: Column) -> Column:
-    """Where each of ``matches`` (all of the pattern, left to right) begins, in code points.
+def _matches(kind: int, text: Column, pattern: str, ok: Column | None = None) -> Column:
+    """All matches of ``pattern``, left to right: how much text stands before each since the last, its length and, of candidates, the token.
 
     The pieces between the matches and the matches themselves make up the
-    text, so their running lengths are the positions.
+    text, so their running lengths are the positions. ``ok`` says of each
+    match whether it counts.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("m")))
-    empty = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
-    walked = F.aggregate(
-        steps,
-        empty,
-        lambda acc, s: F.struct(F.concat(acc["at"], F.array(acc["end"] + s["g"])).alias("at"), (acc["end"] + s["g"] + s["m"]).alias("end")),
-    )
-    return walked["at"]
-
-
-def _spans(kind: int, starts: Column, matches: Column) -> Column:
-    return F.zip_with(starts, matches, lambda a, m: F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + F.length(m)).alias("end")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    token = (lambda m: m) if kind == len(KINDS) - 1 else (lambda m: F.lit(None).cast("string"))
+    item = lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), token(m).alias("token"))
+    # the arrays that a match's own place picks from are made once, as variables of an outer transform
+    rows = F.transform(F.array(F.struct(F.zip_with(gaps, found, item).alias("m"), (F.array().cast("array<boolean>") if ok is None else ok).alias("ok"))), lambda x: F.transform(
+        x["m"],
+        lambda m, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), m["gap"].alias("gap"), m["len"].alias("len"), (F.lit(True) if ok is None else F.get(x["ok"], k)).alias("ok"), m["token"].alias("token")),
+    ))
+    return F.when(text.rlike(pattern), F.element_at(rows, 1)).otherwise(F.array().cast("array<struct<kind:int,k:int,gap:int,len:int,ok:boolean,token:string>>"))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -145,45 +143,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``kind`` indexes ``KINDS``. Base kinds are leftmost non-overlapping
     matches: assignments with a value of 6 or more characters, access keys of
     20 or more, hexadecimal runs of 24 or more. The battery adds ``random``
-    spans: candidate runs with a digit that no base span touches and whose
-    p-value exceeds the level of their length. Positions are code points, ends
-    exclusive. Null texts count as empty and have no spans; rows keep their
-    number and ids, repeated or null; an empty table gives an empty result.
-    Texts are read once and never move: only spans and candidates are kept.
-    Plain words of letters are no candidates; they show how often ordinary
-    text passes the battery.
+    spans: candidate runs that are no plain word of letters, that no base span
+    touches and whose p-value exceeds the level of their length. Plain words
+    show how often ordinary text passes the battery. Positions are code points,
+    ends exclusive. Null texts count as empty and have no spans; rows keep
+    their number and ids, repeated or null; other columns are not read; an
+    empty table gives an empty result. Texts are read once and never move: only
+    lengths and candidates do. Positions are running sums over a row's matches
+    and overlaps are found by two passes over its sorted spans, so the time is
+    linear in the matches (but for sorting), however long a text is.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    found = {"assign": F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0)), "access": F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), "hex": F.regexp_extract_all("t", F.lit(HEX), F.lit(0)), "random": F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))}
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
-    d = d.withColumns({f"m_{k}": v for k, v in found.items()})
-    values = F.when(F.size("m_assign") > 0, F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<int>")
-    d = d.withColumn("v_assign", values).withColumns({f"s_{k}": F.when(F.size(f"m_{k}") > 0, match_starts(F.col("t"), p, F.col(f"m_{k}"))).otherwise(none) for k, p in patterns.items()})
-    spans = {k: _spans(i, F.col(f"s_{k}"), F.col(f"m_{k}")) for i, k in enumerate(KINDS)}
-    assign = F.filter(
-        F.zip_with(spans["assign"], "v_assign", lambda s, v: F.struct(s.alias("s"), (F.length(v) >= 6).alias("ok"))),
-        lambda x: x["ok"],
-    )
-    base = F.concat(F.transform(assign, lambda x: x["s"]), spans["access"], spans["hex"])
-    d = d.withColumn("base", base)
-    free = F.filter(
-        F.zip_with(spans["random"], "m_random", lambda s, m: F.struct(s.alias("span"), m.alias("token"))),
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])),
-    )
-    d = d.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "base", free.alias("free"))
-    d = cut_lineage(d)
-    tokens = d.select("row", F.explode("free").alias("x")).select("row", "x.span", "x.token")
-    plain = F.col("token").rlike("^[A-Z]?[a-z]+$")
-    tested = cut_lineage(battery(tokens.withColumn("ordinary", plain).withColumn("len", F.length("token"))).select("row", "span", "ordinary", "len", "p_value"))
-    levels = choose_levels(tested, max_false)
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    values = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6)
+    found = F.concat(_matches(0, t, ASSIGN, values), _matches(1, t, ACCESS), _matches(2, t, HEX), _matches(3, t, CANDIDATE))
+    d = cut_lineage(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), found.alias("found")))
+    running = lambda *order: Window.partitionBy(*order[0]).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    spans = d.select("row", F.inline("found")).repartition("row")
+    spans = spans.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(running(["row", "kind"], "k")).cast("int")).where("ok")
+    spans = spans.withColumn("start", F.col("end") - F.col("len"))
+    base = F.col("kind") < len(KINDS) - 1
+    spans = spans.withColumn("reached", F.max(F.when(base, F.col("end"))).over(running(["row"], "start", "kind")))
+    spans = spans.withColumn("ahead", F.min(F.when(base, F.col("start"))).over(running(["row"], F.desc("start"), F.desc("kind"))))
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
+    spans = spans.where(base | free).withColumn("ordinary", F.col("token").rlike("^[A-Z]?[a-z]+$"))
+    tested = cut_lineage(battery(spans).select("row", "kind", "start", "end", "ordinary", "len", "p_value"))
+    levels = choose_levels(tested.where("ordinary is not null"), max_false)
     level = functools.reduce(lambda c, x: F.when(_stratum(F.col("len")) == x[0], F.lit(x[1])).otherwise(c), levels.items(), F.lit(1.0))
-    digits = tested.where(~F.col("ordinary")).where(F.col("p_value") > level)
-    more = digits.groupBy("row").agg(F.collect_list("span").alias("more"))
-    out = d.select("id", "row", "base").join(more, "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(d.schema["base"].dataType))))
-    return out.select("id", every.alias("spans"))
+    kept = tested.where(F.col("ordinary").isNull() | (~F.col("ordinary") & (F.col("p_value") > level)))
+    span = F.struct("start", "kind", "end")
+    per_row = kept.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return d.select("id", "row").join(per_row, "row", "left").select("id", F.coalesce("spans", none).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -196,6 +186,7 @@ def _count(kind: int) -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest of the base spans and all spans of every document; null texts are empty, and repeated rows stay."""
     s = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = {k: _count(i) for i, k in enumerate(KINDS)}
     return s.select(

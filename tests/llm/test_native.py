@@ -130,6 +130,26 @@ def test_secrets(spark):
     assert secrets.find_secrets(d.union(d)).count() == 2 * len(TEXTS)
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Five million characters of keys in one text."""
+    key = "AKIA" + "B7" * 9
+    n = 210_000
+    d = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(f"{key} "), n).alias("text"))
+    r = secrets.find_secrets(d).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("x")).first()
+    assert r["n"] == n and tuple(r["x"]) == ((n - 1) * 23, 1, (n - 1) * 23 + 22)
+
+
+def test_random_spans_keep_clear_of_base_spans(spark):
+    token = "q9Zt7LmX2vRk8PwJ4hNc6BfYd3Gs"
+    text = f"token={token} {token} {KEY}/{token} password: {token}"
+    words = " ".join(f"ordinaryordinary{c * 4}" for c in "abcdefghij")
+    d = spark.createDataFrame([(1, text), *((k, words) for k in range(2, 40)), (90, token)], "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("kind", F.lit(1))
+    got = {r["id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(d).collect()}
+    assert [s for s in got[1] if s[1] < 3] == base_spans(text)
+    at = text.index(token, 10)
+    assert [s for s in got[1] if s[1] == 3] == [(at, 3, at + len(token))] and got[90] == [(0, 3, len(token))]
+
+
 def test_battery(spark):
     import random
 

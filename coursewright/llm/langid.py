@@ -8,25 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursewright.llm.common import arrow_map, fold, table
 
-_WORD = re.compile(r"[^\W\d_]+")
-#: A chain is a line, cut after so many words.
-CHAIN = 64
+#: Chains are computed in blocks of so many words, which pass messages on.
+BLOCK = 64
 #: Features are hashed to so many weights a language.
 BUCKETS = 1 << 17
-#: Letters that features see: of longer words the first and the last half of this.
+#: Letters of a word at most; longer runs, as of scripts without spaces, are several words.
 WIDTH = 24
+_WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 #: Bound of the labelled sample that the model is fitted on, in lines over all languages.
 SAMPLE_LINES = 16_000
 UNKNOWN = "und"
 
 
 def words_of(line: str) -> list[str]:
-    """The lower-cased runs of letters."""
+    """The lower-cased runs of letters, cut after every ``WIDTH`` letters."""
     return _WORD.findall(line.lower())
 
 
@@ -36,9 +36,7 @@ def word_features(words: list[str]) -> np.ndarray:
     The word itself (lexicon), prefixes and suffixes of one to three letters,
     and all inner letter pairs and triples.
     """
-    half = WIDTH // 2
-    short = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    chars = np.array(short, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
+    chars = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
     size = (chars != 0).sum(axis=1)
     rows = np.arange(len(words))
 
@@ -82,25 +80,33 @@ class ChainModel:
         return out
 
 
-def marginals(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def marginals(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Posterior of each label at each place of each chain, by forward-backward.
 
     ``emissions`` is chains x places x labels and ``mask`` says which places
-    exist. Messages are scaled at each place. With ``pairs`` the expected
+    exist. Messages are scaled at each place. A chain may be a block of a
+    longer one: ``before`` and ``after`` are the messages that come in at its
+    ends, rows of zeros where it begins. With ``pairs`` the expected
     transition counts over all chains are returned as well.
     """
     c, t, n = emissions.shape
     e = np.exp(emissions - emissions.max(axis=2, keepdims=True))
     trans = np.exp(transitions - transitions.max())
     forward, backward = np.empty_like(e), np.ones_like(e)
-    forward[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    if before is not None:
+        e0 = e[:, 0] * np.where(before.any(axis=1, keepdims=True), before @ trans, 1)
+        end = after
+        backward[:, -1] = end
+    else:
+        e0, end = e[:, 0], 1.0
+    forward[:, 0] = e0 / e0.sum(axis=1, keepdims=True)
     for k in range(1, t):
         a = (forward[:, k - 1] @ trans) * e[:, k]
         forward[:, k] = a / a.sum(axis=1, keepdims=True)
     for k in range(t - 2, -1, -1):
         b = (backward[:, k + 1] * e[:, k + 1]) @ trans.T
         b /= b.sum(axis=1, keepdims=True)
-        backward[:, k] = np.where(mask[:, k + 1, None], b, 1.0)
+        backward[:, k] = np.where(mask[:, k + 1, None], b, end)
     post = forward * backward
     post /= post.sum(axis=2, keepdims=True)
     if not pairs:
@@ -111,13 +117,67 @@ def marginals(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray,
     return post, (joint * both[:, :, None, None]).sum(axis=(0, 1))
 
 
+def messages(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages into both ends of each block of chains that are cut into blocks.
+
+    Blocks of a chain stand one after the other and ``place`` numbers them from
+    0. A block's transfer matrix is the product of its steps, so the blocks of
+    all chains are multiplied at once and only the messages from block to block
+    go one by one.
+    """
+    c, t, n = emissions.shape
+    e = np.exp(emissions - emissions.max(axis=2, keepdims=True))
+    trans = np.exp(transitions - transitions.max())
+    m = np.eye(n, dtype=e.dtype)[None] * e[:, 0][:, None, :]
+    for k in range(1, t):
+        step = (m @ trans) * e[:, k][:, None, :]
+        step /= step.sum(axis=(1, 2), keepdims=True)
+        m = np.where(mask[:, k, None, None], step, m)
+    before, after = np.zeros((c, n), e.dtype), np.ones((c, n), e.dtype)
+    for j in range(1, int(place.max()) + 1):
+        at = np.flatnonzero(place == j)
+        f = before[at - 1]
+        f = np.einsum("ci,cij->cj", np.where(f.any(axis=1, keepdims=True), f @ trans, 1), m[at - 1])
+        before[at] = f / f.sum(axis=1, keepdims=True)
+    for j in range(int(place.max()), 0, -1):
+        at = np.flatnonzero(place == j)
+        b = np.einsum("cij,cj->ci", m[at], after[at]) @ trans.T
+        after[at - 1] = b / b.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def chain_posteriors(rows: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, most: int = 2000) -> np.ndarray:
+    """Posteriors of chains of any length, whose emissions ``rows`` stand one after the other; ``most`` blocks are computed at once."""
+    blocks = -(-lengths // BLOCK)
+    chain = np.repeat(np.arange(len(lengths)), blocks)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    sizes = np.minimum(BLOCK, lengths[chain] - place * BLOCK)
+    starts = np.cumsum(sizes) - sizes
+    post = np.empty_like(rows)
+    single = blocks[chain] == 1
+    alone = np.flatnonzero(single)
+    alone = alone[np.argsort(sizes[alone], kind="stable")]
+    groups = [(alone[a : a + most], False) for a in range(0, len(alone), most)]
+    joined = np.flatnonzero(~single)
+    ends = [0, *(np.searchsorted(chain[joined], np.unique(chain[joined]), side="right")).tolist()]
+    a = 0
+    for b, following in zip(ends[1:], [*ends[2:], None]):
+        if following is None or following - a > most:
+            groups.append((joined[a:b], True))
+            a = b
+    for part, more in groups:
+        mask = _padded(sizes[part])
+        at = (starts[part][:, None] + np.arange(mask.shape[1]))[mask]
+        full = np.zeros((*mask.shape, rows.shape[1]), rows.dtype)
+        full[mask] = rows[at]
+        ends_ = messages(full, mask, transitions, place[part]) if more else (None, None)
+        post[at] = marginals(full, mask, transitions, False, *ends_)[0][mask]
+    return post
+
+
 def chains_of(text: str) -> list[list[str]]:
-    """The text's chains: lines that hold a word, cut after ``CHAIN`` words."""
-    out = []
-    for line in text.split("\n"):
-        w = words_of(line)
-        out += [w[k : k + CHAIN] for k in range(0, len(w), CHAIN)]
-    return out
+    """The text's chains: lines that hold a word."""
+    return [w for w in map(words_of, text.split("\n")) if w]
 
 
 def _padded(lengths: np.ndarray) -> np.ndarray:
@@ -172,32 +232,28 @@ def fit_chains(lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3,
 
 
 def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str, str]]:
-    """At most ``most`` (language, line) pairs of ``doc_id, text, lang``, the same share for each language.
+    """At most ``most`` (language, line) pairs of ``doc_id, text, lang``, the same share (20 at least) for each language.
 
     Documents are drawn by the hash of their id, and lines of those by their
     own hash, so the sample does not depend on partitions. A line is cut into
     pieces of at most 600 characters, which bounds the sample's size.
     """
     known = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
+    sizes = known.groupBy("lang").count()
+    n = sizes.count()
+    if not n:
         return []
-    share = max(20, most // len(counts))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    enough = F.lit(0)
-    for lang, n in counts.items():
-        enough = F.when(F.col("lang") == lang, F.lit(int(min(1.0, max(2.0 * share / 10, 40) / n) * 1_000_000))).otherwise(enough)
+    share = max(20, most // n)
+    wanted = F.least(F.lit(1.0), F.lit(max(2.0 * share / 10, 40)) / F.col("count")) * 1_000_000
+    drawn = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).join(sizes, "lang").where(F.col("h") < wanted)
     pieces = (
-        known.where(drawn < enough)
-        .select("lang", F.explode(F.split("text", "\n")).alias("line"))
+        drawn.select("lang", F.explode(F.split("text", "\n")).alias("line"))
         .select("lang", F.explode(F.regexp_extract_all("line", F.lit(r"(?s).{1,600}"), F.lit(0))).alias("line"))
         .where(F.col("line").rlike(r"\p{L}"))
     )
-    out = []
-    for lang in sorted(counts):
-        rows = pieces.where(F.col("lang") == lang).orderBy(F.xxhash64("line"), "line").limit(share).collect()
-        out += [(lang, r["line"]) for r in rows]
-    return out
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line"))
+    rows = pieces.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "line").collect()
+    return sorted((r["lang"], r["line"]) for r in rows)
 
 
 def _features_of_all(words: list[str], part: int = 8_000) -> np.ndarray:
@@ -253,17 +309,7 @@ def label_texts(docs: DataFrame, model: ChainModel, id_col: str = "doc_id", text
                 if lexicon.new:
                     rows = np.concatenate([rows, model.emissions(lexicon.new)])
                     lexicon.new.clear()
-                lengths = np.array([len(c) for c in chains])
-                places = np.cumsum(lengths) - lengths
-                post = np.zeros((len(flat), n), np.float32)
-                order = np.argsort(lengths, kind="stable")
-                for a in range(0, len(order), 2000):
-                    part = order[a : a + 2000]
-                    mask = _padded(lengths[part])
-                    at = (places[part][:, None] + np.arange(mask.shape[1]))[mask]
-                    full = np.zeros((*mask.shape, n), np.float32)
-                    full[mask] = rows[flat[at]]
-                    post[at] = marginals(full, mask, model.transitions)[0][mask]
+                post = chain_posteriors(rows[flat], np.array([len(c) for c in chains]), model.transitions)
                 if len(lexicon) > 200_000:
                     lexicon, rows = _Lexicon(), np.zeros((0, n), np.float32)
                 some = np.flatnonzero(per_doc)
@@ -305,6 +351,7 @@ def fit_language_model(docs: DataFrame, folds: int = 5, held: int = 0) -> ChainM
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds that are not held out; null texts and texts without a letter are ``und``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = label_texts(docs, fit_language_model(docs))
     return out.select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_words", "runs")

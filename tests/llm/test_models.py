@@ -245,6 +245,22 @@ def test_language(spark):
     assert nothing.count() == 0
 
 
+def test_blocks_of_a_chain_pass_messages_on():
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 64, 65, 300, 7, 128, 2000])
+    rows, t = rng.normal(size=(lengths.sum(), 3)).astype(np.float32), 2 * rng.normal(size=(3, 3)).astype(np.float32)
+    for most in (5, 2000):
+        got, at = langid.chain_posteriors(rows, lengths, t, most), 0
+        for n in lengths:
+            want, _ = langid.marginals(rows[None, at : at + n], np.ones((1, n), bool), t)
+            assert np.allclose(got[at : at + n], want[0], atol=1e-4)
+            at += n
+
+
+def test_every_letter_of_a_run_counts():
+    assert langid.words_of("ab1" + "x" * 60) == ["ab", "x" * 24, "x" * 24, "x" * 12]
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(7)
     e, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -10,28 +11,29 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.functions.storage import cut_lineage
+from coursewright.functions.storage import cut_lineage, stored
 from coursewright.llm.common import fold, table
 from coursewright.llm.vectors import sum_vectors
 
 #: The end of a text, as a token; words are never empty.
 END = b""
-#: Classes: the most frequent tokens have their own, other words share one by their last two bytes.
-OWN, SHARED = 16, 32
-CLASSES = OWN + SHARED
-#: Frequent words whose counts every task holds; rarer ones are joined. A bound, not a cut: scores do not depend on it.
+#: Classes of words, by their last two bytes.
+CLASSES = 16
+#: Frequent words whose counts every task holds; rarer ones are joined. A bound, not a cut: base scores do not depend on it.
 HEAD = 1 << 17
-#: Words that context features tell apart; others appear as their shared class.
-CONTEXT = 4096
-PAD = CONTEXT + SHARED
-#: Rows of the weight matrix that features are hashed to.
-BUCKETS = 1 << 14
-#: Tokens of a gradient step and of a scored batch; synchronised rounds over disjoint parts of the training texts.
-BATCH, ROUNDS, RATE = 40_000, 2, 0.2
+#: Training tokens for each hashed weight, and the least and most weights as powers of two.
+TOKENS_PER_WEIGHT, LEAST_BITS, MOST_BITS = 256, 16, 20
+#: Of the four features of a history (the word before; the two before; the second word before; the third), how many count within a class.
+NODE_FEATURES = 2
+#: Tokens of a computed batch; synchronised rounds over disjoint parts of the training texts.
+BATCH, ROUNDS = 65_536, 2
+#: Part of a full Newton step that a round takes, and the prior's curvature.
+STEP, PRIOR = 0.25, 4.0
 _hash64 = xxhash.xxh64_intdigest
 
 
@@ -40,8 +42,8 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8").lower().split(), END]
 
 
-def shared_class(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-2:]) % SHARED
+def class_of(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % CLASSES
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,25 +69,24 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The head of the counts and the totals of all."""
+    """The head of the counts, and what is known of the words below it by class."""
 
     least: int
     words: list[bytes]
     counts: np.ndarray
     tokens: int
     distinct: int
-    class_tokens: np.ndarray
-    unseen: np.ndarray
+    rare_tokens: np.ndarray
+    once: np.ndarray
 
     @property
     def floor(self) -> float:
         return float(np.log10(self.tokens + self.distinct + 1))
 
-    def classes(self) -> np.ndarray:
-        return np.array([k if k < OWN else shared_class(w) for k, w in enumerate(self.words)], np.int64)
-
-    def contexts(self) -> np.ndarray:
-        return np.array([k if k < CONTEXT else CONTEXT + shared_class(w) - OWN for k, w in enumerate(self.words)], np.int64)
+    @property
+    def unseen(self) -> np.ndarray:
+        """Share of each class's rare tokens that words never seen get: the share of those seen once."""
+        return np.where(self.rare_tokens > 0, np.minimum((self.once + 0.5) / (self.rare_tokens + 1), 0.5), 1.0)
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -103,222 +104,389 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     head = counts.where(F.col("c") >= least).toArrow()
     top = sorted(zip((w.encode() for w in head.column("word").to_pylist()), head.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     del head
-    own = [w.decode() for w, _ in top[:OWN]]
-    shared = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % SHARED + OWN
-    k = F.lit(-1) if not own else F.coalesce(F.element_at(F.create_map(*[x for i, w in enumerate(own) for x in (F.lit(w), F.lit(i))]), F.col("word")), shared)
-    rows = counts.groupBy(k.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
-    n, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    k = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % CLASSES
+    rare = F.col("c") < least
+    rows = counts.groupBy(k.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum(F.when(rare, F.col("c")).otherwise(0)).alias("rare")).collect()
+    rare_tokens, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rows:
-        n[r["k"]], once[r["k"]] = r["n"], r["once"]
-    unseen = np.where(np.arange(CLASSES) < OWN, 0.0, np.minimum((once + 0.5) / (n + 1), 0.5))
-    return Vocabulary(least, [w for w, _ in top], np.array([c for _, c in top], np.int64), int(n.sum()), sum(r["v"] for r in rows), n, unseen)
-
-
-class Reader:
-    """Turns texts into ids, classes and hashed features."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.ids = {w: k for k, w in enumerate(vocabulary.words)}
-        self.classes, self.contexts = vocabulary.classes(), vocabulary.contexts()
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Ids (-1 for rare words), sizes of the texts, and the rare words in order with their places."""
-        get = self.ids.get
-        words = [tokens_of(t) for t in texts]
-        sizes = np.array([len(w) for w in words])
-        flat = [w for ws in words for w in ws]
-        ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-        at = np.flatnonzero(ids < 0)
-        return ids, sizes, at, [flat[k] for k in at.tolist()]
-
-    def features(self, ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, rare: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each token and the buckets of its features.
-
-        Features: the word before, the two before it as a pair, the second and
-        the third before (skips). Places before a text's start are padding.
-        """
-        shared = np.fromiter(map(zlib.crc32, [w[-2:] for w in rare]), np.int64, len(rare)) % SHARED + OWN
-        known = np.maximum(ids, 0)
-        if len(self.classes):
-            classes, context = self.classes[known], self.contexts[known]
-        else:
-            classes, context = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        classes[at], context[at] = shared, CONTEXT + shared - OWN
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(ids)) - np.repeat(starts, sizes)
-        back = [np.where(place >= k, np.roll(context, k), PAD) for k in (1, 2, 3)]
-        keys = (back[0], back[1] * 5003 + back[0] + 7_000_003, back[1] + 50_000_017, back[2] + 90_000_049)
-        buckets = [((k * 0x9E3779B1) >> 12) % BUCKETS for k in keys]
-        return classes, np.stack(buckets).astype(np.uint16)
-
-
-def class_probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Softmax over the classes: a sparse row of ``features`` times the weights."""
-    z = weights[features[0]]
-    for f in features[1:]:
-        z += weights[f]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+        rare_tokens[r["k"]], once[r["k"]] = r["rare"], r["once"]
+    return Vocabulary(least, [w for w, _ in top], np.array([c for _, c in top], np.int64), sum(r["n"] for r in rows), sum(r["v"] for r in rows), rare_tokens, once)
 
 
-def _batches(reader: Reader, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held, size = [], 0
-    for b in batches:
-        for t in b.column(column):
-            held.append(t.as_py())
-            size += len(held[-1] or "") // 6 + 1
-            if size >= BATCH:
-                yield reader.features(*reader.read(held))
-                held, size = [], 0
-    if held:
-        yield reader.features(*reader.read(held))
+class Spelling:
+    """A chain over bytes that gives every string a probability, for words below the head.
 
+    Byte follows byte by the bigrams of the head's words, each once, with every
+    byte possible after every other. A class's share of all strings follows
+    from the expected visits to each byte; with the head's words taken out, the
+    strings of a class add up to 1.
+    """
 
-@dataclass
-class EntropyModel:
-    vocabulary: Vocabulary
-    weights: np.ndarray
-    bias: np.ndarray
+    def __init__(self, words: list[bytes]) -> None:
+        n = np.full((257, 257), 0.01)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words if w], np.int64)
+        last = np.cumsum(sizes) - 1
+        if len(flat):
+            before = np.concatenate([[256], flat[:-1]]).astype(np.int64)
+            before[last[:-1] + 1] = 256
+            np.add.at(n, (before, flat), 1)
+            np.add.at(n, (flat[last], np.full(len(last), 256)), 1)
+        n[256, 256] = 0
+        n /= n.sum(axis=1, keepdims=True)
+        self.log = np.log(np.maximum(n, 1e-300))
+        visits = np.linalg.solve((np.eye(256) - n[:256, :256]).T, n[256, :256])
+        share = np.zeros(CLASSES)
+        for a in range(256):
+            share[class_of(bytes([a]))] += n[256, a] * n[a, 256]
+            k = np.array([class_of(bytes([a, b])) for b in range(256)])
+            np.add.at(share, k, visits[a] * n[a, :256] * n[:256, 256])
+        k = np.array([class_of(w) for w in words if w], np.int64)
+        np.add.at(share, k, -np.exp(self.of([w for w in words if w])))
+        self.share = np.log(np.maximum(share, 1e-300))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithm of each word's probability among all strings; words are not empty."""
+        if not words:
+            return np.zeros(0)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes) - sizes
+        before = np.concatenate([[256], flat[:-1]]).astype(np.int64)
+        before[first] = 256
+        return np.add.reduceat(self.log[before, flat], first) + self.log[flat[first + sizes - 1], 256]
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> EntropyModel:
-    """Fit class weights by rounds of distributed gradient updates.
+@dataclass
+class Tree:
+    """The way to each word within its class: two-way choices, as many as its share of the class asks for.
 
-    The texts are dealt over the rounds by their hash. In a round every task
-    takes AdaGrad steps over its texts from the weights of the round before;
-    the tasks' changes, weighted by their tokens, are averaged. A task sends
-    one matrix of ``BUCKETS`` x ``CLASSES`` half floats whatever it reads.
+    Each class is a Huffman tree over its head words and one more leaf for all
+    words below the head; leaf ``len(words) + k`` is that of class ``k``. Leaf
+    ``j`` has the choices ``node[start[j]:start[j + 1]]`` with outcomes ``bit``;
+    ``odds`` is each node's log odds of outcome 1 by counts alone.
     """
-    bias = np.log((vocabulary.class_tokens + 0.5) / (vocabulary.class_tokens.sum() + 0.5 * CLASSES)).astype(np.float32)
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    size = weights.size
-    for k in range(rounds):
-        start = weights
-
-        def steps(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> np.ndarray | None:
-            reader, w = Reader(vocabulary), start.copy()
-            squares = np.full(BUCKETS, 1e-3, np.float32)
-            seen = 0
-            for classes, features in _batches(reader, batches, 0):
-                for a in range(0, len(classes), BATCH):
-                    y, f = classes[a : a + BATCH], features[:, a : a + BATCH]
-                    r = class_probabilities(w, bias, f)
-                    r[np.arange(len(y)), y] -= 1
-                    seen += len(y)
-                    for row in f:
-                        order = np.argsort(row, kind="stable")
-                        sorted_ = row[order]
-                        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                        g = np.add.reduceat(r[order], first, axis=0)
-                        b = sorted_[first]
-                        squares[b] += (g * g).mean(axis=1)
-                        w[b] -= RATE * g / np.sqrt(squares[b])[:, None]
-            if not seen:
-                return None
-            change = np.clip((w - start) * min(1.0, seen / 1e7), -60000, 60000)
-            return np.concatenate([change.ravel(), [min(1.0, seen / 1e7)]])
-
-        part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == k).select(text_col)
-        total = sum_vectors(part, steps, size + 1, "float32", "float16")
-        if total[-1] > 0:
-            weights = (start.ravel() + total[:-1] / total[-1]).reshape(start.shape)
-    return EntropyModel(vocabulary, weights, bias)
-
-
-def score_texts(docs: DataFrame, model: EntropyModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, n_known, base_score, score`` of every text.
 
-    A token's probability is that of its class given the three tokens before,
-    times its share of the class's training tokens; each shared class keeps a
-    share for words it has not seen (the share of its words seen once). Counts
-    of frequent words are at hand; a text's rare words travel as 64-bit
-    hashes to be joined with the counts and come back as sums. Null and empty
-    texts are the end token alone. One output row per input row, repeated rows
-    included; an empty table gives an empty result.
+    start: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    odds: np.ndarray
+    classes: np.ndarray
+    bias: np.ndarray
+
+
+def build_tree(v: Vocabulary) -> Tree:
+    n = len(v.words)
+    classes = np.array([*map(class_of, v.words), *range(CLASSES)], np.int64)
+    once_in_head = np.bincount(classes[:n][v.counts == 1], minlength=CLASSES)
+    counts = np.concatenate([v.counts, v.rare_tokens + once_in_head + 0.5]).astype(float)
+    parent, side, odds = np.full(n + CLASSES, -1, np.int64), np.zeros(n + CLASSES, np.int8), []
+    up, up_side = [], []
+    for k in range(CLASSES):
+        heap = [(counts[j], j, False) for j in np.flatnonzero(classes == k).tolist()]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            m = len(odds)
+            odds.append(np.log(b[0] / a[0]))
+            up.append(-1)
+            up_side.append(0)
+            for bit, (_, j, inner) in enumerate((a, b)):
+                if inner:
+                    up[j - n - CLASSES], up_side[j - n - CLASSES] = m, bit
+                else:
+                    parent[j], side[j] = m, bit
+            heapq.heappush(heap, (a[0] + b[0], n + CLASSES + m, True))
+    up, up_side = np.array([*up, -1]), np.array([*up_side, 0], np.int8)
+    leaf, nodes, bits = [], [], []
+    j, m, bit = np.arange(n + CLASSES), parent, side
+    while len(j):
+        j, m, bit = j[m >= 0], m[m >= 0], bit[m >= 0]
+        leaf.append(j)
+        nodes.append(m)
+        bits.append(bit)
+        m, bit = up[m], up_side[m]
+    leaf, nodes, bits = (np.concatenate(x) for x in (leaf, nodes, bits))
+    order = np.argsort(leaf, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n + CLASSES))])
+    mass = np.bincount(classes, weights=counts, minlength=CLASSES)
+    return Tree(start, nodes[order].astype(np.int32), bits[order], np.array(odds, np.float32), classes.astype(np.int8), np.log(mass / mass.sum()).astype(np.float32))
+
+
+def read_texts(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: str = "part") -> DataFrame:
+    """Every text as numbers: ``id, part, n_tokens, n_known, base_score, leaves, tail``.
+
+    ``leaves`` are the leaves of its tokens as 32-bit integers. ``n_known`` and
+    ``base_score`` are of the tokens in the head; ``tail`` lists each other
+    token's 64-bit hash, class, and the part of its probability that is left to
+    its spelling (a natural logarithm, given its leaf). ``part`` is the column
+    ``keep``, carried on.
     """
-    v = model.vocabulary
-    share = np.log10(np.maximum(1 - v.unseen, 1e-12)) - np.log10(np.maximum(v.class_tokens, 1))
+    n = len(v.words)
     word_base = np.log10(v.counts + 1) - v.floor
-    word_in_class = np.log10(np.maximum(v.counts, 1)) + share[v.classes()] if len(v.words) else np.zeros(0)
+    spelling = Spelling(v.words)
+    left = np.log(v.unseen) - spelling.share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(v)
-
-        def score(texts: list[str | None], ids_: pa.Array) -> pa.RecordBatch:
-            ids, sizes, at, rare = reader.read(texts)
-            classes, features = reader.features(ids, sizes, at, rare)
-            logs = np.empty(len(ids))
-            for a in range(0, len(ids), BATCH):
-                y = classes[a : a + BATCH]
-                p = class_probabilities(model.weights, model.bias, features[:, a : a + BATCH])
-                logs[a : a + BATCH] = np.log10(np.maximum(p[np.arange(len(y)), y], 1e-30))
-            base = np.zeros(len(ids))
-            known = ids >= 0
-            if len(v.words):
-                base[known] = word_base[ids[known]]
-                logs[known] += word_in_class[ids[known]]
+        ids = {w: k for k, w in enumerate(v.words)}
+
+        def read(part: pa.RecordBatch) -> pa.RecordBatch:
+            words = [tokens_of(t) for t in part.column(1).to_pylist()]
+            sizes = np.array([len(w) for w in words])
+            flat = [w for ws in words for w in ws]
+            leaves = np.fromiter(map(ids.get, flat, repeat(-1)), np.int32, len(flat))
+            at = np.flatnonzero(leaves < 0)
+            rare = [flat[k] for k in at.tolist()]
+            k = np.fromiter(map(zlib.crc32, [w[-2:] for w in rare]), np.int64, len(rare)) % CLASSES
+            base = np.append(word_base, 0)[leaves]
             starts = np.cumsum(sizes) - sizes
-            owner = np.searchsorted(starts, at, side="right") - 1
-            per: list[Counter] = [Counter() for _ in texts]
-            for d, w in zip(owner.tolist(), rare):
-                per[d][w] += 1
-            sizes_out = np.cumsum([0, *(len(c) for c in per)])
-            words = [w for c in per for w in c]
+            per_text = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(words))
+            known = sizes - per_text
+            leaves[at] = n + k
             tail = pa.StructArray.from_arrays(
                 [
-                    pa.array(np.fromiter((_hash64(w, 42) for w in words), np.uint64, len(words)).view(np.int64)),
-                    pa.array(np.fromiter((n for c in per for n in c.values()), np.int32, len(words))),
-                    pa.array(np.fromiter(map(shared_class, words), np.int32, len(words))),
+                    pa.array(np.fromiter(map(_hash64, rare, repeat(42)), np.uint64, len(rare)).view(np.int64)),
+                    pa.array(k.astype(np.int8)),
+                    # the end of a text may be below the head; it is no string, and has the share of one byte 0
+                    pa.array((spelling.of([w or b"\0" for w in rare]) + left[k]).astype(np.float32)),
                 ],
-                names=["h", "n", "k"],
-            )
-            sums = [np.add.reduceat(x, starts) for x in (base, logs, known.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(
-                [ids_, pa.array(sizes.astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(sizes_out, pa.int32()), tail)],
-                names=["id", "n_tokens", "n_known", "base_score", "score", "tail"],
+                names=["h", "k", "s"],
             )
+            raw = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((4 * np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32)), pa.py_buffer(leaves)])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32))
+            columns = [part.column(0), part.column(2), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.add.reduceat(base, starts)), raw, pa.ListArray.from_arrays(offsets, tail)]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "part", "n_tokens", "n_known", "base_score", "leaves", "tail"])
 
         for b in batches:
-            texts, first, size = b.column(1).to_pylist(), 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "") // 6 + 1
-                if size >= 2 * BATCH or k == len(texts) - 1:
-                    yield score(texts[first : k + 1], b.column(0).slice(first, k + 1 - first))
+            first = size = 0
+            for k, n_bytes in enumerate(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                size += n_bytes // 6 + 1
+                if size >= 2 * BATCH or k == b.num_rows - 1:
+                    yield read(b.slice(first, k + 1 - first))
                     first, size = k + 1, 0
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    schema = f"id {dict(d.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:int,k:int>>"
-    scored = cut_lineage(d.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.n", "x.k")
-    all_counts = counts.select(F.xxhash64("word").alias("h"), "c")
-    all_counts = all_counts.where(F.col("c") < v.least)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(keep).cast("int").alias("part"))
+    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, part int, n_tokens long, n_known long, base_score double, leaves binary, tail array<struct<h:long,k:tinyint,s:float>>")
+
+
+def histories_of(leaves: np.ndarray, sizes: np.ndarray, padding: int) -> np.ndarray:
+    """32-bit hashes of the features of each token's history; words below the head count as their class, places before a text as padding."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(leaves)) - np.repeat(starts, sizes)
+    back = [np.where(place >= k, np.roll(leaves, k), padding).astype(np.uint32) for k in (1, 2, 3)]
+    one, two, three = ((b + np.uint32(1)) * np.uint32(0x9E3779B1) for b in back)
+    mix = lambda x, salt: (x ^ (x >> np.uint32(15)) ^ np.uint32(salt)) * np.uint32(0x85EBCA6B)
+    return np.stack([mix(one, 1), mix(one + mix(two, 2), 3), mix(two, 4), mix(three, 5)])
+
+
+@dataclass
+class EntropyModel:
+    """Class weights, a row per hashed feature, and weights per hashed feature and node."""
+
+    tree: Tree
+    bits: int
+    rows: np.ndarray
+    weights: np.ndarray
+
+    @property
+    def row_bits(self) -> int:
+        return self.bits - CLASSES.bit_length() + 1
+
+
+def empty_model(v: Vocabulary) -> EntropyModel:
+    bits = min(MOST_BITS, max(LEAST_BITS, (v.tokens // TOKENS_PER_WEIGHT).bit_length()))
+    return EntropyModel(build_tree(v), bits, np.zeros(((1 << bits) // CLASSES, CLASSES), np.float32), np.zeros(1 << bits, np.float32))
+
+
+def class_scores(model: EntropyModel, histories: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Probabilities of all classes, by a softmax over the sum of the features' rows, and those rows' places."""
+    rows = [(h >> np.uint32(32 - model.row_bits)).astype(np.uint16) for h in histories]
+    z = np.take(model.rows, rows[0], axis=0)
+    for r in rows[1:]:
+        z += np.take(model.rows, r, axis=0)
+    z += model.tree.bias
+    np.exp(z, out=z)
+    z *= 1 / (z @ np.ones((CLASSES, 1), np.float32))
+    return z, rows
+
+
+def choices(model: EntropyModel, leaves: np.ndarray, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All two-way choices on the tokens' ways to their leaves: how many of each token, outcome, its probability of 1, and places of the weights."""
+    t = model.tree
+    first = np.take(t.start, leaves)
+    sizes = np.take(t.start, leaves + 1) - first
+    flat = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    flat += np.arange(len(flat))
+    node = np.take(t.node, flat)
+    z = np.take(t.odds, node)
+    salt = node.astype(np.uint32) * np.uint32(0xC2B2AE35)
+    places = []
+    for h in histories[:NODE_FEATURES]:
+        x = np.repeat(h, sizes)
+        x ^= salt
+        x *= np.uint32(0x9E3779B1)
+        x >>= np.uint32(32 - model.bits)
+        places.append(x.astype(np.int64))
+        z += np.take(model.weights, places[-1])
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return sizes, np.take(t.bit, flat), np.reciprocal(z, out=z), places
+
+
+def gradient(model: EntropyModel, leaves: np.ndarray, histories: np.ndarray) -> np.ndarray:
+    """Slope of the log-likelihood in every weight and how often it is used.
+
+    In order: slopes of the class rows and of the nodes' weights, uses of the
+    nodes' weights and of the class rows.
+    """
+    n = 1 << model.bits
+    out = np.zeros(3 * n + n // CLASSES)
+    p, rows = class_scores(model, histories)
+    np.negative(p, out=p)
+    p[np.arange(len(leaves)), np.take(model.tree.classes, leaves)] += 1
+    off, places = p.ravel().astype(np.float64), np.empty(p.shape, np.int64)
+    for r in rows:
+        np.add(CLASSES * r.astype(np.int64)[:, None], np.arange(CLASSES), out=places)
+        out[:n] += np.bincount(places.ravel(), off, n)
+        out[3 * n :] += np.bincount(r, minlength=n // CLASSES)
+    _, bit, one, places = choices(model, leaves, histories)
+    off = np.subtract(bit, one, dtype=np.float64)
+    for x in places:
+        out[n : 2 * n] += np.bincount(x, off, n)
+        out[2 * n : 3 * n] += np.bincount(x, minlength=n)
+    return out
+
+
+def log_probabilities(model: EntropyModel, leaves: np.ndarray, histories: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each token's leaf given its history: its class's, and that of its way within the class."""
+    p, _ = class_scores(model, histories)
+    out = np.log(np.maximum(p[np.arange(len(leaves)), model.tree.classes[leaves]], 1e-30)).astype(np.float64)
+    sizes, bit, one, _ = choices(model, leaves, histories)
+    picked = np.log(np.maximum(np.where(bit == 1, one, 1 - one), 1e-30))
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(picked, dtype=np.float64)])
+    return out + total[ends] - total[ends - sizes]
+
+
+def _batches(batches: Iterator[pa.RecordBatch], column: int, padding: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Leaves, histories and sizes of whole texts with about ``BATCH`` tokens at a time."""
+
+    def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        leaves, sizes = np.frombuffer(b"".join(texts), np.int32), [len(t) // 4 for t in texts]
+        return leaves, histories_of(leaves, np.array(sizes), padding), sizes
+
+    for b in batches:
+        held, size = [], 0
+        for t in b.column(column).to_pylist():
+            held.append(t)
+            size += len(t) // 4
+            if size >= BATCH:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> EntropyModel:
+    """Fit all weights to ``part, leaves`` by rounds of distributed gradient updates.
+
+    The texts of part k train in round k, those of other parts not. In a round
+    every task sums the slopes of the log-likelihood over its texts at the
+    weights of the round before, and how often each weight is used; their sums
+    over all tasks give each weight a damped step, as long as slope by bound of
+    the curvature (a quarter a use of a choice, what the class's share gives
+    for a row). The result does not depend on how texts are dealt over tasks.
+    The number of weights grows with the training tokens up to a bound; a task
+    sends a vector of 16-bit numbers of that size, whatever it reads.
+    """
+    model = empty_model(vocabulary)
+    n, padding = 1 << model.bits, len(vocabulary.words) + CLASSES
+    for k in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], model: EntropyModel = model) -> np.ndarray | None:
+            total = None
+            for leaves, histories, _ in _batches(batches, 0, padding):
+                for a in range(0, len(leaves), 2 * BATCH):
+                    g = gradient(model, leaves[a : a + 2 * BATCH], histories[:, a : a + 2 * BATCH])
+                    total = g if total is None else np.add(total, g, out=total)
+            return total
+
+        part = texts.where(F.col("part") == k).select("leaves")
+        scans = part.rdd.getNumPartitions()
+        tasks = min(scans, max(scans // 4, 2 * part.sparkSession.sparkContext.defaultParallelism))
+        model = stepped(model, sum_vectors(part.coalesce(tasks), sums, 3 * n + n // CLASSES, "float32", "bfloat16", tasks))
+    return model
+
+
+def stepped(model: EntropyModel, total: np.ndarray) -> EntropyModel:
+    """The model after a step along the summed ``gradient``."""
+    n = 1 << model.bits
+    share = np.exp(model.tree.bias)
+    rows = total[:n].reshape(-1, CLASSES) / (total[3 * n :, None] * (share * (1 - share)) + PRIOR)
+    weights = total[n : 2 * n] / (total[2 * n : 3 * n] / 4 + PRIOR)
+    return EntropyModel(model.tree, model.bits, (model.rows + STEP * rows).astype(np.float32), (model.weights + STEP * weights).astype(np.float32))
+
+
+def score_texts(texts: DataFrame, model: EntropyModel, vocabulary: Vocabulary, counts: DataFrame) -> DataFrame:
+    """``id, n_tokens, n_known, base_score, score`` of every text that ``read_texts`` gave.
+
+    A token's probability is that of its class given the three tokens before,
+    times that of its way within the class given the same. Words below the head
+    share a leaf of their class: there a word has its share of the class's rare
+    training tokens, less what is kept for unseen words, plus its spelling's
+    share of what is kept; over all strings probabilities add up to 1. Rare
+    words' hashes are joined with the counts and come back as sums. Null and
+    empty texts are the end token alone. One output row per input row, repeated
+    rows included; an empty table gives an empty result.
+    """
+    v, padding = vocabulary, len(vocabulary.words) + CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for leaves, histories, sizes in _batches(iter([b]), 1, padding):
+                logs = [log_probabilities(model, leaves[a : a + BATCH], histories[:, a : a + BATCH]) for a in range(0, len(leaves), BATCH)]
+                out.append(np.add.reduceat(np.concatenate(logs), np.cumsum(sizes) - sizes) / np.log(10))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.concatenate(out) if out else np.zeros(0))], names=["row", "id", "n_tokens", "n_known", "base_score", "score"])
+
+    columns = ["id", "n_tokens", "n_known", "base_score"]
+    types = dict(texts.dtypes)
+    numbered = texts.select("row", "leaves", *columns)
+    scored = numbered.mapInArrow(run, f"row long, {', '.join(f'{c} {types[c]}' for c in columns)}, score double")
+    rare = texts.select("row", F.inline("tail"))
+    all_counts = counts.where(F.col("c") < v.least).select(F.xxhash64("word").alias("h"), "c")
     c = F.coalesce("c", F.lit(0))
-    pick = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("k") + 1)
-    within = F.when(c > 0, F.log10(c.cast("double")) + pick(share)).otherwise(pick(np.log10(np.maximum(v.unseen, 1e-12))))
+    shares = np.where(v.rare_tokens > 0, (1 - v.unseen) / np.maximum(v.rare_tokens, 1), 0.0)
+    seen = c * F.element_at(F.array(*[F.lit(float(x)) for x in shares]), F.col("k") + 1)
     joined = rare.join(all_counts, "h", "left").select(
         "row",
-        F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("more_known"),
-        (F.col("n") * (F.log10(c + F.lit(1.0)) - v.floor)).alias("more_base"),
-        (F.col("n") * within).alias("more_score"),
+        (c > 0).cast("long").alias("more_known"),
+        (F.log10(c + F.lit(1.0)) - v.floor).alias("more_base"),
+        F.log10(seen + F.exp(F.col("s").cast("double"))).alias("more_score"),
     )
     sums = joined.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return scored.join(sums, "row", "left").select("id", "n_tokens", plus("n_known", "more_known"), plus("base_score", "more_base"), plus("score", "more_score"))
 
 
-def _training(docs: DataFrame, id_col: str | Column = "doc_id") -> DataFrame:
-    return docs.where(fold(id_col, 7) != 2)
+def fit_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary]:
+    """Learn from the texts where ``training`` holds, and score all; also gives the vocabulary.
+
+    Texts are counted, then read into numbers once, which training and scoring share.
+    """
+    part = F.when(training, F.pmod(F.xxhash64(text_col), F.lit(ROUNDS))).otherwise(-1)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), part.alias("part"))
+    counts = cut_lineage(count_tokens(d.where("part >= 0"), "t"))
+    vocabulary = read_vocabulary(counts)
+    texts = stored(read_texts(d, vocabulary, "id", "t").withColumn("row", F.monotonically_increasing_id()))
+    return score_texts(texts, train(texts, vocabulary), vocabulary, counts), vocabulary
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learned from the folds other than 2 of 7; null texts are empty, repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = _training(docs)
-    counts = cut_lineage(count_tokens(training))
-    vocabulary = read_vocabulary(counts)
-    out = score_texts(docs, train(training, vocabulary), counts)
+    out, vocabulary = fit_and_score(docs, fold("doc_id", 7) != 2)
     return out.select(
         F.col("id").alias("doc_id"),
         (fold("id", 7) == 2).alias("held_out"),

@@ -277,40 +277,112 @@ def test_marginals_are_exact():
 # Language model
 
 
-def test_lm(spark):
+def _lm_tokens(x):
+    return [*(x or "").encode().lower().split(), b""]
+
+
+def _token_log10(v, model, counts, spelling, history, word):
+    """A token's probability the long way; ``history`` has the three leaves before, None before the text."""
+    u32, n, t = (1 << 32) - 1, len(v.words), model.tree
+    ids = {w: k for k, w in enumerate(v.words)}
+    back = [(n + lm.CLASSES if x is None else x) + 1 for x in history]
+    one, two, three = (b * 0x9E3779B1 & u32 for b in back)
+    mix = lambda x, salt: (((x & u32) ^ ((x & u32) >> 15) ^ salt) * 0x85EBCA6B) & u32
+    keys = [mix(one, 1), mix(one + mix(two, 2), 3), mix(two, 4), mix(three, 5)]
+    z = [float(t.bias[k]) + sum(float(model.rows[h >> (32 - model.row_bits), k]) for h in keys) for k in range(lm.CLASSES)]
+    k = zlib.crc32(word[-2:]) % lm.CLASSES
+    out = z[k] - math.log(sum(map(math.exp, z)))
+    leaf = ids.get(word, n + k)
+    for c in range(t.start[leaf], t.start[leaf + 1]):
+        node = int(t.node[c])
+        at = [((h ^ node * 0xC2B2AE35 & u32) * 0x9E3779B1 & u32) >> (32 - model.bits) for h in keys[: lm.NODE_FEATURES]]
+        odds = float(t.odds[node]) + sum(float(model.weights[x]) for x in at)
+        out -= math.log(1 + math.exp(-odds if t.bit[c] else odds))
+    if leaf >= n:
+        share = v.unseen[k] * math.exp(spelling.of([word])[0] - spelling.share[k])
+        if v.rare_tokens[k]:
+            share += (1 - v.unseen[k]) * counts.get(word, 0) / v.rare_tokens[k]
+        out += math.log(share)
+    return out / math.log(10), leaf
+
+
+@pytest.mark.parametrize("head", [1 << 17, 40])
+def test_lm(spark, monkeypatch, head):
+    """Every column against the long way, with all words in the head and with rare ones joined."""
+    monkeypatch.setattr(lm, "HEAD", head)
     rnd = random.Random(8)
-    texts = [prose(rnd, rnd.choice([EN, DE]), 60) for _ in range(300)] + [None, "", "Neverseen ÄB\x1cC", "the the"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tail", F.lit(0))
-    tok = lambda x: [*(x or "").encode().lower().split(), b""]
-    training = lm._training(d)
-    counts = lm.count_tokens(training)
-    vocabulary = lm.read_vocabulary(counts)
-    c = collections.Counter(t for k, x in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for t in tok(x))
-    assert (vocabulary.tokens, vocabulary.distinct) == (sum(c.values()), len(c))
-    model = lm.train(training, vocabulary)
-    out = {r["id"]: r for r in lm.score_texts(d, model, counts).collect()}
-    for k, x in enumerate(texts):
-        base = sum(math.log10((c[t] + 1) / (vocabulary.tokens + vocabulary.distinct + 1)) for t in tok(x))
-        assert out[k]["n_tokens"] == len(tok(x)) and out[k]["n_known"] == sum(t in c for t in tok(x))
-        assert out[k]["base_score"] == pytest.approx(base) and out[k]["score"] < 0
-    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 == 2]
-    assert sum(out[k]["score"] for k in held) > sum(out[k]["base_score"] for k in held)
-    p = lm.class_probabilities(model.weights, model.bias, np.zeros((4, 5), np.uint16))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
-def test_lm_tail_join_changes_nothing(spark, monkeypatch):
-    rnd = random.Random(9)
-    texts = [prose(rnd, EN + DE, 40) for _ in range(80)]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    counts = lm.count_tokens(d)
-    scores = []
-    for head in (1 << 17, 40):
-        monkeypatch.setattr(lm, "HEAD", head)
-        v = lm.read_vocabulary(counts)
-        model = lm.EntropyModel(v, np.zeros((lm.BUCKETS, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32))
-        scores.append({r["id"]: (round(r["score"], 6), round(r["base_score"], 6), r["n_known"]) for r in lm.score_texts(d, model, counts).collect()})
-    assert scores[0] == scores[1] and lm.read_vocabulary(counts.limit(0)).tokens == 0
+    texts = [prose(rnd, rnd.choice([EN, DE]), 60) for _ in range(300)] + [None, "", "Neverseen ÄB\x1cC", "the the", "the the"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tail", F.lit(0)).withColumn("part", F.lit("x")).withColumn("row", F.lit(1))
+    d = d.union(d.where("doc_id = 5"))
+    monkeypatch.setattr(lm, "table", lambda *a: d)
+    kept = {}
+    monkeypatch.setattr(lm, "train", lambda texts, v, real=lm.train: kept.setdefault("m", (v, real(texts, v)))[1])
+    rows = lm.op1_lm_scoring(spark, "").collect()
+    assert len(rows) == len(texts) + 1
+    v, model = kept["m"]
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    c = collections.Counter(t for k, x in [*enumerate(texts), (5, texts[5])] if not held(k) for t in _lm_tokens(x))
+    assert (v.tokens, v.distinct) == (sum(c.values()), len(c)) and (head == 40) == bool(v.rare_tokens.sum())
+    spelling = lm.Spelling(v.words)
+    for r in rows:
+        tokens, score, history = _lm_tokens(texts[r["doc_id"]]), 0.0, [None] * 3
+        for t in tokens:
+            p, leaf = _token_log10(v, model, c, spelling, history, t)
+            score, history = score + p, [leaf, *history[:2]]
+        base = sum(math.log10((c[t] + 1) / (v.tokens + v.distinct + 1)) for t in tokens)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(tokens), sum(t in c for t in tokens), v.tokens)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score, rel=1e-4)
+    some = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
+
+
+def test_lm_of_an_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(lm, "table", lambda *a: spark.createDataFrame([], "doc_id long, text string"))
+    assert lm.op1_lm_scoring(spark, "").count() == 0
+    monkeypatch.setattr(lm, "table", lambda *a: spark.createDataFrame([(18, "all held out")], "doc_id long, text string"))
+    r = lm.op1_lm_scoring(spark, "").first()
+    assert r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and -1000 < r["score"] < 0
+
+
+def test_lm_probabilities_add_up():
+    """Over all leaves given any history, and over the strings of a class by their spelling."""
+    rng = np.random.default_rng(9)
+    words = [b"", *[bytes([x]) for x in range(1, 200)], *[bytes([x, x]) for x in range(1, 100)]]
+    counts = np.sort(rng.zipf(1.5, len(words)).clip(1, 1000))[::-1]
+    v = lm.Vocabulary(1, words, counts, int(counts.sum()), len(words), rng.integers(0, 50, lm.CLASSES).astype(float), rng.integers(0, 9, lm.CLASSES).astype(float))
+    model = lm.empty_model(v)
+    model.rows[:], model.weights[:] = rng.normal(size=model.rows.shape), rng.normal(size=model.weights.shape)
+    leaves = np.arange(len(words) + lm.CLASSES)
+    for k in range(5):
+        history = np.repeat(rng.integers(0, 1 << 32, (4, 1), dtype=np.uint64).astype(np.uint32), len(leaves), axis=1)
+        assert np.exp(lm.log_probabilities(model, leaves, history)).sum() == pytest.approx(1, abs=1e-3)
+    spelling = lm.Spelling(words)
+    strings = [bytes([x]) for x in range(256)] + [bytes([x, y]) for x in range(256) for y in range(256)]
+    p = np.exp(spelling.of(strings))
+    long = 1 - p.sum()
+    heads = np.exp(spelling.of(words[1:])).sum()
+    by_class = np.bincount([lm.class_of(w) for w in strings if w not in set(words)], p[[w not in set(words) for w in strings]], lm.CLASSES)
+    assert np.exp(spelling.share).sum() == pytest.approx(1 - heads)
+    assert 0 <= long and (by_class <= np.exp(spelling.share) + 1e-9).all() and np.exp(spelling.share).sum() - by_class.sum() == pytest.approx(long)
+
+
+def test_lm_gradient_is_the_slope():
+    rng = np.random.default_rng(10)
+    words = [b"", b"a", b"bb", b"cab", b"dd", b"e"]
+    v = lm.Vocabulary(1, words, np.array([9, 7, 5, 3, 2, 1]), 27, 6, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES))
+    model = lm.empty_model(v)
+    model.rows[:], model.weights[:] = rng.normal(size=model.rows.shape), rng.normal(size=model.weights.shape)
+    leaves = rng.integers(0, 6, 40)
+    history = lm.histories_of(leaves, np.array([25, 15]), len(words) + lm.CLASSES)
+    g, n = lm.gradient(model, leaves, history), 1 << model.bits
+    for at in rng.choice(np.flatnonzero(g[: 2 * n]), 12, replace=False):
+        values = model.rows.ravel() if at < n else model.weights
+        old, ends = values[at % n], []
+        for x in (0.05, -0.05):
+            values[at % n] = old + x
+            ends.append(lm.log_probabilities(model, leaves, history).sum())
+        values[at % n] = old
+        assert (ends[0] - ends[1]) / 0.1 == pytest.approx(g[at], abs=2e-3)
 
 
 # Decontamination

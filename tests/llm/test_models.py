@@ -462,7 +462,49 @@ def test_leaks_of_short_items(spark, size):
     assert got == {(k, k) for k in range(60)}
 
 
-def test_common_subsequence():
+@pytest.mark.parametrize("length", [300, 3_000, 20_000])
+def test_leaks_in_documents_of_any_length(spark, monkeypatch, length):
+    """Against judging every passage of every document: copies and paraphrases, among words that all documents and items share."""
+    rnd = random.Random(35)
+    words = _vocabulary(rnd, 4000)
+    share = [1 / (k + 2) for k in range(len(words))]
+    text = lambda n: rnd.choices(words, share, k=n)
+    items = [" ".join(text(rnd.randrange(26, 60))) + ". " + " ".join(text(6)) + "." for _ in range(20)]
+    docs = []
+    for k in range(60 if length > 3_000 else 150):
+        body = text(length)
+        if k % 3 == 0:
+            w = items[k // 3 % 20].split()
+            kept = w if k % 2 else [x if rnd.random() < 0.7 else rnd.choice(words) for x in w]
+            at = rnd.randrange(length)
+            body[at:at] = kept
+        docs.append((k, " ".join(body)))
+    d = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").withColumn("terms", F.lit(1)).withColumn("item_id", F.lit(2))
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string").withColumn("doc_id", F.lit(1))
+    monkeypatch.setattr(decontam, "table", lambda spark, sf_dir, name: d if name == "documents" else b)
+    rows = decontam.op2_decontamination(spark, "").collect()
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in rows)
+    vocabulary = {w: k for k, w in enumerate(sorted({w for t in items for w in decontam.words_of(t)}), 1)}
+    df = np.zeros(len(vocabulary) + 1)
+    for _, t in [*docs, docs[0]]:
+        for w in set(decontam.words_of(t)) & vocabulary.keys():
+            df[vocabulary[w]] += 1
+    weights = decontam.term_weights(df, len(docs) + 1)
+    read = [decontam.read_item(k, t, vocabulary, weights) for k, t in enumerate(items)]
+    want = set()
+    for k, t in docs:
+        terms = np.array([vocabulary.get(w, 0) for w in decontam.words_of(t)])
+        for item in read:
+            if any(decontam.judge(item, terms, at)[2] for at in range(0, len(terms), decontam.STEP)):
+                want.add((k, item.key))
+    planted = {(k, k // 3 % 20) for k in range(1, len(docs), 2) if k % 3 == 0}
+    assert planted <= got.keys() and got.keys() <= want and len(got) >= 0.9 * len(want)
+    assert {n for (k, _), n in got.items() if k == 0} <= {2} and {n for (k, _), n in got.items() if k} == {1}
+    kept = decontam.drop_contaminated(spark, d, "")
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, _ in [*docs, docs[0]] if k not in {x for x, _ in got})
+
+
+def test_common_subsequence(monkeypatch):
     rnd = random.Random(11)
     for _ in range(50):
         a, b = ([rnd.randrange(6) for _ in range(rnd.randrange(1, 20))] for _ in range(2))
@@ -470,10 +512,10 @@ def test_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        masks = {}
-        for k, x in enumerate(a):
-            masks[x] = masks.get(x, 0) | 1 << k
-        assert decontam.common_subsequence(masks, len(a), b) == table[-1][-1]
+        assert decontam.common_subsequence(a, b) == decontam.common_subsequence(a, b, decontam._bits(a)) == table[-1][-1]
+        monkeypatch.setattr(decontam, "WORD", rnd.randrange(1, 7))
+        assert decontam.common_subsequence(a, b) == table[-1][-1]
+        monkeypatch.undo()
 
 
 # Toxicity

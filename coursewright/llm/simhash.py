@@ -135,6 +135,7 @@ class GrayIndex:
     def __init__(self, group: np.ndarray, prints: np.ndarray) -> None:
         n = len(group)
         self.prints, self.group, self.parent = prints, group, np.arange(n)
+        self.edges: list[np.ndarray] = []
         self.starts = [np.arange(n)]
         self.same, self.pattern = [np.full_like(prints, 0xFFFFFFFFFFFFFFFF)], [prints]
         while len(self.starts) < LEVELS and len(self.starts[-1]) > 1:
@@ -163,26 +164,43 @@ class GrayIndex:
         return k
 
     def _unite(self, i: np.ndarray, j: np.ndarray) -> None:
-        for a, b in zip(i.tolist(), j.tolist()):
+        """Join the components of linked rows; the links that do so are kept as edges."""
+        roots = np.stack([self.parent[i], self.parent[j]], axis=1)
+        roots.sort(axis=1)
+        _, one = np.unique(roots, axis=0, return_index=True)
+        kept = []
+        for k, a, b in zip(one.tolist(), i[one].tolist(), j[one].tolist()):
             a, b = self._root(a), self._root(b)
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
+                kept.append(k)
         while True:
             up = self.parent[self.parent]
             if (up == self.parent).all():
                 break
             self.parent = up
-
-    def components(self, radius: int) -> np.ndarray:
-        """For each row, the first row of its component under links of ``radius`` within its group."""
+        self.edges.append(np.stack([i[kept], j[kept]], axis=1))
+
+    def forest(self, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs that span each component, with their differences.
+
+        Rows of a group link if they differ in at most the last of ``radii``.
+        The radii are gone through in order, so components are joined by links
+        that are short, to within a step between radii.
+        """
+        g = self.group
+        for radius in radii:
+            near = np.flatnonzero((g[1:] == g[:-1]) & (np.bitwise_count(self.prints[1:] ^ self.prints[:-1]).sum(axis=1) <= radius) & (self.parent[1:] != self.parent[:-1]))
+            if len(near):
+                self._unite(near + 1, near)
+            self._descend(radius)
+        e = np.concatenate(self.edges) if self.edges else np.zeros((0, 2), np.int64)
+        return e, np.bitwise_count(self.prints[e[:, 0]] ^ self.prints[e[:, 1]]).sum(axis=1)
+
+    def _descend(self, radius: int) -> None:
         g, n = self.group, len(self.group)
         if n < 2:
-            return self.parent
-        near = np.flatnonzero((g[1:] == g[:-1]) & (np.bitwise_count(self.prints[1:] ^ self.prints[:-1]).sum(axis=1) <= radius))
-        linked = np.zeros(n, bool)
-        linked[near + 1] = True
-        heads = np.maximum.accumulate(np.where(linked, 0, np.arange(n)))
-        self.parent = heads
+            return
         top = len(self.starts) - 1
         first, last = self._bounds(top)
         reach = np.searchsorted(g[first], g[last], side="right")
@@ -199,11 +217,9 @@ class GrayIndex:
             keep = self._differences(level, i, j) <= radius
             i, j = i[keep], j[keep]
             if level == 0:
-                ri, rj = self.parent[i], self.parent[j]
-                new = ri != rj
+                new = self.parent[i] != self.parent[j]
                 if new.any():
-                    pairs = np.unique(np.stack([ri[new], rj[new]], axis=1), axis=0)
-                    self._unite(pairs[:, 0], pairs[:, 1])
+                    self._unite(i[new], j[new])
                 continue
             first, last = self._bounds(level)
             low = np.minimum.reduceat(self.parent, first)
@@ -222,11 +238,10 @@ class GrayIndex:
             ok = g[last[ci]] >= g[first[cj]]
             ci, cj = ci[ok], cj[ok]
             stack += [(level - 1, ci[k : k + block], cj[k : k + block]) for k in range(0, len(ci), block)]
-        return self.parent
 
 
-def _search(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Spanning edges ``src, dst`` of the links within each group of ``mask, bits``."""
+def _search(keyed: DataFrame, lanes: int, *radii: int) -> DataFrame:
+    """Spanning edges ``src, dst, apart`` of the links within each group of ``mask, bits``, with their differing bits."""
     prints = [f"f{k}" for k in range(lanes)]
 
     def link(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -240,9 +255,8 @@ def _search(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
         pair[1:] = group[1:] == group[:-1]
         pair[:-1] |= pair[1:].copy()
         node, group, p = node[pair], group[pair], np.ascontiguousarray(p[pair])
-        root = GrayIndex(group, p).components(radius) if len(node) else np.zeros(0, np.int64)
-        far = root != np.arange(len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], names=["src", "dst"])
+        e, apart = GrayIndex(group, p).forest(radii) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]]), pa.array(apart.astype(np.int32))], names=["src", "dst", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -268,7 +282,7 @@ def _search(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
             yield link(held)
 
     dealt = keyed.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(run, "src long, dst long, apart int")
 
 
 def _split_masks(free: int, parts: int) -> list[int]:
@@ -360,40 +374,71 @@ def _hex(c: Column) -> Column:
 
 #: Lanes over three-word shingles: two are compared to find candidates, the others make keys of 16 bits.
 WIDE, COMPARED = 12, 2
-#: Bits of those 128 in which texts of five-word similarity 0.8 differ at most (mean 15, plus 2.3 deviations).
-WIDE_RADIUS = 24
-#: Lanes over five-word shingles that decide, and the bits of them that texts of similarity 0.8 differ in at most (mean 77, plus 1.7 deviations).
-FINE, FINE_RADIUS = 8, 90
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = FINE_RADIUS, most: int = MOST_IN_GROUP) -> DataFrame:
-    """``id, component_id`` of every document, linking texts whose five-word shingles have a similarity of 0.8 or more.
-
-    Candidates: a pair of such texts differs in about 12 % of the bits of a
-    fingerprint over three-word shingles. Of 768 bits, 40 keys of 16 find the
-    pair (it agrees in one with a probability over 0.99), and the Gray index
-    compares the other 128. Decision: within each group of candidates the
-    index compares 512 bits over five-word shingles, of which such texts differ
-    in 77 on average. The similarity is estimated so to about 0.04, not
-    counted: pairs just under 0.8 may be linked; texts that share half of their
-    shingles are 4 deviations away. A group of more than ``most`` rows is searched
-    by pairs of its parts, with the same links. Null and empty texts are copies of each other. A null
-    id is never the smallest unless all are null; an empty table gives an
-    empty result.
+#: Bits of those 128 in which candidates differ at most. Texts of five-word similarity 0.8 differ in 15 where words are changed here and there, in 19 where a block is.
+WIDE_RADIUS = 30
+#: Lanes over five-word shingles, and how many of them make keys as well.
+FINE, FINE_KEYS = 8, 4
+#: Of those 512 bits texts of similarity 0.8 differ in 77, with a deviation of 8: so many and fewer are links, those up to the last are counted exactly.
+SURE, STEPS = 50, (50, 64, 77, 90, 104)
+SHINGLE, SIMILAR = 5, 0.8
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_GROUP) -> DataFrame:
+    """``id, sig, component`` of every document, linking texts whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Candidates: a fingerprint over three-word shingles has 768 bits and one
+    over five-word shingles 512. A pair that agrees in one of 56 keys of 16 bits
+    is compared in 128 others by the Gray index. Decision: within each group
+    of candidates the index compares the 512 bits and joins components by short
+    links first. Links of ``SURE`` bits stand (the similarity is then about
+    0.9, and under 0.8 in one of 2,000); longer ones between components are
+    counted on the texts' whole shingle sets and stand from ``SIMILAR``. A
+    group of more than ``most`` rows is searched by pairs of its parts, with
+    the same links.
+
+    ``sig`` is the text's hash, ``component`` the smallest ``(id is null, id,
+    sig)`` of its group. Null and empty texts are copies of each other. A null
+    id is never the smallest unless all are null; rows that repeat id and text
+    have the same values; an empty table gives an empty result.
     """
     wide, fine = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(FINE)]
-    every = cut_lineage(fingerprints(docs, id_col, text_col, 3, WIDE, more=(5, FINE)).select("id", F.xxhash64(*wide, *fine).alias("node"), *wide, *fine))
-    prints = cut_lineage(every.groupBy("node").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in (*wide, *fine)]))
-    short = F.array(*[F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in wide[COMPARED:] for k in range(4)])
-    keyed = prints.select("node", *wide[:COMPARED], F.posexplode(short).alias("mask", "bits"))
-    edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, WIDE_RADIUS, most)
+    d = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sig")).alias("key"), F.col(text_col).alias("t"))
+    every = cut_lineage(fingerprints(d, "key", "t", 3, WIDE, more=(SHINGLE, FINE)).select("id.id", "id.sig", F.xxhash64(*wide, *fine).alias("node"), *wide, *fine))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sig"))
+    prints = cut_lineage(every.groupBy("node").agg(least.alias("first_id"), *[F.first(c).alias(c) for c in (*wide, *fine)]))
+    keys = F.array(*[F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in (*wide[COMPARED:], *fine[:FINE_KEYS]) for k in range(4)])
+    keyed = prints.select("node", *wide[:COMPARED], F.posexplode(keys).alias("mask", "bits"))
+    edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, most, WIDE_RADIUS)
     groups = connected_components(edges)
     rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
-    labels = components_of(prints, _by_keys(cut_lineage(rows), FINE, radius, most))
-    return every.select("id", "node").join(labels, "node").select("id", "component_id")
-
-
-def _by_keys(keyed: DataFrame, lanes: int, radius: int, most: int) -> DataFrame:
+    links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS))
+    sure = links.where(F.col("apart") <= SURE)
+    more = _similar(d, prints, links.where(F.col("apart") > SURE), connected_components(sure))
+    labels = components_of(prints, sure.select("src", "dst").union(more))
+    return every.select("id", "sig", "node").join(labels, "node").select("id", "sig", F.col("component_id").alias("component"))
+
+
+def _similar(d: DataFrame, prints: DataFrame, links: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of ``links`` between different components of ``joined`` whose texts are similar by their whole shingle sets."""
+    for side in ("src", "dst"):
+        label = joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+        links = links.join(label, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+    links = cut_lineage(links.where("src_in <> dst_in").select("src", "dst").distinct())
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    texts = prints.join(nodes, "node").select("node", F.col("first_id.sig").alias("sig"))
+
+    def shingles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    held = d.select(F.col("key.sig").alias("sig"), "t").join(texts, "sig").groupBy("node").agg(F.first("t").alias("t"))
+    sets = cut_lineage(arrow_map(held, shingles, "node long, set array<long>", rows=64))
+    pairs = links.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("src", "dst")
+
+
+def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int) -> DataFrame:
     """Edges within the groups ``mask, bits``.
 
     A group of more than ``most`` rows is cut into parts of about half as many,
@@ -403,21 +448,29 @@ def _by_keys(keyed: DataFrame, lanes: int, radius: int, most: int) -> DataFrame:
     big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most))
     lean = keyed.select("node", *prints, "mask", "bits")
     if big.isEmpty():
-        return _search(lean, lanes, radius)
+        return _search(lean, lanes, *radii)
     n_parts = F.ceil(2 * F.col("count") / F.lit(most)).cast("long")
     hot = lean.join(big.select("mask", "bits", n_parts.alias("n")), ["mask", "bits"])
     hot = hot.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("part <> other")
     pair = F.xxhash64("bits", F.least("part", "other"), F.greatest("part", "other"))
     second = hot.select("node", *prints, (F.col("mask") + 1000).alias("mask"), pair.alias("bits"))
-    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, radius).union(_search(second, lanes, radius))
+    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, *radii).union(_search(second, lanes, *radii))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates, the document with the smallest id.
+    """Pipeline stage: of each group of near duplicates one document, with all its columns.
 
-    Rows that repeat an id stay or go together.
+    The one with the smallest id stays, a null id last; of rows that repeat id
+    and text any one. Another text under the id of a row that goes stays. Null
+    and empty texts are one group; an empty table stays empty.
     """
-    found = near_duplicates(docs).select(F.col("id").alias("__id"), "component_id")
-    gone = found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    found = near_duplicates(docs).groupBy("id", "sig").agg(F.first("component").alias("c"), F.count("*").alias("n"))
+    found = found.where((F.struct("id", "sig") != F.struct("c.id", "c.sig")) | F.col("id").isNull() & F.col("c.id").isNotNull() | (F.col("n") > 1))
+    gone = ~(F.col("id").eqNullSafe(F.col("c.id")) & (F.col("sig") == F.col("c.sig")))
+    marked = cut_lineage(found.select(F.col("id").alias("__id"), F.col("sig").alias("__sig"), gone.alias("__gone")))
+    own = docs.withColumn("__h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__sig"))
+    once = own.join(marked, same, "left_anti")
+    again = own.join(marked.where("not __gone"), same, "left_semi").dropDuplicates(["doc_id", "__h"])
+    return once.unionByName(again).select(*docs.columns)

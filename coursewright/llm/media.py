@@ -8,8 +8,10 @@ structure and lengths.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,6 +41,34 @@ MAGIC = (
 RATE = 8000
 
 
+class Blob(bytes):
+    """Bytes that remember where end marks stand, so that many headers before one mark don't each search for it."""
+
+    def __init__(self, *_: object) -> None:
+        self.marks: dict[bytes, list[int]] = {}
+        self.zips: dict[int, int] | None = None
+
+    def next(self, mark: bytes, at: int) -> int | None:
+        """Where ``mark`` first stands from ``at`` on."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        known = self.marks[mark]
+        k = bisect.bisect_left(known, at)
+        return known[k] if k < len(known) else None
+
+    def archives(self) -> dict[int, int]:
+        """End of the zip file that begins at each place, by its end record."""
+        if self.zips is None:
+            self.zips = {}
+            end = self.next(b"PK\x05\x06", 0)
+            while end is not None and end + 22 <= len(self):
+                size, offset, comment = struct.unpack_from("<IIH", self, end + 12)
+                if end + 22 + comment <= len(self):
+                    self.zips.setdefault(end - size - offset, end + 22 + comment)
+                end = self.next(b"PK\x05\x06", end + 4)
+        return self.zips
+
+
 def store(payload: bytes) -> bytes:
     """The payload as the samples of an 8-bit mono WAVE file."""
     n = len(payload)
@@ -88,14 +118,14 @@ def _png(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
+def _jpeg(b: Blob, at: int) -> tuple[int, str] | None:
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF and b[pos + 1] != 0xDA:
         pos += 2 + struct.unpack_from(">H", b, pos + 2)[0]
     if pos + 4 > len(b) or b[pos : pos + 2] != b"\xff\xda":
         return None
-    end = b.find(b"\xff\xd9", pos)
-    return (end + 2, "image/jpeg") if end > 0 else None
+    end = b.next(b"\xff\xd9", pos)
+    return (end + 2, "image/jpeg") if end else None
 
 
 def _gif(b: bytes, at: int) -> tuple[int, str] | None:
@@ -126,20 +156,15 @@ def _bmp(b: bytes, at: int) -> tuple[int, str] | None:
     return (at + size, "image/bmp") if ok else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, str] | None:
-    end = b.find(b"%%EOF", at)
-    return (end + 5, "application/pdf") if end > 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(b: Blob, at: int) -> tuple[int, str] | None:
+    end = b.next(b"%%EOF", at)
+    return (end + 5, "application/pdf") if end and b[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> tuple[int, str] | None:
+def _zip(b: Blob, at: int) -> tuple[int, str] | None:
     """A zip file from its first local header to the end record that points back at it."""
-    end = b.find(b"PK\x05\x06", at)
-    while end > 0 and end + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(b):
-            return end + 22 + comment, "application/zip"
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    end = b.archives().get(at)
+    return (end, "application/zip") if end else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
@@ -158,9 +183,61 @@ def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
     return (min(pos, len(b)) - len(z.unused_data), "application/gzip") if z.eof else None
 
 
+def _crc_table(width: int, polynomial: int) -> list[int]:
+    """Remainders of all bytes for a checksum of ``width`` bits, most significant bit first."""
+    top, every, out = 1 << (width - 1), (1 << width) - 1, []
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x & top else x << 1) & every
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_head(b: bytes, at: int) -> int | None:
+    """The end of a FLAC frame's header whose checksum holds."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    pos, ones = at + 4, 0
+    while b[pos] << ones & 0x80 and ones < 7:
+        ones += 1
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    pos += max(1, ones) + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in b[at:pos]:
+        crc = _CRC8[crc ^ x]
+    return pos + 1 if pos < len(b) and b[pos] == crc else None
+
+
 def _flac(b: bytes, at: int) -> tuple[int, str] | None:
-    ok = at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22"
-    return (len(b), "audio/flac") if ok else None
+    """Metadata blocks, then frames: each ends where its checksum holds and, but for the last, where the next begins."""
+    if at + 42 > len(b) or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
+        return None
+    pos, last = at + 4, False
+    while not last:
+        if pos + 4 > len(b):
+            return None
+        last = bool(b[pos] & 0x80)
+        pos += 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+    end = None
+    while (body := _flac_head(b, pos)) is not None:
+        crc, first, following = 0, None, None
+        for k in range(pos, len(b)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[k]]
+            if crc == 0 and k + 1 >= body + 2:
+                first = first or k + 1
+                if _flac_head(b, k + 1) is not None:
+                    following = k + 1
+                    break
+        if first is None:
+            return None
+        end = pos = following or first
+        if not following:
+            break
+    return (end, "audio/flac") if end else None
 
 
 def _ogg(b: bytes, at: int) -> tuple[int, str] | None:
@@ -172,15 +249,43 @@ def _ogg(b: bytes, at: int) -> tuple[int, str] | None:
     return (pos, "audio/ogg") if pages and pos <= len(b) else None
 
 
+#: Kilobits a second of MPEG audio frames by (version 1, layer) and code 1 to 14, and samples a second of version 1.
+KILOBITS = {
+    (True, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (False, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+HERTZ = (44100, 48000, 32000)
+
+
+def _mpeg_frame(b: bytes, at: int) -> int | None:
+    """The end of an MPEG audio frame, from its header."""
+    if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer = b[at + 1] >> 3 & 3, 4 - (b[at + 1] >> 1 & 3)
+    rate, hertz, padding = b[at + 2] >> 4, b[at + 2] >> 2 & 3, b[at + 2] >> 1 & 1
+    if version == 1 or layer == 4 or not 0 < rate < 15 or hertz == 3:
+        return None
+    bits = 1000 * KILOBITS[version == 3, layer][rate - 1]
+    hz = HERTZ[hertz] >> {3: 0, 2: 1, 0: 2}[version]
+    size = (12 * bits // hz + padding) * 4 if layer == 1 else (72 if layer == 3 and version != 3 else 144) * bits // hz + padding
+    return at + size if at + size <= len(b) else None
+
+
 def _id3(b: bytes, at: int) -> tuple[int, str] | None:
+    """A tag and the run of whole frames after it."""
     if at + 10 > len(b) or b[at + 3] not in (2, 3, 4) or any(x & 0x80 for x in b[at + 6 : at + 10]):
         return None
-    n = functools.reduce(lambda a, x: a << 7 | x, b[at + 6 : at + 10], 0)
-    end = at + 10 + n
-    return (len(b), "audio/mpeg") if end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xE0 == 0xE0 else None
+    pos, end = at + 10 + functools.reduce(lambda a, x: a << 7 | x, b[at + 6 : at + 10], 0), None
+    while (pos := _mpeg_frame(b, pos)) is not None:
+        end = pos
+    return (end, "audio/mpeg") if end else None
 
 
-CHECKS: dict[str, Callable[[bytes, int], tuple[int, str] | None]] = {
+CHECKS: dict[str, Callable[[Blob, int], tuple[int, str] | None]] = {
     "riff": _riff,
     "image/png": _png,
     "image/jpeg": _jpeg,
@@ -213,7 +318,7 @@ def sniff(blob: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     that its validator rejects is chance and counts for nothing. Embedded
     items do not overlap: the first confirmed one wins.
     """
-    outer, inside, taken = "application/octet-stream", [], 0
+    outer, inside, taken, blob = "application/octet-stream", [], 0, Blob(blob)
     for last, (n, kind) in machine().iter(blob.decode("latin-1")):
         at = last - n + 1
         if at and at < taken:
@@ -246,7 +351,7 @@ def _features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 zlib.crc32(back[-64:]),
                 len(blob),
                 hashlib.sha256(blob).hexdigest(),
-                f"declared={DECLARED};type={kind};embedded={names}",
+                f"declared={DECLARED};type={kind};corrected={kind != DECLARED};embedded={names}",
                 len(inside),
             )
         )
@@ -294,4 +399,5 @@ def carve(blobs: DataFrame, id_col: str = "id", blob_col: str = "blob", declared
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored form, lengths and digests of every document; null texts are empty, repeated rows stay."""
     return media_features(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")

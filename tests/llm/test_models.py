@@ -1,6 +1,7 @@
 """The other operators against brute force, exact round trips or held-out accuracy."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -118,7 +119,7 @@ def test_near_duplicates(spark):
             texts.append(" ".join(w))
             want.append(3 * g)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(d).collect()}
+    got = {r["id"]: r["component"]["id"] for r in simhash.near_duplicates(d).collect()}
     assert [got[k] for k in range(len(texts))] == want
     assert simhash.keep_one_of_each(spark, d, "").count() == 12
 
@@ -135,7 +136,7 @@ def test_links_do_not_depend_on_the_size_of_a_group(spark):
         rows.append((k, *f, [1000 * j + k for j in range(40)], 0, 5))
     d = spark.createDataFrame(rows, "node long, f0 long, f1 long, keys array<long>, mask long, bits long")
     for most in (2, 7, 10**9):
-        edges = [(r["src"], r["dst"]) for r in simhash._by_keys(d, 2, 12, most).collect()]
+        edges = [(r["src"], r["dst"]) for r in simhash._by_keys(d, 2, most, 12).collect()]
         label = list(range(90))
         for _ in rows:
             for a, b in edges:
@@ -226,6 +227,50 @@ def test_carving(spark):
     assert [(r["type"], r["corrected"], bytes(r["bytes"])) for r in rows] == [("image/png", True, good)]
 
 
+def test_lengths_of_formats():
+    """Every validator ends an item where it ends, with other bytes after it, and none of its beginnings is confirmed."""
+    import gzip
+    import io
+    import zipfile
+
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("a.txt", "hello" * 20)
+        z.writestr("b.txt", "x")
+    frame = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)
+    crc8 = lambda x: functools.reduce(lambda c, y: media._CRC8[c ^ y], x, 0)
+    crc16 = lambda x: functools.reduce(lambda c, y: (c << 8 & 0xFFFF) ^ media._CRC16[c >> 8 ^ y], x, 0)
+    flac = b"fLaC" + b"\x80\0\0\x22" + bytes(34)
+    for k in range(3):
+        head = bytes([0xFF, 0xF8, 0x69, 0x18, k, 0x0F])
+        body = head + bytes([crc8(head)]) + bytes(range(40))
+        flac += body + crc16(body).to_bytes(2, "big")
+    page = lambda n: b"OggS\0" + bytes(21) + b"\x01" + bytes([n]) + bytes(n)
+    items = {
+        "image/png": png(b"more"),
+        "image/jpeg": b"\xff\xd8\xff\xe0\0\x10" + bytes(14) + b"\xff\xda\0\x02" + bytes(30) + b"\xff\xd9",
+        "image/gif": b"GIF89a" + bytes(7) + b"\x2c" + bytes(9) + b"\x02\x03abc\0\x3b",
+        "image/bmp": b"BM" + struct.pack("<IIIIii", 70, 0, 54, 40, 2, 2) + bytes(44),
+        "application/pdf": b"%PDF-1.4\n stuff %%EOF",
+        "application/zip": archive.getvalue(),
+        "application/gzip": gzip.compress(b"hello" * 50),
+        "audio/flac": flac,
+        "audio/ogg": page(20) + page(30),
+        "audio/mpeg": b"ID3\x04\0\0\0\0\0\x05" + bytes(5) + 2 * frame,
+        "audio/wav": media.store(b"abcd"),
+    }
+    for kind, item in items.items():
+        outer, inside = media.sniff(b"\1\2" + item + b"\3 tail \4")
+        assert [(a, e, k) for a, e, k in inside][:1] == [(2, 2 + len(item), kind)], kind
+        assert media.sniff(item)[0] == kind
+        assert all(k != kind for _, _, k in media.sniff(b"\1" + item[: len(item) // 3])[1])
+
+
+def test_many_headers_before_one_mark():
+    blob = b"%PDF-1" * 200_000 + b"PK\x03\x04" * 200_000 + b"%%EOF"
+    assert media.sniff(blob)[0] == "application/pdf"
+
+
 # Language
 
 

@@ -10,9 +10,9 @@ from coursewright.functions.numbers import histogram_bin
 
 
 def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    from coursewright.functions.text import tokens
+    from coursewright.functions.text import exploded_tokens
 
-    return docs.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return exploded_tokens(docs, text).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def timeline(df: DataFrame, date: str, unit: str = "M", category: str | None = None) -> DataFrame:

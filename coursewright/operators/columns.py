@@ -101,12 +101,28 @@ def fill_counts(df: DataFrame, columns: tuple[str, ...] = ("learner_count", "tot
     return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in columns if c in df.columns})
 
 
-def fill_missing(df: DataFrame, how: dict[str, str | int | float]) -> DataFrame:
-    """Fill numeric columns with zero, mean or median, or any column with a value; statistics come from one aggregate."""
-    stats = {c: m for c, m in how.items() if m in ("mean", "median")}
-    values = df.agg(*[(F.avg(c) if m == "mean" else F.median(c)).alias(c) for c, m in stats.items()]).first() if stats else {}
-    pick = lambda c, m: 0 if m == "zero" else values[c] if c in stats else m
-    return df.fillna({c: v for c, m in how.items() if (v := pick(c, m)) is not None})
+def fill_missing(df: DataFrame, how: dict[str, str | int | float], as_of: str | None = None) -> DataFrame:
+    """Fill columns by ``how``, or with a value; statistics come from one aggregate.
+
+    Numbers: zero, mean, median, or ``default`` for the column's own. Dates:
+    today (``as_of``), min, max. Texts: the value given, blanks included.
+    """
+    types = dict(df.dtypes)
+    dates = {c for c in how if types.get(c, "").startswith(("date", "timestamp"))}
+    of = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
+    stats = {c: m for c, m in how.items() if m in of and types[c] != "string"}
+    values = df.agg(*[of[m](c).alias(c) for c, m in stats.items()]).first() if stats else {}
+
+    def value(c: str, m: str | int | float):
+        if c in stats:
+            return values[c]
+        if c in dates and m == "today":
+            return as_of
+        return 0 if m == "zero" else config.MISSING_DEFAULTS.get(c) if m == "default" else m
+
+    filled = {c: v for c, m in how.items() if c in df.columns and (v := value(c, m)) is not None}
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if types[c] == "string" else F.col(c)
+    return df.withColumns({c: F.coalesce(blank(c), F.lit(v).cast(types[c])) for c, v in filled.items()})
 
 
 def fill_ratios(df: DataFrame) -> DataFrame:

@@ -22,13 +22,12 @@ def latest_first(order: tuple[str, ...]) -> list[Column]:
 def dedupe_latest(df: DataFrame, key: str = "course_no", order: tuple[str, ...] = ("row_no",), keep_null_keys: bool = False) -> DataFrame:
     """The row of each key that became available last; null keys count as one key unless kept.
 
-    ``max_by``-like: rows are pre-aggregated before the shuffle, so a key with
-    very many rows is no burden, where a window would sort them all in one task.
+    The rank is cut to the first row before the shuffle too, so a key with very
+    many rows sends one row per task.
     """
-    rank = F.struct(F.coalesce(F.unix_micros(F.col("course_available_from").cast("timestamp")), F.lit(-(1 << 62))).alias("a"), *[(-F.col(c).cast("bigint")).alias(f"o{k}") for k, c in enumerate(order)])
-    whole = F.struct(*df.columns)
+    w = Window.partitionBy(key).orderBy(*latest_first(order))
     out = df.where(F.col(key).isNotNull()) if keep_null_keys else df
-    best = out.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, rank).alias("x")).select("x.*")
+    best = out.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
     return best.union(df.where(F.col(key).isNull())) if keep_null_keys else best
 
 
@@ -90,7 +89,7 @@ def merge_sources(df: DataFrame, key: str = "course_no", order: tuple[str, ...]
         else:
             plan.append(F.min_by(col, F.when(col.isNotNull(), rank)).alias(c))
     if "data_source" in df.columns:
-        plan.append(F.countDistinct("data_source").alias("data_sources_count"))
+        plan.append(F.size(F.collect_set("data_source")).cast("bigint").alias("data_sources_count"))
     k = F.trim(F.col(key).cast("string"))
     return df.where(k.isNotNull() & (k != "")).groupBy(k.alias(key)).agg(*plan)
 

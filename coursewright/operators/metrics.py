@@ -156,3 +156,53 @@ def top_values(df: DataFrame, columns: tuple[str, ...], n: int = 10) -> DataFram
 
 def by_group(df: DataFrame, group: str, **measures: Column) -> DataFrame:
     return df.groupBy(group).agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def date_validity(df: DataFrame) -> DataFrame:
+    """``column, valid, invalid, pct`` of each column with an ``_is_valid`` flag beside it; a null flag is invalid."""
+    names = [c[: -len("_is_valid")] for c in df.columns if c.endswith("_is_valid") and c[: -len("_is_valid")] in df.columns]
+    ok = lambda c: F.coalesce(F.col(f"{c}_is_valid"), F.lit(False))
+    one = df.agg(*[x for c in names for x in (F.count_if(ok(c)).alias(f"{c}__v"), F.count_if(~ok(c)).alias(f"{c}__i"), F.round(F.avg(ok(c).cast("double")) * 100, 1).alias(f"{c}__p"))])
+    return to_rows(one, [(c, f"{c}__v", f"{c}__i", f"{c}__p") for c in names], ("column", "valid", "invalid", "pct"))
+
+
+def documented_score(df: DataFrame) -> DataFrame:
+    """Add ``documented_score``: 0.4 for required fields, 0.3 for valid dates, 0.3 for metadata, each by its share."""
+    share = lambda cs: sum((c.cast("double") for c in cs), F.lit(0.0)) / len(cs)
+    dates = [F.coalesce(F.col(f"{c}_is_valid"), F.lit(False)) for c in config.DATE_COLUMNS]
+    parts = (0.4, [filled(c) for c in config.REQUIRED_FIELDS]), (0.3, dates), (0.3, [filled(c) for c in ("course_keywords", "course_version")])
+    return df.withColumn("documented_score", F.round(sum((w * share(cs) for w, cs in parts), F.lit(0.0)), 6))
+
+
+def focus(df: DataFrame, columns: tuple[str, ...] = ("person_type", "course_type")) -> DataFrame:
+    """``field, value, n, pct`` of audiences and course types; null is Unknown."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")) for c in columns])).alias("x")).select("x.*")
+    total = df.agg(F.count("*").alias("total"))
+    return long.groupBy("field", "value").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("field", "value", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
+
+
+def kpis(df: DataFrame, as_of: str) -> DataFrame:
+    """The numbers at the head of the dashboard, as one row."""
+    words = df.where("course_keywords is not null").select(F.explode(F.split("course_keywords", ",")).alias("k")).select(F.lower(F.trim("k")).alias("k")).where("k <> ''")
+    one = df.agg(
+        F.countDistinct("course_no").alias("courses"),
+        F.count_if(F.col("cross_reference_count") > 1).alias("multi_source"),
+        F.countDistinct("data_source").alias("sources"),
+        F.countDistinct("region_entity").alias("regions"),
+        F.countDistinct("course_type").alias("types"),
+        F.sum("learner_count").alias("learners"),
+        F.countDistinct("person_type").alias("audiences"),
+        F.countDistinct("category_name").alias("categories"),
+        F.countDistinct("course_created_by").alias("authors"),
+        F.count_if(is_active(F.col("course_discontinued_from"), as_of)).alias("active"),
+    )
+    return one.join(F.broadcast(words.agg(F.countDistinct("k").alias("keywords"))))
+
+
+def size_bands(df: DataFrame, column: str = "learner_count", bounds: tuple[int, ...] = (0, 10, 50, 100, 500)) -> DataFrame:
+    """Rows by band of a count: up to each bound, and above the last."""
+    c, band = F.col(column), None
+    for low, b in zip((None, *bounds), bounds):
+        label = f"<= {b}" if low is None else f"{low + 1}-{b}"
+        band = F.when(c <= b, label) if band is None else band.when(c <= b, label)
+    return df.groupBy(band.when(c > bounds[-1], f"> {bounds[-1]}").otherwise("unknown").alias("band")).agg(F.count("*").alias("n"))

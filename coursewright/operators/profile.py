@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright import config
-from coursewright.functions.text import category_confidence, tokens
+from coursewright.functions.text import category_confidence, exploded_tokens
 from coursewright.operators.graph import connected_components
 from coursewright.operators.metrics import filled, to_rows
 
@@ -44,10 +44,8 @@ def correlations(df: DataFrame, columns: tuple[str, ...], least: float = 0.7) ->
     def corr(a: str, b: str) -> Column:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        n = F.count(x)
-        cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-        vx, vy = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
-        return F.round(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)), 6)
+        vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(vary, F.round(F.corr(x, y), 6))
 
     one = df.agg(*[corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     rows = to_rows(one, [(f"{a}|{b}", f"r{k}") for k, (a, b) in enumerate(pairs)], ("pair", "r"))
@@ -96,7 +94,7 @@ def text_patterns(df: DataFrame, column: str, order: str, rows: int = 100) -> Da
 def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """``term, score`` with the largest summed TF-IDF over n-grams of up to ``most`` words (unnormalised weights)."""
     # each token with those after it in its text, so that no array is cut again and again
-    t = docs.select("id", F.posexplode(tokens(F.col("text"))).alias("k", "t"))
+    t = exploded_tokens(docs, "text", "id").withColumnRenamed("term", "t")
     w = Window.partitionBy("id").orderBy("k")
     runs = [F.concat_ws(" ", "t", *[F.lead("t", j).over(w) for j in range(1, n)]) for n in range(1, most + 1)]
     whole = [F.lit(True), *[F.lead("t", n - 1).over(w).isNotNull() for n in range(2, most + 1)]]
@@ -110,7 +108,7 @@ def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int =
 
 def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
     """Each text's ``n`` most frequent tokens, in alphabetical order; ties in that order too."""
-    tf = docs.select("id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    tf = exploded_tokens(docs, "text", "id").withColumnRenamed("term", "w").groupBy("id", "w").agg(F.count("*").alias("n"))
     best = tf.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), 1, n).alias("top"))
     return best.select("id", F.array_join(F.array_sort(F.transform("top", lambda s: s["w"])), ",").alias("keywords"))
 
@@ -121,7 +119,7 @@ def department_overlap(docs: DataFrame, least: float = 0.3) -> DataFrame:
     A term of both weighs 1, of one alone ln(3/2) + 1. With a department's
     squared sums known, only shared terms are joined.
     """
-    tf = docs.where("dept is not null").select("dept", F.explode(tokens(F.col("text"))).alias("term")).groupBy("dept", "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = exploded_tokens(docs.where("dept is not null"), "text", "dept").groupBy("dept", "term").agg(F.count("*").cast("double").alias("tf"))
     squares = tf.groupBy("dept").agg(F.sum(F.col("tf") * F.col("tf")).alias("s"))
     a, b = tf.select(F.col("dept").alias("dept_1"), "term", F.col("tf").alias("x")), tf.select(F.col("dept").alias("dept_2"), "term", F.col("tf").alias("y"))
     shared = a.join(b, "term").where("dept_1 < dept_2").groupBy("dept_1", "dept_2").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("terms"))
@@ -163,14 +161,26 @@ def density_clusters(nodes: DataFrame, links: DataFrame, least: int = 5) -> Data
     return nodes.select("id").join(cores.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def stratified_sample(df: DataFrame, by: str, key: str, size: int = 10_000, groups: int = 20, least: int = 50, seed: int = 1) -> DataFrame:
-    """About ``size`` rows, the same share of each of the largest groups, by the hash of the key (a sampling operator)."""
+def stratified_sample(df: DataFrame, by: str | None, key: str, size: int = 10_000, groups: int = 20, least: int = 50, seed: int = 1) -> DataFrame:
+    """About ``size`` rows, drawn by a hash of the key (a sampling operator).
+
+    Each of the largest groups of ``by`` gives the same share; what is then
+    missing of ``size`` comes from all rows left. Without ``by`` all rows are
+    one group.
+    """
+    d = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")))
+    if by is None or by not in df.columns:
+        return d.orderBy("__h", key).limit(size).drop("__h")
     top = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).withColumn("quota", F.least("count", F.greatest(F.lit(least), F.lit(size // groups))))
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / float(1 << 32)
     w = Window.partitionBy(by).orderBy("__h", key)
     # twice the quota passes the hash, so the exact rank is taken over few rows
-    near = df.join(F.broadcast(top), by).withColumn("__h", h).where(F.col("__h") * F.col("count") <= 2 * F.col("quota") + 50)
-    return near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("quota")).drop("__h", "__r", "count", "quota")
+    near = d.join(F.broadcast(top), by).where(place * F.col("count") <= 2 * F.col("quota") + 50)
+    drawn = near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("quota")).select(*df.columns)
+    missing = size - (top.agg(F.sum("quota")).first()[0] or 0)
+    if missing <= 0:
+        return drawn
+    return drawn.union(d.join(drawn.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti").orderBy("__h", key).limit(missing).select(*df.columns))
 
 
 def insights(metadata: DataFrame, terms: DataFrame, overlap: DataFrame) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions.dates import micros, parse_date
 
 
-def _middle(c: Column, valid: Column) -> Column:
-    """Median of valid dates, in microseconds."""
-    return F.median(F.when(valid, micros(c))).cast("bigint")
+def _middles(d: DataFrame, key: str, flags: dict[str, str]) -> DataFrame:
+    """The median of each column's valid dates by key, in microseconds, as ``__m_<column>``.
+
+    Equal dates are counted before they meet, so a key holds its distinct
+    dates, however many rows have them.
+    """
+    valid = F.array(*[F.when(F.col(f), F.struct(F.lit(c).alias("c"), micros(F.col(c)).alias("t"))) for c, f in flags.items()])
+    counts = d.where(F.col(key).isNotNull()).select(key, F.explode(F.filter(valid, lambda x: x.isNotNull())).alias("x")).select(key, "x.*").groupBy(key, "c", "t").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key, "c")
+    upto = F.sum("n").over(w.orderBy("t"))
+    ranked = counts.select(key, "c", "t", "n", upto.alias("upto"), F.sum("n").over(w).alias("all"))
+    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    middle = (F.max(F.when(holds(low), F.col("t"))) + F.max(F.when(holds(high), F.col("t")))) / 2
+    per = ranked.groupBy(key, "c").agg(middle.cast("bigint").alias("m"))
+    return per.groupBy(key).agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"__m_{c}") for c in flags])
 
 
 def _date(c: Column) -> Column:
@@ -44,13 +57,13 @@ def repair_dates(df: DataFrame, as_of: str) -> DataFrame:
         others = F.coalesce(*[F.when(F.col(flag(o)), F.col(o)) for o in config.DATE_COLUMNS if o != c])
         d = d.withColumn("__fill", others).withColumns({c: F.when(F.col(flag(c)), F.col(c)).otherwise(F.coalesce("__fill", c)), flag(c): F.col(flag(c)) | F.col("__fill").isNotNull()}).drop("__fill")
     d = d.withColumn("__prefix", F.substring("course_no", 1, 4))
-    medians = d.groupBy("__prefix").agg(*[_middle(F.col(c), F.col(flag(c))).alias(f"__m_{c}") for c in config.DATE_COLUMNS]).where("__prefix is not null")
+    medians = _middles(d, "__prefix", {c: flag(c) for c in config.DATE_COLUMNS})
     d = d.join(medians, "__prefix", "left")
     for c in config.DATE_COLUMNS:
         m = _date(F.col(f"__m_{c}"))
         d = d.withColumns({c: F.when(F.col(flag(c)), F.col(c)).otherwise(F.coalesce(m, F.col(c))), flag(c): F.col(flag(c)) | m.isNotNull()})
     d = d.drop("__prefix", *[f"__m_{c}" for c in config.DATE_COLUMNS])
-    source = d.groupBy(F.col("data_source").alias("__source")).agg(_middle(F.col(start), F.col(flag(start))).alias("__m")).where("__source is not null")
+    source = _middles(d, "data_source", {start: flag(start)}).toDF("__source", "__m")
     d = d.join(source, F.col("data_source") == F.col("__source"), "left")
     new_year = F.trunc(F.add_months(now.cast("date"), -12), "year").cast("timestamp_ntz")
     d = d.withColumn(start, F.when(F.col(flag(start)), F.col(start)).otherwise(F.coalesce(_date(F.col("__m")), new_year))).drop("__source", "__m")

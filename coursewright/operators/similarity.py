@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions.numbers import similarity_bin
-from coursewright.functions.text import tokens
+from coursewright.functions.text import exploded_tokens
 
 
 def weighted_text(title: Column, *others: Column) -> Column:
@@ -16,6 +16,16 @@ def weighted_text(title: Column, *others: Column) -> Column:
     return F.concat_ws(" ", title, title, title, *others)
 
 
+def weighted_texts(courses: DataFrame, id_col: str, title: str, *others: str) -> DataFrame:
+    """``id, text`` of the courses whose weighted text is not blank."""
+    return courses.select(F.col(id_col).alias("id"), weighted_text(F.col(title), *map(F.col, others)).alias("text")).where(F.trim("text") != "")
+
+
+def cross_department(described: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` most similar pairs across departments."""
+    return described.where("is_cross_dept").orderBy(F.desc("score"), "id_1", "id_2").limit(n)
+
+
 def representatives(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, copies`` of each distinct text, under its smallest id: copies never multiply pairs."""
     return df.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"), F.count("*").alias("copies"))
@@ -34,7 +44,7 @@ def term_weights(docs: DataFrame, vocabulary: int = 5000) -> DataFrame:
     largest counts, ties in the order of the terms; a table of that bounded
     size is what joins back.
     """
-    tf = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = exploded_tokens(docs, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
     n = docs.agg(F.count("*").alias("n"))
     terms = terms.join(F.broadcast(n)).select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))

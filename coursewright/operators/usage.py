@@ -49,6 +49,13 @@ def top_interests(df: DataFrame, n: int = 5) -> DataFrame:
     return df.groupBy("interest_area").agg(F.sum("completion_count").alias("completions")).orderBy(F.desc("completions"), "interest_area").limit(n)
 
 
+def category_counts(flagged: DataFrame) -> DataFrame:
+    """How many rows have each training category's flag; a row may have several."""
+    names = list(config.TRAINING_CATEGORIES)
+    one = flagged.agg(*[F.count_if(F.col(f"is_{c}")).alias(c) for c in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n")) for c in names])).alias("x")).select("x.*")
+
+
 def report(df: DataFrame, as_of: str) -> str:
     """The analyses as text with headings; each part is a few rows."""
     parts = {

@@ -113,6 +113,45 @@ def strict_rules(as_of: str) -> dict[str, Column]:
     }
 
 
+def value_types(df: DataFrame, keys: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """Notes on categories and keywords that are not text; a Spark column has one type, so it shows in the plan."""
+    types = dict(df.dtypes)
+    odd = [(c, what) for c, what, fits in (("category_name", "Category name", ("string",)), ("course_keywords", "Keywords", ("string", "array<string>"))) if types.get(c, "string") not in fits]
+    return findings(df, [_rule(F.col(c).isNotNull(), "INFO", c, f"{what} converted from {types[c]} to string") for c, what in odd], keys)
+
+
+def model_rules() -> dict[str, Column]:
+    """Limits of a course's other measures; null where the value is fine."""
+    minutes, score, level, age = (F.col(c) for c in ("duration_mins", "quality_score", "activity_level", "course_age_days"))
+    return {
+        "duration_mins": _first((minutes < 0, "Duration cannot be negative"), (minutes > 60 * 1000, "Duration exceeds reasonable limit (1000 hours)")),
+        "quality_score": _first(((score < 0) | (score > 1), "Quality score must be between 0 and 1")),
+        "activity_level": _first((~level.isin("none", "low", "medium", "high"), "Activity level must be one of: none, low, medium, high")),
+        "course_age_days": _first((age < 0, "Course age cannot be negative"), (age > 5 * 365, "Course age exceeds reasonable limit (5 years)")),
+    }
+
+
+def check_model(df: DataFrame, keys: tuple[str, ...] = ("row_no",)) -> DataFrame:
+    """One row per measure outside its limits; rules of absent columns are skipped."""
+    return findings(df, [_rule(c.isNotNull(), "ERROR", f, c) for f, c in model_rules().items() if f in df.columns], keys)
+
+
+def validation_totals(df: DataFrame, found: DataFrame, key: str = "row_no") -> DataFrame:
+    """Rows in all, rows without an error, rows with one, and warnings and errors in all."""
+    per = found.groupBy(F.col(key).alias("__key")).agg(F.count_if(F.col("severity") == "WARNING").alias("w"), F.count_if(F.col("severity") == "ERROR").alias("e"))
+    d = df.select(key).join(per, F.col(key) == F.col("__key"), "left")
+    bad = F.coalesce(F.col("e"), F.lit(0)) > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    return d.agg(F.count("*").alias("total"), F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), total("w")("warnings"), total("e")("errors"))
+
+
+def result_counts(results: DataFrame) -> DataFrame:
+    """Errors of results that are not valid and warnings of all, from rows with ``is_valid`` and arrays ``errors`` and ``warnings``."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return results.agg(total(F.when(~F.col("is_valid"), F.greatest(n("errors"), F.lit(0)))).alias("errors"), total(F.greatest(n("warnings"), F.lit(0))).alias("warnings"))
+
+
 def check_strictly(df: DataFrame, as_of: str, keys: tuple[str, ...] = ("row_no",)) -> DataFrame:
     """One row per field that fails its rules; rules of absent columns are skipped."""
     rules = {f: c for f, c in strict_rules(as_of).items() if f in df.columns}

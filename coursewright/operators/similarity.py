@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,34 +80,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def embedding_pairs(vectors: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
-    """``id_1, id_2, score`` of ``id, embedding`` with a cosine of at least ``threshold``, exactly.
+#: Rows of a block, two of which a task compares.
+BLOCK = 4096
+
+
+def _block_pairs(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """``compare`` on every pair of blocks of about ``BLOCK`` rows, each pair in its own task.
 
-    Vectors are dealt over ``blocks``; each pair of blocks is compared in its
-    own task as a matrix product, so no task holds more than two blocks and a
-    vector travels once per block.
+    Blocks grow in number with the rows, so no task holds more than two; a row
+    travels once per block. ``compare`` gets both blocks and whether they are
+    the same one.
     """
-    v = vectors.where("embedding is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("embedding").cast("array<float>").alias("e"))
-    a = v.select("id", "e", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    a = a.select("id", "e", F.col("i").alias("own"), F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"))
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["e"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        own, ids = pdf["own"].to_numpy(), pdf["id"].to_numpy()
-        left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
-        out = []
-        for s in range(0, len(left), 512):
-            part = left[s : s + 512]
-            score = np.round(m[part] @ m[right].T, 6)
-            p, q = np.nonzero(score >= threshold)
-            x, y = ids[part[p]], ids[right[q]]
-            keep = x < y if key[0] == key[1] else np.ones(len(x), bool)
-            out.append(pd.DataFrame({"id_1": np.minimum(x, y)[keep], "id_2": np.maximum(x, y)[keep], "score": score[p, q][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"id_1": [], "id_2": [], "score": []})
+    blocks = max(1, -(-rows.count() // BLOCK))
+    v = rows.withColumn("own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    a = v.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    a = a.withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k")).drop("k")
+
+    def run(ij: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return compare(pdf[pdf["own"] == ij[0]], pdf[pdf["own"] == ij[1]], ij[0] == ij[1])
+
+    return a.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def embedding_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``id_1, id_2, score`` of ``id, embedding`` with a cosine of at least ``threshold``, exactly: pairs of blocks are compared as matrix products."""
+    v = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<float>").alias("e"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        unit = lambda pdf: (m := np.stack(pdf["e"].to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        out = [pd.DataFrame({"id_1": [], "id_2": [], "score": []})]
+        if len(left) and len(right):
+            m, n, x_ids, y_ids = unit(left), unit(right).T, left["id"].to_numpy(), right["id"].to_numpy()
+            for s in range(0, len(m), 512):
+                score = np.round(m[s : s + 512] @ n, 6)
+                p, q = np.nonzero(score >= threshold)
+                x, y = x_ids[s + p], y_ids[q]
+                keep = x < y if same else np.ones(len(x), bool)
+                out.append(pd.DataFrame({"id_1": np.minimum(x, y)[keep], "id_2": np.maximum(x, y)[keep], "score": score[p, q][keep]}))
+        return pd.concat(out[1:] or out)
 
     kind = dict(vectors.dtypes)["id"]
-    return a.groupBy("i", "j").applyInPandas(compare, f"id_1 {kind}, id_2 {kind}, score double")
+    return _block_pairs(v, "id", compare, f"id_1 {kind}, id_2 {kind}, score double")
 
 
 def describe_pairs(pairs: DataFrame, courses: DataFrame, high: float = 0.9) -> DataFrame:
@@ -225,7 +240,7 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity with up to four characters of common prefix weighted 0.1 each."""
+    """Jaro similarity; above 0.7, up to four characters of common prefix weigh 0.1 each."""
     if a == b:
         return 1.0 if a else 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
@@ -239,8 +254,10 @@ def jaro_winkler(a: str, b: str) -> float:
     if not hits:
         return 0.0
     m = len(hits)
-    swaps = sum(x != y for x, y in zip(hits, [c for c, u in zip(b, used) if u])) / 2
+    swaps = sum(x != y for x, y in zip(hits, [c for c, u in zip(b, used) if u])) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
         if x != y:
@@ -249,17 +266,50 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def fuzzy_titles(courses: DataFrame, least: float = 0.85, prefix: int = 3) -> DataFrame:
+#: Letters that titles are counted by; all others count as one more.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letter_counts(titles: list[str]) -> np.ndarray:
+    place = {c: k for k, c in enumerate(LETTERS)}
+    out = np.zeros((len(titles), len(LETTERS) + 1), np.int16)
+    for k, t in enumerate(titles):
+        for c in t:
+            out[k, place.get(c, len(LETTERS))] += 1
+    return out
+
+
+def fuzzy_titles(courses: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs of different titles with a Jaro-Winkler similarity of at least ``least``.
 
-    Distinct titles are compared within blocks of equal first letters, which
-    Jaro-Winkler weighs most; a title in many courses is compared once.
+    Distinct titles are compared by blocks; a title in many courses is compared
+    once. Two titles have at most as many matching characters as they share
+    letters, which bounds their Jaro similarity from above, and ``k`` equal
+    first letters add a tenth each of what is missing to 1. Only pairs whose
+    bound reaches ``least`` are compared letter by letter, so none is lost.
     """
     t = courses.where("title is not null and title <> ''").groupBy(F.lower(F.trim("title")).alias("title")).agg(F.count("*").alias("n"))
-    t = t.withColumn("block", F.substring("title", 1, prefix))
-    a, b = t.select("block", F.col("title").alias("title_1"), F.col("n").alias("n_1")), t.select("block", F.col("title").alias("title_2"), F.col("n").alias("n_2"))
-    pairs = string_ratio(a.join(b, "block").where("title_1 < title_2"), "title_1", "title_2")
-    return pairs.select("title_1", "title_2", "n_1", "n_2", F.round("jaro_winkler", 4).alias("similarity")).where(F.col("similarity") >= least)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        a, b = left["title"].tolist(), right["title"].tolist()
+        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+        ca, cb = _letter_counts(a), _letter_counts(b)
+        size_b = np.array([len(x) for x in b])
+        heads = lambda xs: np.array([x[:4].ljust(4, "\0") for x in xs], "U4").view(np.uint32).reshape(-1, 4)
+        ha, hb = (heads(x) if len(x) else np.zeros((0, 4), np.uint32) for x in (a, b))
+        out = []
+        for k, x in enumerate(a):
+            shared = np.minimum(ca[k], cb).sum(axis=1)
+            jaro = (shared / len(x) + shared / np.maximum(size_b, 1) + 1) / 3
+            prefix = np.logical_and.accumulate((ha[k] == hb) & (hb > 0), axis=1).sum(axis=1)
+            for j in np.flatnonzero(jaro + 0.1 * prefix * (1 - jaro) >= least - 1e-4).tolist():
+                if x < b[j] or (not same and x > b[j]):
+                    score = round(jaro_winkler(*sorted((x, b[j]))), 4)
+                    if score >= least:
+                        out.append((x, b[j], na[k], nb[j], score) if x < b[j] else (b[j], x, nb[j], na[k], score))
+        return pd.DataFrame(out, columns=["title_1", "title_2", "n_1", "n_2", "similarity"])
+
+    return _block_pairs(t, "title", compare, "title_1 string, title_2 string, n_1 long, n_2 long, similarity double")
 
 
 def course_pairs(courses: DataFrame, high: float = 0.6) -> DataFrame:
@@ -273,5 +323,5 @@ def course_pairs(courses: DataFrame, high: float = 0.6) -> DataFrame:
     pairs = embedding_pairs(courses.select("id", F.col("title_vec").alias("embedding")), need).withColumnRenamed("score", "title_score")
     side = lambda k: courses.select(F.col("id").alias(f"id_{k}"), F.col("text_vec").alias(f"v_{k}"), F.col("text_length").alias(f"n_{k}"))
     d = pairs.join(side(1), "id_1").join(side(2), "id_2").withColumn("text_score", F.round(cosine(F.col("v_1"), F.col("v_2")), 6))
-    score = F.round(combined_score(F.col("title_score"), F.col("text_score"), F.col("n_1"), F.col("n_2"), w), 6)
+    score = F.round(combined_score(F.col("title_score"), F.col("text_score"), F.col("n_1"), F.col("n_2"), w), 8)
     return d.select("id_1", "id_2", "title_score", "text_score", score.alias("score")).where(F.col("score") >= high)

@@ -74,12 +74,6 @@ def synthetic_keys(spark, sf):
     return columns.synthetic_keys(c).select("row_no", "course_no")
 
 
-@query("alternative_keys")
-def alternative_keys(spark, sf):
-    c = catalog(spark, sf).withColumn("course_no", F.when(F.col("row_no") % 6 != 0, F.col("course_no")))
-    return merge.alternative_keys(c).select("row_no", "key", "key_source", "key_confidence")
-
-
 @query(
     "file_structure",
     f"""{WITH}, c as (select course_no, course_title, category_name, row_no from catalog) select 'course_catalog' as kind, 0.9::double as confidence, round(3 / 7.0::double, 6) as coverage,
@@ -93,7 +87,7 @@ def file_structure(spark, sf):
 @query(
     "fuzzy_titles",
     """with t as (select lower(trim(p_name)) as title, count(*) as n from part group by 1), p as (select a.title as title_1, b.title as title_2, a.n as n_1, b.n as n_2,
-    round(jaro_winkler_similarity(a.title, b.title), 4) as similarity from t a join t b on a.title < b.title and left(a.title, 3) = left(b.title, 3)) select * from p where similarity >= 0.85""",
+    round(jaro_winkler_similarity(a.title, b.title), 4) as similarity from t a join t b on a.title < b.title) select * from p where similarity >= 0.85""",
 )
 def fuzzy_titles(spark, sf):
     return similarity.fuzzy_titles(read(spark, sf, "part").select(F.col("p_name").alias("title")))
@@ -111,20 +105,6 @@ def merge_keys_text(spark, sf):
     return read(spark, sf, "part").select("p_partkey", text.merge_key(c).alias("k"), text.title_key(c).alias("t"))
 
 
-@query("pair_cosines")
-def pair_cosines(spark, sf):
-    """TF-IDF cosine of each benchmark item with its reverse."""
-    b = read(spark, sf, "benchmark").select("item_id", "text", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("part"))
-    return b.select("item_id", F.round(text.pair_cosine(F.col("text"), F.col("part")), 6).alias("cosine"))
-
-
-@query("course_pairs")
-def course_pairs(spark, sf):
-    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("title_vec"), F.col("embedding").alias("text_vec"), (F.col("vec_id") % 50).alias("text_length"))
-    return similarity.course_pairs(e, 0.3)
-
-
-@query("analysis_courses")
 def analysis_courses(spark, sf):
     """The whole analysis over three exports with different headers."""
     c = catalog(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursewright import config
-from coursewright.functions import dates, text
+from coursewright.functions import text
 from coursewright.operators import charts, metrics, profile, recommend, similarity, usage as use
 from coursewright.plans.catalog_queries import CLEAN, QUALITY, SCORED, WITH
 from coursewright.plans.fixtures import CATALOG, USAGE, catalog, courses_text, embeddings, read, usage
@@ -127,7 +127,7 @@ def category_overlap(spark, sf):
 
 @query("title_ratios")
 def title_ratios(spark, sf):
-    """String ratios of neighbouring part names."""
+    """String ratios of each part's name and the name reversed."""
     p = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"), F.reverse("p_name").alias("b"))
     return similarity.string_ratio(p, "a", "b").select("p_partkey", F.round("indel", 4).alias("indel"), F.round("jaro_winkler", 6).alias("jaro_winkler"))
 
@@ -247,24 +247,6 @@ def id_match_pairs(spark, sf):
     return similarity.same_number_pairs(catalog(spark, sf).withColumn("numeric_course_id", text.numeric_course_id(F.col("course_no"))))
 
 
-@query("dbscan_clusters")
-def dbscan_clusters(spark, sf):
-    e = embeddings(spark, sf)
-    return profile.density_clusters(e, similarity.embedding_pairs(e, 0.3), 4)
-
-
-@query("dataset_recommendations")
-def dataset_recommendations(spark, sf):
-    d = catalog(spark, sf)
-    numbers = similarity.same_number_pairs(d.withColumn("numeric_course_id", text.numeric_course_id(F.col("course_no"))))
-    return recommend.dataset_recommendations(metrics.quality_metrics(d), _described(spark, sf), numbers)
-
-
-@query("recommendation_groups")
-def recommendation_groups(spark, sf):
-    return recommend.recommendation_groups(dataset_recommendations(spark, sf))
-
-
 # Profiles
 
 META = ("course_title", "category_name", "course_type", "region_entity", "course_keywords")
@@ -367,7 +349,7 @@ def top_terms(spark, sf):
     f"""with t as (select source as dept, unnest({TOKENS}) as term from documents where source is not null), tf as (select dept, term, count(*)::double as tf from t group by 1, 2),
     s as (select dept, sum(tf * tf) as s from tf group by 1),
     sh as (select a.dept as dept_1, b.dept as dept_2, sum(a.tf * b.tf) as dot, sum(a.tf * a.tf) as xx, sum(b.tf * b.tf) as yy, count(*) as terms from tf a join tf b on a.term = b.term and a.dept < b.dept group by 1, 2),
-    r as (select dept_1, dept_2, terms, round(dot / (sqrt(xx + power(ln(1.5) + 1, 2) * (x.s - xx)) * sqrt(yy + power(ln(1.5) + 1, 2) * (y.s - yy))), 4) as similarity from sh join s x on x.dept = dept_1 join s y on y.dept = dept_2)
+    r as (select dept_1, dept_2, terms, round(round(dot / (sqrt(xx + power(ln(1.5) + 1, 2) * (x.s - xx)) * sqrt(yy + power(ln(1.5) + 1, 2) * (y.s - yy))), 6), 4) as similarity from sh join s x on x.dept = dept_1 join s y on y.dept = dept_2)
     select * from r where similarity > 0.3""",
 )
 def dept_overlap(spark, sf):
@@ -375,16 +357,6 @@ def dept_overlap(spark, sf):
     return profile.department_overlap(d).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("insights")
-def insights(spark, sf):
-    return profile.insights(metadata_quality(spark, sf), top_terms(spark, sf), dept_overlap(spark, sf))
-
-
-@query("stratified_sample")
-def stratified_sample(spark, sf):
-    return profile.stratified_sample(courses_text(spark, sf).select("id", "dept", "category"), "dept", "id", 400)
-
-
 # Usage
 
 
@@ -478,10 +450,4 @@ def term_frequencies(spark, sf):
     return charts.term_frequencies(read(spark, sf, "benchmark"))
 
 
-@query("month_ends", "select item_id, 5 as n from benchmark")
-def month_ends(spark, sf):
-    ends = dates.month_ends(F.lit("2024-01-15").cast("date"), F.lit("2024-05-31").cast("date"))
-    return read(spark, sf, "benchmark").select("item_id", F.size(ends).alias("n"))
-
-
 SQL = {k: v for k, v in SQL.items() if v}

@@ -60,3 +60,19 @@ def test_numbers(spark):
     assert one(spark, "n-a", numbers.clean_number) is None
     assert [one(spark, v, numbers.activity_level, "long") for v in (None, 0, 10, 50, 51)] == [None, "none", "low", "medium", "high"]
     assert one(spark, 1.0, numbers.histogram_bin, "double") == 20
+
+
+def test_acronyms_and_compounds(spark):
+    long = " ".join(["word"] * 20_000) + " Big Data " + " ".join(["ABC"] * 20_000)
+    rows = {
+        "SQL and SQL, API: one, NLP (Natural Language) once, XML": (["API", "NLP", "SQL"], ["Natural Language"]),
+        "U.S.A. and USA; Data Lake1 Data": (["Data", "USA"], []),
+        "the New York Times": ([], ["New York Times", "the New York Times"]),
+        "IT Help Desk or HR IT": (["IT"], ["HR IT", "Help Desk", "IT Help Desk"]),
+        None: ([], []),
+    }
+    d = spark.createDataFrame([(t,) for t in [*rows, long]], "t string").select("t", text.acronyms(F.col("t")).alias("a"), text.compound_terms(F.col("t")).alias("c"))
+    got = {r["t"]: (r["a"], r["c"]) for r in d.collect()}
+    assert "ABC" in got[long][0]
+    for t, (a, c) in rows.items():
+        assert got[t] == (a, c), t

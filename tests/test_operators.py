@@ -145,3 +145,28 @@ def test_stream(spark, tmp_path):
     q = daily_trend(src).writeStream.format("memory").queryName("trend").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("trend").collect()) == [3, 3, 3]
+
+
+def test_title_ratios_against_a_table_of_subsequences(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from coursewright.plans import text_queries
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("needs the driver's tables")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    names = {r["p_partkey"]: r["p_name"].lower() for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    for r in text_queries.title_ratios(spark, "/root/testdata/sf0.001").collect():
+        a = names[r["p_partkey"]]
+        assert r["indel"] == round(round(200 * common(a, a[::-1]) / (2 * len(a))) / 100, 4)

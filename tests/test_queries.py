@@ -8,9 +8,13 @@ import __spark_entry__
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Those with the longest SQL or the most particular plans; the rest are compared by the driver on larger tables.
 NAMES = (
-    "monthly_trend std_course_number dedupe_latest merge_by_key completeness quality_metrics quality_score_rows activity_metrics validation_rows strict_validation "
-    "parse_dates alerts keywords tech_terms embed_pairs id_match_pairs correlations fk_containment fuzzy_titles aliased_columns assignment_hours timeline"
+    "monthly_trend std_course_number dedupe_latest merge_by_key completeness quality_metrics activity_metrics validation_rows strict_validation "
+    "parse_dates alerts keywords tech_terms embed_pairs id_match_pairs correlations fk_containment fuzzy_titles aliased_columns assignment_hours timeline "
+    "date_repair date_validity documented_score month_ends recommendation_groups insights dbscan_clusters text_clusters cross_dept_pairs pair_cosines course_pairs "
+    "title_winkler weighted_texts stratified_sample random_sample alternative_keys value_types model_limits validation_totals result_counts missing_options "
+    "focus kpis learner_bands top_creators category_counts organizations analysis_courses"
 ).split()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")

@@ -19,6 +19,8 @@ from coursewright.operators.graph import connected_components
 MOST_IN_GROUP = 20_000
 #: Runs of sorted fingerprints under one node, level by level.
 FAN_OUT, LEVELS = 8, 5
+#: Sets of spanning links that are given where links may turn out wrong.
+FORESTS = 4
 _ONES = np.uint64(0x0101010101010101)
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -136,6 +138,7 @@ class GrayIndex:
         n = len(group)
         self.prints, self.group, self.parent = prints, group, np.arange(n)
         self.edges: list[np.ndarray] = []
+        self.used = np.zeros(0, np.int64)
         self.starts = [np.arange(n)]
         self.same, self.pattern = [np.full_like(prints, 0xFFFFFFFFFFFFFFFF)], [prints]
         while len(self.starts) < LEVELS and len(self.starts[-1]) > 1:
@@ -181,22 +184,40 @@ class GrayIndex:
             self.parent = up
         self.edges.append(np.stack([i[kept], j[kept]], axis=1))
 
-    def forest(self, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    def _pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.minimum(i, j) * len(self.group) + np.maximum(i, j)
+
+    def forest(self, radii: tuple[int, ...], sure: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs that span each component, with their differences.
 
         Rows of a group link if they differ in at most the last of ``radii``.
         The radii are gone through in order, so components are joined by links
-        that are short, to within a step between radii.
+        that are short, to within a step between radii. Links of more than
+        ``sure`` bits may turn out wrong, so ``FORESTS`` sets of them are given
+        that have no pair in common, each spanning what the sure ones leave.
         """
-        g = self.group
-        for radius in radii:
-            near = np.flatnonzero((g[1:] == g[:-1]) & (np.bitwise_count(self.prints[1:] ^ self.prints[:-1]).sum(axis=1) <= radius) & (self.parent[1:] != self.parent[:-1]))
-            if len(near):
-                self._unite(near + 1, near)
-            self._descend(radius)
+        certain = [r for r in radii if sure is None or r <= sure]
+        for radius in certain:
+            self._join(radius)
+        base = self.parent.copy()
+        for _ in range(FORESTS if len(certain) < len(radii) else 0):
+            self.parent, before = base.copy(), len(self.edges)
+            for radius in radii[len(certain) :]:
+                self._join(radius)
+            if len(self.edges) == before:
+                break
+            self.used = np.unique(np.concatenate([self.used, *[self._pairs(e[:, 0], e[:, 1]) for e in self.edges[before:]]]))
         e = np.concatenate(self.edges) if self.edges else np.zeros((0, 2), np.int64)
         return e, np.bitwise_count(self.prints[e[:, 0]] ^ self.prints[e[:, 1]]).sum(axis=1)
 
+    def _join(self, radius: int) -> None:
+        g = self.group
+        near = np.flatnonzero((g[1:] == g[:-1]) & (np.bitwise_count(self.prints[1:] ^ self.prints[:-1]).sum(axis=1) <= radius) & (self.parent[1:] != self.parent[:-1]))
+        near = near[~np.isin(self._pairs(near, near + 1), self.used)]
+        if len(near):
+            self._unite(near + 1, near)
+        self._descend(radius)
+
     def _descend(self, radius: int) -> None:
         g, n = self.group, len(self.group)
         if n < 2:
@@ -218,6 +239,8 @@ class GrayIndex:
             i, j = i[keep], j[keep]
             if level == 0:
                 new = self.parent[i] != self.parent[j]
+                if len(self.used) and new.any():
+                    new[new] = ~np.isin(self._pairs(i[new], j[new]), self.used)
                 if new.any():
                     self._unite(i[new], j[new])
                 continue
@@ -240,7 +263,7 @@ class GrayIndex:
             stack += [(level - 1, ci[k : k + block], cj[k : k + block]) for k in range(0, len(ci), block)]
 
 
-def _search(keyed: DataFrame, lanes: int, *radii: int) -> DataFrame:
+def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None) -> DataFrame:
     """Spanning edges ``src, dst, apart`` of the links within each group of ``mask, bits``, with their differing bits."""
     prints = [f"f{k}" for k in range(lanes)]
 
@@ -255,7 +278,7 @@ def _search(keyed: DataFrame, lanes: int, *radii: int) -> DataFrame:
         pair[1:] = group[1:] == group[:-1]
         pair[:-1] |= pair[1:].copy()
         node, group, p = node[pair], group[pair], np.ascontiguousarray(p[pair])
-        e, apart = GrayIndex(group, p).forest(radii) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
+        e, apart = GrayIndex(group, p).forest(radii, sure) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
         return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]]), pa.array(apart.astype(np.int32))], names=["src", "dst", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +434,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, most, WIDE_RADIUS)
     groups = connected_components(edges)
     rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
-    links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS))
+    links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS, sure=SURE))
     sure = links.where(F.col("apart") <= SURE)
     more = _similar(d, prints, links.where(F.col("apart") > SURE), connected_components(sure))
     labels = components_of(prints, sure.select("src", "dst").union(more))
@@ -438,7 +461,7 @@ def _similar(d: DataFrame, prints: DataFrame, links: DataFrame, joined: DataFram
     return pairs.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("src", "dst")
 
 
-def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int) -> DataFrame:
+def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int, sure: int | None = None) -> DataFrame:
     """Edges within the groups ``mask, bits``.
 
     A group of more than ``most`` rows is cut into parts of about half as many,
@@ -448,14 +471,14 @@ def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int) -> DataFrame:
     big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most))
     lean = keyed.select("node", *prints, "mask", "bits")
     if big.isEmpty():
-        return _search(lean, lanes, *radii)
+        return _search(lean, lanes, *radii, sure=sure)
     n_parts = F.ceil(2 * F.col("count") / F.lit(most)).cast("long")
     hot = lean.join(big.select("mask", "bits", n_parts.alias("n")), ["mask", "bits"])
     hot = hot.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("part <> other")
     pair = F.xxhash64("bits", F.least("part", "other"), F.greatest("part", "other"))
     second = hot.select("node", *prints, (F.col("mask") + 1000).alias("mask"), pair.alias("bits"))
-    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, *radii).union(_search(second, lanes, *radii))
+    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, *radii, sure=sure).union(_search(second, lanes, *radii, sure=sure))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with ``checkpoint()`` and return the reread frame.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session has
-    none (local tests) is a temporary folder of this machine set.
+    The folder comes from ``spark.checkpoint.dir``. Only where a local session
+    has none, as in tests, is a temporary folder of this machine set; on a
+    cluster that would be lost with its machine, so it is an error there.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
+            master = context.master or ""
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = os.path.join(tempfile.gettempdir(), "coursewright-checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -18,9 +18,13 @@ from coursewright.operators.columns import null_tokens
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def read_csv(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """A CSV file with a header, all columns as text, missing values null, tagged with its source."""
-    d = null_tokens(spark.read.csv(path, header=True, escape='"', multiLine=True))
+def read_csv(spark: SparkSession, path: str, source: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header, all columns as text, missing values null, tagged with its source.
+
+    Values may hold line breaks, so a file is read by one task; with
+    ``multi_line`` false they may not, and large files are split.
+    """
+    d = null_tokens(spark.read.csv(path, header=True, escape='"', multiLine=multi_line))
     name = F.lit(source) if source else F.element_at(F.split(F.input_file_name(), "/"), -1)
     return d.withColumn("data_source", name) if "data_source" not in d.columns else d
 

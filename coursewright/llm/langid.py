@@ -238,14 +238,15 @@ def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str,
     own hash, so the sample does not depend on partitions. A line is cut into
     pieces of at most 600 characters, which bounds the sample's size.
     """
-    known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count()
-    n = sizes.count()
+    known = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
+    n = known.select("lang").distinct().count()
     if not n:
         return []
     share = max(20, most // n)
-    wanted = F.least(F.lit(1.0), F.lit(max(2.0 * share / 10, 40)) / F.col("count")) * 1_000_000
-    drawn = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).join(sizes, "lang").where(F.col("h") < wanted)
+    # only languages and hashes are ranked, and only the first rows of each language leave a task; texts stay where they are
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = known.select("lang", "h").withColumn("place", place).where(F.col("place") <= max(share // 5, 40)).select("lang", "h").distinct()
+    drawn = known.join(F.broadcast(first), ["lang", "h"], "left_semi")
     pieces = (
         drawn.select("lang", F.explode(F.split("text", "\n")).alias("line"))
         .select("lang", F.explode(F.regexp_extract_all("line", F.lit(r"(?s).{1,600}"), F.lit(0))).alias("line"))

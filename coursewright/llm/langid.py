@@ -246,7 +246,8 @@ def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str,
     # only languages and hashes are ranked, and only the first rows of each language leave a task; texts stay where they are
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     first = known.select("lang", "h").withColumn("place", place).where(F.col("place") <= max(share // 5, 40)).select("lang", "h").distinct()
-    drawn = known.join(F.broadcast(first), ["lang", "h"], "left_semi")
+    # a row for each drawn document; languages are few, as the model has BUCKETS weights for each
+    drawn = known.join(F.broadcast(first) if n <= 1_000 else first, ["lang", "h"], "left_semi")
     pieces = (
         drawn.select("lang", F.explode(F.split("text", "\n")).alias("line"))
         .select("lang", F.explode(F.regexp_extract_all("line", F.lit(r"(?s).{1,600}"), F.lit(0))).alias("line"))

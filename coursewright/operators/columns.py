@@ -50,6 +50,15 @@ def standardize(df: DataFrame) -> DataFrame:
     return apply_aliases(tidy_names(df))
 
 
+def column_type(name: str) -> str:
+    """The Spark type of a standard column; text unless listed."""
+    return config.COLUMN_TYPES.get(name, "string")
+
+
+def is_required(name: str) -> bool:
+    return name in config.REQUIRED_COLUMNS
+
+
 def add_missing(df: DataFrame, columns: tuple[str, ...] = config.REQUIRED_COLUMNS) -> DataFrame:
     """Add required columns that are absent, as nulls of their type."""
     return df.withColumns({c: F.lit(None).cast(config.COLUMN_TYPES.get(c, "string")) for c in columns if c not in df.columns})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions.numbers import similarity_bin
+from coursewright.functions.storage import cut_lineage
 from coursewright.functions.text import exploded_tokens
 
 
@@ -200,6 +201,28 @@ def combined_score(title: Column, description: Column, length_1: Column, length_
     return w * title + (1 - w) * F.coalesce(description, F.lit(0.0))
 
 
+def content_report(courses: DataFrame, threshold: float = 0.7) -> dict[str, DataFrame]:
+    """All that is made of similar content, from ``id, title, text, dept, category, activity``.
+
+    Pairs are computed once and kept in the shared checkpoint folder.
+    """
+    reps = representatives(courses, "id", "text")
+    pairs = cut_lineage(similar_pairs(term_weights(reps.select("id", "text")), threshold))
+    described = describe_pairs(pairs, courses)
+    nodes = network_nodes(pairs)
+    return {
+        "copies": members(courses, reps, "id", "text"),
+        "pairs": described,
+        "counts": counts(described),
+        "duplicates": potential_duplicates(described),
+        "across": cross_department(described),
+        "consolidation": consolidation(described),
+        "departments": department_matrix(described),
+        "nodes": nodes,
+        "edges": network_edges(pairs, nodes),
+    }
+
+
 def same_number_pairs(courses: DataFrame) -> DataFrame:
     """Courses whose numbers agree in digits but are written differently.
 

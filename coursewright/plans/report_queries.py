@@ -226,6 +226,19 @@ def alternative_keys(spark, sf):
     return merge.alternative_keys(c).select("row_no", "key", "key_source", "key_confidence")
 
 
+@query(
+    "odd_dates",
+    f"""{WITH}, c as (select row_no, case when row_no % 10 = 0 then 'soon' when row_no % 7 <> 0 then 'date' end as d from catalog)
+    select row_no, 'INFO' as severity, 'course_available_from' as field, 'Invalid available_from date format. Will attempt automatic conversion' as message from c where d = 'soon'
+    union all select row_no, 'INFO', 'course_available_from', 'Course available from date is recommended' from c where d is null
+    union all select row_no, 'WARNING', 'course_available_from', 'Missing required value for course_available_from' from c where d is null""",
+)
+def odd_dates(spark, sf):
+    """Findings about dates that are still text."""
+    r = F.col("row_no")
+    return validate.check_rows(catalog(spark, sf).select("row_no", F.when(r % 10 == 0, "soon").when(r % 7 != 0, F.concat(F.lit("2024-01-"), (r % 28 + 1).cast("string"))).alias("course_available_from")))
+
+
 @query("value_types", f"{WITH} select row_no, 'INFO' as severity, 'category_name' as field, 'Category name converted from bigint to string' as message from catalog where row_no % 5 <> 0 union all select row_no, 'INFO', 'course_keywords', 'Keywords converted from double to string' from catalog")
 def value_types(spark, sf):
     d = catalog(spark, sf).select("row_no", F.when(F.col("row_no") % 5 != 0, F.col("row_no").cast("bigint")).alias("category_name"), F.col("duration_mins").cast("double").alias("course_keywords"))

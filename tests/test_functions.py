@@ -76,3 +76,17 @@ def test_acronyms_and_compounds(spark):
     assert "ABC" in got[long][0]
     for t, (a, c) in rows.items():
         assert got[t] == (a, c), t
+
+
+def test_every_date_format(spark):
+    """One text for each format, which no format before it reads otherwise."""
+    from coursewright import config
+
+    shown = {
+        "yyyy-M-d": "2024-3-25", "d/M/yyyy": "25/3/2024", "M/d/yyyy": "3/25/2024", "yyyy/M/d": "2024/3/25", "d-M-yyyy": "25-3-2024", "M-d-yyyy": "3-25-2024", "yyyy.M.d": "2024.3.25", "d.M.yyyy": "25.3.2024",
+        "M.d.yyyy": "3.25.2024", "d MMM yyyy": "25 Mar 2024", "MMM d yyyy": "Mar 25 2024", "d MMMM yyyy": "25 March 2024", "MMMM d yyyy": "March 25 2024", "yyyy-M-d H:m:s": "2024-3-25 0:0:0",
+    }
+    assert tuple(shown) == config.DATE_FORMATS
+    d = spark.createDataFrame([(x,) for x in [*shown.values(), "soon", "NaT", "", None]], "c string").select("c", dates.parse_date(F.col("c")).alias("t"))
+    got = {r["c"]: r["t"] for r in d.collect()}
+    assert all(str(got[x])[:10] == "2024-03-25" for x in shown.values()) and not any(got[x] for x in ("soon", "NaT", "", None))

@@ -170,3 +170,65 @@ def test_title_ratios_against_a_table_of_subsequences(spark):
     for r in text_queries.title_ratios(spark, "/root/testdata/sf0.001").collect():
         a = names[r["p_partkey"]]
         assert r["indel"] == round(round(200 * common(a, a[::-1]) / (2 * len(a))) / 100, 4)
+
+
+def test_usage_report(spark):
+    rows = [(1, 6000, "leaders", "a", 45, 2.5, "x", dt.datetime(2024, 1, 1), "Safety"), (2, 10, "managers", None, 5, 0.5, None, None, "Safety")]
+    d = spark.createDataFrame(rows, "user_id long, completion_count long, persona_type string, delivery_method string, duration_minutes long, training_hours double, assignment_type string, available_from timestamp_ntz, interest_area string")
+    text = usage.report(d, "2024-06-30").split("\n")
+    assert [x for x in text if x.isupper()] == ["EDUCATION HISTORY", "PERSONAS", "DELIVERY METHODS", "CONTENT AGE", "ASSIGNMENT", "INTERESTS"]
+    assert "total_completions: 6010  high_volume: 1" in text and "interest_area: Safety  completions: 6010" in text
+
+
+def test_plans_from_column_names(spark):
+    from coursewright.operators import columns, merge
+
+    schemas = {"a": ["course_no", "category_name", "region_entity", "last_updated"], "b": ["course_no", "region_entity", "last_updated"], "c": ["category_name"]}
+    found = set(columns.joins_between(schemas))
+    assert found == {("a", "b", "primary_key_join", "course_no", 0.9), ("a", "b", "composite_join", "region_entity,last_updated", 0.7), ("a", "c", "categorical_join", "category_name", 0.6)}
+    assert merge.merge_plan(["course_no", "learner_count", "course_title"]) == {"learner_count": "sum", "course_title": "first"}
+    assert merge.merge_plan(["course_no", "course_title", "category_name", "duration_mins"])["duration_mins"] == "mean"
+    assert [merge.default_rule(c, n) for c, n in (("x_activity", True), ("minutes", True), ("title", False))] == ["sum", "mean", "first"]
+    frames = [(n, spark.createDataFrame([], ", ".join(f"{c} string" for c in cs))) for n, cs in (("odd", ["x"]), ("use", ["learner_count"]), ("cat", ["course_no", "course_title", "category_name"]), ("use2", ["learner_count"]))]
+    assert [n for n, _ in merge.rank_sources(frames)] == ["cat", "use", "use2", "odd"]
+
+
+def test_unnamed_columns_and_repeated_names(spark):
+    from coursewright.operators import columns
+
+    d = spark.createDataFrame([(None, "course 1", "5"), (" ", "title", "6")], "`Unnamed: 0` string, `Unnamed: 1` string, `Unnamed: 2` string")
+    assert sorted(columns.settle_unnamed(columns.tidy_names(d)).columns) == ["data_column_2", "inferred_course_title"]
+    assert columns.drop_unnamed(columns.tidy_names(d)).columns == []
+    assert columns.tidy_names(spark.createDataFrame([(1, 2, 3)], "`A b` int, `a-B` int, a_b int")).columns == ["a_b", "a_b_1", "a_b_2"]
+
+
+def test_lists_in_a_table_and_a_guarded_score(spark):
+    from coursewright.functions import numbers
+
+    r = spark.createDataFrame([("t", ["a", "b"], 1.7)], "title string, steps array<string>, score double")
+    assert writers.recommendations_table(r).first()["steps"] == "a\nb"
+    assert r.select(numbers.clamp01(F.col("score")).alias("s")).first()["s"] == 1.0
+
+
+def test_a_random_top_up_fills_the_sample(spark):
+    d = spark.range(1000).select(F.col("id"), F.concat(F.lit("d"), (F.col("id") % 40).cast("string")).alias("dept"))
+    s = profile.stratified_sample(d, "dept", "id", 300, groups=5, least=10)
+    assert s.count() == s.select("id").distinct().count() == 300
+    assert profile.stratified_sample(d, "absent", "id", 30).count() == 30 and profile.stratified_sample(d.limit(0), "dept", "id", 30).count() == 0
+
+
+def test_content_report(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, base, "a"), (2, base + " lambda", "b"), (3, base, "a"), (4, "something else entirely here", "b"), (5, base + " mu", "a")]
+    d = spark.createDataFrame([(i, t[:9], t, dept, "x", 10 * i) for i, t, dept in rows], "id long, title string, text string, dept string, category string, activity long")
+    r = similarity.content_report(d)
+    pairs = {(x["id_1"], x["id_2"]) for x in r["pairs"].collect()}
+    assert pairs == {(1, 2), (1, 5), (2, 5)} and r["counts"].first()["pairs"] == 3
+    assert {(x["id"], x["representative"]) for x in r["copies"].collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}
+    assert {(x["id_1"], x["id_2"]) for x in r["across"].collect()} == {(1, 2), (2, 5)} and r["nodes"].count() == 3 and r["edges"].count() == 3
+
+
+def test_columns_of_the_standard(spark):
+    assert columns.column_type("learner_count") == "bigint" and columns.column_type("anything") == "string"
+    assert columns.is_required("course_no") and not columns.is_required("learner_count")
+    assert validate.missing_columns(spark.createDataFrame([], "course_no string, course_title string")) == ["category_name", "course_description", "course_type", "region_entity", "course_available_from"]

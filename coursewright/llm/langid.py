@@ -360,9 +360,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is known; those without a letter go."""
+    """Pipeline stage: documents whose language is known, with all their columns.
+
+    Null, empty and other texts without a letter go, each row by its own id and
+    text; where no row tells a language, all others stay. Repeated rows stay
+    repeated; an empty table stays empty.
+    """
     wide = docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = label_texts(wide, fit_language_model(docs), id_col="__id").where(F.col("lang_pred") == UNKNOWN)
+    found = label_texts(wide, fit_language_model(docs), id_col="__id").where(F.col("n_words") == 0)
     gone = found.select(F.col("id.doc_id").alias("__id"), F.col("id.h").alias("__h")).distinct()
     keyed = docs.withColumn("__k", F.xxhash64("text"))
     return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")), "left_anti").select(*docs.columns)

@@ -102,13 +102,19 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines, digest of what is kept and keep bitmap of every document; null texts are one empty line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256"), "keep_rle")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, with only its first occurrences of shared lines."""
+    """Pipeline stage: every document, with only its first occurrences of shared lines and all its columns.
+
+    ``n_chars`` follows a text that loses lines; a null text stays null. A
+    document that loses all its lines stays, with an empty text. Rows that
+    repeat id and text keep the same lines; an empty table stays empty.
+    """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
     out = apply_bitmaps(rows, keep_bitmaps(docs))
     lost = F.col("n_dropped") > 0

@@ -246,9 +246,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and where they lie; null texts are the end id alone, repeated rows are packed each."""
     return pack(cut_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of every document and where they lie."""
+    """Pipeline stage: the pieces of every document and where they lie.
+
+    Null and empty texts are the end id alone; rows that repeat are packed as
+    often; other columns are not read; an empty table gives no pieces.
+    """
     return pack(cut_pieces(docs))

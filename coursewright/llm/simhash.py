@@ -385,6 +385,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null texts have fingerprint zero, repeated rows stay."""
     out = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), _hex(F.col("f0")).alias("fingerprint"), "component_id")
 

@@ -286,6 +286,8 @@ def test_language(spark):
     assert all(out[k]["lang_pred"] == "und" and out[k]["score"] == 0 for k in (901, 902, 903))
     assert {r.split(":")[0] for r in out[900]["runs"].split(",")} >= {"en", "de"} and 0 <= out[900]["score"] <= 1
     assert sorted(r["doc_id"] for r in langid.drop_unknown_language(spark, d, "").where("doc_id >= 900").collect()) == [900]
+    unlabelled = d.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.drop_unknown_language(spark, unlabelled, "").count() == 181
     nothing = langid.label_texts(d.limit(0), langid.fit_language_model(d.limit(0)))
     assert nothing.count() == 0
 

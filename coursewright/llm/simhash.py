@@ -264,7 +264,10 @@ class GrayIndex:
 
 
 def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None) -> DataFrame:
-    """Spanning edges ``src, dst, apart`` of the links within each group of ``mask, bits``, with their differing bits."""
+    """Spanning edges ``src, dst, apart`` of the links within each group of ``mask, bits``.
+
+    With ``sure`` they are linked pairs with their differing bits, else stars.
+    """
     prints = [f"f{k}" for k in range(lanes)]
 
     def link(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -278,7 +281,12 @@ def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None)
         pair[1:] = group[1:] == group[:-1]
         pair[:-1] |= pair[1:].copy()
         node, group, p = node[pair], group[pair], np.ascontiguousarray(p[pair])
-        e, apart = GrayIndex(group, p).forest(radii, sure) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
+        index = GrayIndex(group, p)
+        e, apart = index.forest(radii, sure) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
+        if sure is None and len(node):
+            # where only components matter, all keys give a row the same edge: to the first of its component
+            far = np.flatnonzero(index.parent != np.arange(len(node)))
+            e, apart = np.stack([far, index.parent[far]], axis=1), np.zeros(len(far))
         return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]]), pa.array(apart.astype(np.int32))], names=["src", "dst", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

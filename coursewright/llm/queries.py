@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, decontam, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity
+from coursewright.llm import chat, decontam, exact_dedup, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 
 ORACLES = {
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
 }

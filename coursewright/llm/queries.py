@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, decontam, exact_dedup, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity
+from coursewright.llm import alignment, chat, decontam, exact_dedup, langid, line_dedup, lm, media, packing, secrets, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_alignment": alignment.op11_alignment,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {

@@ -30,7 +30,7 @@ SECOND = 20
 #: Most id pairs whose counts are broadcast, the most frequent ones; all others are joined.
 FREQUENT = 1 << 15
 #: Units whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Both tokenizers begin a token at a single space between two other characters.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -95,6 +95,13 @@ def _written(vocabulary: str, pieces: str) -> tuple[np.ndarray, int]:
     return np.array([f"{k}{s}" for size, signs in ((n, ",|"), (m, ",;")) for k in range(size) for s in signs], object), 2 * n
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two rising sequences share."""
+    if not len(b):
+        return b
+    return a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]
+
+
 def close(t: Tokens, vocabulary: str, pieces: str) -> Closed:
     """The groups of tokens that reach from a cut to a cut.
 
@@ -103,7 +110,7 @@ def close(t: Tokens, vocabulary: str, pieces: str) -> Closed:
     """
     if not len(t.a):
         return NOTHING
-    cuts = np.intersect1d(t.a_end, t.b_end, assume_unique=True)
+    cuts = _common(t.a_end, t.b_end)
     group_a, group_b = np.searchsorted(cuts, t.a_end), np.searchsorted(cuts, t.b_end)
     written, second = _written(vocabulary, pieces)
     last = lambda g: np.append(g[1:] != g[:-1], True)
@@ -111,7 +118,8 @@ def close(t: Tokens, vocabulary: str, pieces: str) -> Closed:
     order[np.arange(len(t.a)) + np.searchsorted(group_b, group_a)] = 2 * t.a + last(group_a)
     order[np.arange(len(t.b)) + np.searchsorted(group_a, group_b, "right")] = second + 2 * t.b + last(group_b)
     text = "".join(written[order].tolist())[:-1].encode()
-    ends = np.union1d(t.a_end, t.b_end)
+    ends = np.sort(np.concatenate([t.a_end, t.b_end]), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]
     links = t.a[np.searchsorted(t.a_end, ends)] << SECOND | t.b[np.searchsorted(t.b_end, ends)]
     pairs, counts = np.unique(links, return_counts=True)
     return Closed(len(cuts), len(t.a), len(t.b), text, pairs, counts)
@@ -185,25 +193,54 @@ class Units(dict):
 
     No token of either goes on over such a space: the first tokenizer splits
     there, the second has no piece with a blank after another character,
-    which is checked; without that, whole texts are units.
+    which is checked; without that, whole texts are units. New units of a
+    text are encoded together for the same reason. ``broken`` has those
+    whose tokens' bytes differ from theirs.
     """
 
     def __init__(self, vocabulary: str, pieces: str) -> None:
         super().__init__()
-        self.first, self.second = _encoder(vocabulary), _pieces(pieces)
-        self.bytes_b = _byte_tables(vocabulary, pieces)[1]
-        crossing = any(re.search("[^▁]▁", self.second.id_to_piece(k)) for k in range(self.second.get_piece_size()))
-        self.split = (lambda text: [text]) if crossing else UNIT.split
-
-    def learn(self, units: set[str]) -> None:
+        self.first, self.second = _encoder(vocabulary).encode_ordinary, _pieces(pieces).encode
+        self.bytes_a, self.bytes_b, self.size_a, self.size_b = _byte_tables(vocabulary, pieces)
+        self.broken: set[str] = set()
+        self.whole = any(re.search("[^▁]▁", _pieces(pieces).id_to_piece(k)) for k in range(len(self.bytes_b)))
+        self.split = (lambda text: [text]) if self.whole else UNIT.split
+
+    def learn(self, words: list[str]) -> None:
+        """Encode the units of a text that are new; only the first and the last can begin or end with a blank."""
+        units = set(words)
         new = [u for u in units if u not in self]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
+            self.broken.clear()
             new = list(units)
-        encode, bytes_b = self.first.encode_ordinary, self.bytes_b
-        for u, b in zip(new, self.second.encode(new, num_threads=1)):
+        edges = {u for u in (words[0], words[-1]) if u.strip() != u or not u}
+        plain = [] if self.whole else [u for u in new if u not in edges]
+        if plain and self._together(plain):
+            new = [u for u in new if u not in self]
+        for u in new:
             full = " " + u
-            self[u] = array("i", encode(full)).tobytes(), array("i", b).tobytes(), b"".join([bytes_b[x] for x in b]) != full.encode()
+            a, b = self.first(full), self.second(u)
+            self[u] = array("i", a).tobytes(), array("i", b).tobytes()
+            if b"".join([self.bytes_b[x] for x in b]) != full.encode():
+                self.broken.add(u)
+
+    def _together(self, units: list[str]) -> bool:
+        """Encode units in one text and cut the ids at their ends; False if that text is broken."""
+        text = " ".join(units)
+        full = (" " + text).encode()
+        a, b = np.array(self.first(" " + text), np.int32), self.second(text)
+        if b"".join([self.bytes_b[x] for x in b]) != full:
+            return False
+        b = np.array(b, np.int32)
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        cut = [np.searchsorted(size[x].cumsum(), ends, "right").tolist() for x, size in ((a, self.size_a), (b, self.size_b))]
+        i = j = 0
+        a, b = a.tobytes(), b.tobytes()
+        for u, m, n in zip(units, *cut):
+            self[u] = a[4 * i : 4 * m], b[4 * j : 4 * n]
+            i, j = m, n
+        return True
 
 
 @functools.cache
@@ -215,19 +252,21 @@ def fragment(text: str, left: int, right: int, vocabulary: str, pieces: str) ->
     """The fragment of bytes ``left`` to ``right`` of space + ``text``, from the ids of its units."""
     units = _units(vocabulary, pieces)
     words = units.split(text)
-    units.learn(set(words))
-    got = [units[w] for w in words]
-    if any(g[2] for g in got):
-        return dataclasses.replace(empty(), length=right - left, broken=True)
-    a, b = (np.frombuffer(b"".join([g[k] for g in got]), np.int32).astype(np.int64) for k in (0, 1))
-    _, _, size_a, size_b = _byte_tables(vocabulary, pieces)
-    t = Tokens(a, size_a[a].cumsum(), b, size_b[b].cumsum()).between(left, right)
-    cuts = np.intersect1d(t.a_end, t.b_end, assume_unique=True)
+    units.learn(words)
     none, length = Tokens(NONE, NONE, NONE, NONE), right - left
+    if units.broken and not units.broken.isdisjoint(words):
+        return Fragment(length, False, True, none, NOTHING, none, 0)
+    got = [units[w] for w in words]
+    a, b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in zip(*got))
+    t = Tokens(a, units.size_a[a].cumsum(), b, units.size_b[b].cumsum())
+    if left or right < t.a_end[-1]:
+        t = t.between(left, right)
+    cuts = _common(t.a_end, t.b_end)
     if not len(cuts):
         return Fragment(length, False, False, t, NOTHING, none, 0)
     first, last = int(cuts[0]), int(cuts[-1])
-    return Fragment(length, True, False, t.between(0, first), close(t.between(first, last), vocabulary, pieces), t.between(last, length), length - last)
+    tail = t.between(last, length) if last < length else none
+    return Fragment(length, True, False, t.between(0, first), close(t.between(first, last), vocabulary, pieces), tail, length - last)
 
 
 def ranges(text: str, chunk: int, long_unit: int = LONG_UNIT, split=UNIT.split) -> Iterator[tuple[int, str, int, int]]:

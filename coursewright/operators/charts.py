@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursewright.functions.dates import period_start
 from coursewright.functions.numbers import histogram_bin
+from coursewright.operators.quantiles import quantiles
 
 
 def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -29,9 +30,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Minimum, quartiles and maximum by group."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(group).agg(q.alias("q")).select(group, *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    """Minimum, quartiles and maximum by group, exactly, however large a group is."""
+    q = quantiles(df, value, (0.0, 0.25, 0.5, 0.75, 1.0), (group,))
+    return q.select(group, *[F.round(f"q{k}", 6).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:

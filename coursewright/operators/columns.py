@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursewright import config
+from coursewright.operators.quantiles import smallest
 
 #: Share of rows below which an unnamed column is dropped.
 SPARSE = 0.05
@@ -74,18 +75,29 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
 
 
 def settle_unnamed(df: DataFrame, sparse: float = SPARSE) -> DataFrame:
-    """Drop unnamed columns with few values; name the others by the words in their first ten values, or by place."""
+    """Drop unnamed columns with few values; name the others by the words in their first ten values, or by place.
+
+    Two jobs, however many columns there are: one counts, one takes the first values of all.
+    """
     unnamed = [c for c in df.columns if c.lower().startswith("unnamed:")]
     if not unnamed:
         return df
     filled = lambda c: F.trim(F.col(f"`{c}`").cast("string")) != ""
     counts = df.agg(F.count("*").alias("n"), *[F.count_if(filled(c)).alias(f"c{k}") for k, c in enumerate(unnamed)]).first()
+    kept = [k for k in range(len(unnamed)) if counts["n"] and counts[f"c{k}"] >= max(sparse * counts["n"], 1)]
+    samples: dict[int, list[str]] = {k: [] for k in kept}
+    if kept:
+        # the first values of all columns at once, in the order of the rows
+        values = F.array(*[F.struct(F.lit(k).alias("k"), F.when(filled(unnamed[k]), F.lower(F.col(f"`{unnamed[k]}`").cast("string"))).alias("v")) for k in kept])
+        long = df.select(F.monotonically_increasing_id().alias("at"), F.explode(values).alias("x")).select("at", "x.k", "x.v").where("v is not null")
+        for r in smallest(long, "k", ("at",), 10, 10, salts=1).orderBy("k", "at").collect():
+            samples[r["k"]].append(r["v"])
     out, names = df, set(df.columns)
     for k, c in enumerate(unnamed):
-        if not counts["n"] or counts[f"c{k}"] < max(sparse * counts["n"], 1):
+        if k not in samples:
             out = out.drop(c)
             continue
-        sample = " ".join(str(r[0]).lower() for r in df.where(filled(c)).select(F.col(f"`{c}`")).limit(10).collect())
+        sample = " ".join(samples[k])
         found = [w for w in KEYWORDS if w in sample]
         name = f"inferred_{'_'.join(found)}" if found else f"data_column_{k}"
         while name in names:

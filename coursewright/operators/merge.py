@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions.text import clean_text
+from coursewright.operators.metrics import distinct_counts
 
 #: How each column of several sources becomes one.
 SUM = ("total_2024_activity", "learner_count", "cross_reference_count")
@@ -161,9 +162,10 @@ def file_structure(df: DataFrame) -> DataFrame:
     kind, sure = classify_source(df.columns)
     n = F.count("*")
     complete = sum((F.count(F.col(f"`{c}`")) / n for c in df.columns), F.lit(0.0)) / len(df.columns)
-    distinct = sum((F.countDistinct(F.col(f"`{c}`")) / n for c in df.columns), F.lit(0.0)) / len(df.columns)
-    return df.agg(
-        F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.round(F.lit(required_coverage(df.columns)), 6).alias("coverage"), F.round(complete, 6).alias("completeness"), F.round(distinct, 6).alias("distinctness")
+    one = df.agg(n.alias("n"), F.round(complete, 6).alias("completeness"))
+    values = distinct_counts(df, tuple(df.columns)).agg(F.sum("distinct_values").alias("d"))
+    return one.join(F.broadcast(values)).select(
+        F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.round(F.lit(required_coverage(df.columns)), 6).alias("coverage"), "completeness", F.round(F.try_divide("d", "n") / len(df.columns), 6).alias("distinctness")
     )
 
 

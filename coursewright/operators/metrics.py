@@ -206,3 +206,10 @@ def size_bands(df: DataFrame, column: str = "learner_count", bounds: tuple[int,
         label = f"<= {b}" if low is None else f"{low + 1}-{b}"
         band = F.when(c <= b, label) if band is None else band.when(c <= b, label)
     return df.groupBy(band.when(c > bounds[-1], f"> {bounds[-1]}").otherwise("unknown").alias("band")).agg(F.count("*").alias("n"))
+
+
+def distinct_counts(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``field, distinct_values`` of each column: pairs of a column and a value are made distinct before they are counted."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    long = df.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+    return long.groupBy("field").agg(F.count("v").alias("distinct_values"))

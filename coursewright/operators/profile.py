@@ -9,16 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright import config
+from coursewright.functions.storage import cut_lineage
 from coursewright.functions.text import category_confidence, exploded_tokens
 from coursewright.operators.graph import connected_components
-from coursewright.operators.metrics import filled, to_rows
+from coursewright.operators.metrics import distinct_counts, filled, to_rows
+from coursewright.operators.quantiles import quantiles, share_of, smallest
+from coursewright.operators.term_index import TermVectors, gram_counts, similar_pairs, top_by_total
 
 
 def metadata_quality(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``field, total, non_null, non_blank, rate, distinct, advice`` of each column."""
-    one = df.agg(F.count("*").alias("n"), *[x for c in columns for x in (F.count(c).alias(f"{c}__a"), F.count_if(filled(c)).alias(f"{c}__b"), F.countDistinct(c).alias(f"{c}__d"))])
+    one = df.agg(F.count("*").alias("n"), *[x for c in columns for x in (F.count(c).alias(f"{c}__a"), F.count_if(filled(c)).alias(f"{c}__b"))])
     one = one.withColumns({f"{c}__r": F.round(F.try_divide(F.col(f"{c}__b") * 1.0, "n"), 6) for c in columns})
-    rows = to_rows(one, [(c, "n", f"{c}__a", f"{c}__b", f"{c}__r", f"{c}__d") for c in columns], ("field", "total", "non_null", "non_blank", "rate", "distinct_values"))
+    rows = to_rows(one, [(c, "n", f"{c}__a", f"{c}__b", f"{c}__r") for c in columns], ("field", "total", "non_null", "non_blank", "rate"))
+    rows = rows.join(F.broadcast(distinct_counts(df, columns)), "field", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
     return rows.withColumn("advice", F.when(F.col("rate") < 0.9, "complete").when(F.col("distinct_values") < 5, "diversify").otherwise("ok"))
 
 
@@ -31,10 +35,11 @@ def numbering(df: DataFrame, column: str = "course_no") -> DataFrame:
 def numbering_statistics(df: DataFrame, column: str = "course_no") -> DataFrame:
     """Count, mean, deviation and quartiles of the digits after a prefix."""
     x = F.regexp_extract(column, r"([A-Za-z]+)(\d+)", 2).try_cast("double")
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)]))
-    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
+    one = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df.select(x.alias("x")), "x", (0.25, 0.5, 0.75))
     r = lambda c: F.round(c, 4)
-    return one.select("n", r("mean").alias("mean"), r("std").alias("std"), "min", r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("q2"), r(F.col("q")[2]).alias("q3"), "max")
+    found = one.join(F.broadcast(q), how="left")
+    return found.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), r("mean").alias("mean"), r("std").alias("std"), "min", r("q0").alias("q1"), r("q1").alias("q2"), r("q2").alias("q3"), "max")
 
 
 def correlations(df: DataFrame, columns: tuple[str, ...], least: float = 0.7) -> DataFrame:
@@ -52,18 +57,55 @@ def correlations(df: DataFrame, columns: tuple[str, ...], least: float = 0.7) ->
     return rows.where(F.abs("r") > least)
 
 
+#: Hashes of a column's values that its sketch holds.
+SKETCH = 256
+
+
+def _values(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """``c, v``: the distinct values, as texts, of each column, named ``table.column`` (or as the column, if the table has no name)."""
+    long = []
+    for name, (df, columns) in tables.items():
+        pairs = F.array(*[F.struct(F.lit(f"{name}.{c}" if name else c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+        long.append(df.select(F.explode(pairs).alias("x")).select("x.*").where("v is not null"))
+    return reduce(DataFrame.union, long).distinct()
+
+
+def may_contain(child: list[int], parent: list[int], size: int = SKETCH) -> bool:
+    """Whether two bottom-k sketches allow that the second column has all values of the first.
+
+    What is at most the largest hash of a full sketch of the second must be
+    in it; a sketch that is not full holds all hashes.
+    """
+    known, top = set(parent), max(parent, default=None) if len(parent) >= size else None
+    return all(h in known or (top is not None and h > top) for h in child)
+
+
 def containment(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Column pairs where all distinct values of the first are values of the second.
+    """``table_containment`` between columns of one table."""
+    return table_containment({"": (df, columns)})
+
 
-    Values are made distinct per column before they meet, so the join sees
-    each value once per column.
+def table_containment(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], size: int = SKETCH) -> DataFrame:
+    """``child, parent, distinct_values, confidence``: column pairs where all distinct values of the first are values of the second.
+
+    Each column's smallest value hashes, ``size`` at most, rule out nearly all
+    pairs; these sketches are all that reaches the driver. Only columns of
+    pairs that are left meet by value, where a single missing value refutes a
+    pair. Values are made distinct per column first, so the join sees each
+    once per column and pair. Columns without a value are in no pair.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null").distinct()
-    size = long.groupBy(F.col("c").alias("child")).agg(F.count("*").alias("n"))
-    sets = long.groupBy("v").agg(F.collect_set("c").alias("cs"))
-    pairs = sets.select(F.explode("cs").alias("child"), "cs").select("child", F.explode("cs").alias("parent")).where("child <> parent")
-    both = pairs.groupBy("child", "parent").agg(F.count("*").alias("shared"))
-    return both.join(size, "child").where("shared = n").select("child", "parent", F.col("n").alias("distinct_values"), F.lit(0.8).alias("confidence"))
+    spark = next(iter(tables.values()))[0].sparkSession
+    values = cut_lineage(_values(tables))
+    hashed = values.select("c", F.xxhash64("v").alias("h"))
+    sketches: dict[str, list[int]] = {}
+    for r in smallest(hashed, "c", ("h",), size, size).collect():
+        sketches.setdefault(r["c"], []).append(r["h"])
+    left = [(a, b) for a in sketches for b in sketches if a != b and may_contain(sketches[a], sketches[b], size)]
+    pairs = spark.createDataFrame(left, "child string, parent string")
+    need = values.join(F.broadcast(pairs), F.col("c") == F.col("child")).select("child", "parent", "v")
+    missing = need.join(values.select(F.col("c").alias("parent"), "v"), ["parent", "v"], "left_anti").select("child", "parent").distinct()
+    n = values.groupBy(F.col("c").alias("child")).agg(F.count("*").alias("n"))
+    return pairs.join(missing, ["child", "parent"], "left_anti").join(F.broadcast(n), "child").select("child", "parent", F.col("n").alias("distinct_values"), F.lit(0.8).alias("confidence"))
 
 
 def column_confidence(df: DataFrame, numeric: tuple[str, ...], text: tuple[str, ...]) -> DataFrame:
@@ -93,14 +135,7 @@ def text_patterns(df: DataFrame, column: str, order: str, rows: int = 100) -> Da
 
 def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """``term, score`` with the largest summed TF-IDF over n-grams of up to ``most`` words (unnormalised weights)."""
-    # each token with those after it in its text, so that no array is cut again and again
-    t = exploded_tokens(docs, "text", "id").withColumnRenamed("term", "t")
-    w = Window.partitionBy("id").orderBy("k")
-    runs = [F.concat_ws(" ", "t", *[F.lead("t", j).over(w) for j in range(1, n)]) for n in range(1, most + 1)]
-    whole = [F.lit(True), *[F.lead("t", n - 1).over(w).isNotNull() for n in range(2, most + 1)]]
-    grams = F.array(*[F.when(ok, r) for ok, r in zip(whole, runs)])
-    tf = t.select("id", grams.alias("g")).select("id", F.explode("g").alias("term")).where("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
+    terms = top_by_total(gram_counts(docs, most), vocabulary)
     n = docs.agg(F.count("*").alias("n"))
     score = F.col("total") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
     return terms.join(F.broadcast(n)).select("term", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "term").limit(limit)
@@ -161,26 +196,44 @@ def density_clusters(nodes: DataFrame, links: DataFrame, least: int = 5) -> Data
     return nodes.select("id").join(cores.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def text_clusters(docs: DataFrame, radius: float = 0.3, least: int = 5, most: int = 3, vocabulary: int = 5000) -> DataFrame:
+    """DBSCAN over ``id, text``: TF-IDF vectors over runs of up to ``most`` words, neighbours within a cosine distance of ``radius``.
+
+    Neighbours come from the index of rare terms, so only texts that share
+    one are compared. Texts without a term of the vocabulary are noise.
+    """
+    return density_clusters(docs, cut_lineage(similar_pairs(TermVectors.of(docs, most, vocabulary), 1 - radius)), least)
+
+
 def stratified_sample(df: DataFrame, by: str | None, key: str, size: int = 10_000, groups: int = 20, least: int = 50, seed: int = 1) -> DataFrame:
     """About ``size`` rows, drawn by a hash of the key (a sampling operator).
 
     Each of the largest groups of ``by`` gives the same share; what is then
     missing of ``size`` comes from all rows left. Without ``by`` all rows are
-    one group.
+    one group. Keys are distinct. After one count by group, a single scan
+    keeps what a bound on the hash allows, about the sample's size; the ranks
+    are exact and taken among that, cut in each task before the shuffle.
     """
     d = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")))
     if by is None or by not in df.columns:
         return d.orderBy("__h", key).limit(size).drop("__h")
-    top = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).withColumn("quota", F.least("count", F.greatest(F.lit(least), F.lit(size // groups))))
+    groups_of = df.groupBy(by).agg(F.count("*").alias("__n"))
+    top = groups_of.where(F.col(by).isNotNull()).orderBy(F.desc("__n"), by).limit(groups).withColumn("__quota", F.least("__n", F.greatest(F.lit(least), F.lit(size // groups))))
+    quotas, rows = [(r[by], r["__quota"]) for r in top.select(by, "__quota").collect()], df.count()
+    missing, most = max(0, size - sum(q for _, q in quotas)), max([q for _, q in quotas], default=0)
+    listed = F.broadcast(top.select(by, "__quota"))
+    # one scan: what may be drawn for a group is below its share of hashes; what fills up, below a share of all
     place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    w = Window.partitionBy(by).orderBy("__h", key)
-    # twice the quota passes the hash, so the exact rank is taken over few rows
-    near = d.join(F.broadcast(top), by).where(place * F.col("count") <= 2 * F.col("quota") + 50)
-    drawn = near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("quota")).select(*df.columns)
-    missing = size - (top.agg(F.sum("quota")).first()[0] or 0)
-    if missing <= 0:
-        return drawn
-    return drawn.union(d.join(drawn.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti").orderBy("__h", key).limit(missing).select(*df.columns))
+    near = d.join(F.broadcast(top), by, "left").withColumn("__place", place)
+    bound = lambda k, n: (k + 6 * F.sqrt(k) + 36) / n
+    own = F.col("__place") <= bound(F.col("__quota"), F.col("__n"))
+    fill = F.col("__place") <= F.lit(share_of(size, rows))
+    near = cut_lineage(near.where(F.coalesce(own, F.lit(False)) | (fill if missing else F.lit(False))).select(*df.columns, "__h", "__quota"))
+    drawn = smallest(near.where("__quota is not null"), by, ("__h", key), F.col("__quota"), max(most, 1))
+    if not missing:
+        return drawn.select(*df.columns)
+    rest = near.join(drawn.select(F.col("__h").alias("__d")), F.col("__h") == F.col("__d"), "left_anti")
+    return drawn.select(*df.columns).union(rest.orderBy("__h", key).limit(missing).select(*df.columns))
 
 
 def insights(metadata: DataFrame, terms: DataFrame, overlap: DataFrame) -> DataFrame:

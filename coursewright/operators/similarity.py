@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions.numbers import similarity_bin
 from coursewright.functions.storage import cut_lineage
-from coursewright.functions.text import exploded_tokens
+from coursewright.operators.cells import vector_pairs
+from coursewright.operators.term_index import TermVectors, similar_pairs
 
 
 def weighted_text(title: Column, *others: Column) -> Column:
@@ -40,90 +39,12 @@ def members(df: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
     return df.withColumn("__h", F.xxhash64(text_col)).join(r, "__h").where(F.col(text_col) == F.col("__t")).select(F.col(id_col).alias("id"), "representative")
 
 
-def term_weights(docs: DataFrame, vocabulary: int = 5000) -> DataFrame:
-    """``id, term, w, df`` of ``id, text``: L2-normalised TF-IDF over the most frequent terms.
-
-    idf = ln((1 + n) / (1 + df)) + 1. The vocabulary has the terms with the
-    largest counts, ties in the order of the terms; a table of that bounded
-    size is what joins back.
-    """
-    tf = exploded_tokens(docs, "text", "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
-    n = docs.agg(F.count("*").alias("n"))
-    terms = terms.join(F.broadcast(n)).select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(terms) if vocabulary <= 20_000 else terms, "term").select("id", "term", "df", (F.col("tf") * F.col("idf")).alias("x"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", "df", (F.col("x") / F.col("norm")).alias("w"))
-
-
-def similar_pairs(weights: DataFrame, threshold: float) -> DataFrame:
-    """``id_1, id_2, score`` (id_1 < id_2) with a cosine of at least ``threshold``, exactly.
-
-    Prefix filter: with a document's terms from rare to frequent, what is left
-    of its vector after the first few is shorter than the threshold, so a
-    similar pair must meet in a term of both prefixes. Only those postings are
-    joined; the pairs found are summed over all their terms.
-    """
-    rare_first = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sum(F.col("w") * F.col("w")).over(rare_first)
-    prefix = weights.withColumn("left", left).where(F.col("left") >= (threshold - 1e-6) ** 2).select("id", "term")
-    a, b = prefix.withColumnRenamed("id", "id_1"), prefix.withColumnRenamed("id", "id_2")
-    candidates = a.join(b, "term").where("id_1 < id_2").select("id_1", "id_2").distinct()
-    x = weights.select(F.col("id").alias("id_1"), "term", F.col("w").alias("w1"))
-    y = weights.select(F.col("id").alias("id_2"), "term", F.col("w").alias("w2"))
-    scored = candidates.join(x, "id_1").join(y, ["id_2", "term"]).groupBy("id_1", "id_2").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("score"))
-    return scored.where(F.col("score") >= threshold)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in double; 0 if one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-#: Rows of a block, two of which a task compares.
-BLOCK = 4096
-
-
-def _block_pairs(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
-    """``compare`` on every pair of blocks of about ``BLOCK`` rows, each pair in its own task.
-
-    Blocks grow in number with the rows, so no task holds more than two; a row
-    travels once per block. ``compare`` gets both blocks and whether they are
-    the same one.
-    """
-    blocks = max(1, -(-rows.count() // BLOCK))
-    v = rows.withColumn("own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    a = v.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    a = a.withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k")).drop("k")
-
-    def run(ij: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(pdf[pdf["own"] == ij[0]], pdf[pdf["own"] == ij[1]], ij[0] == ij[1])
-
-    return a.groupBy("i", "j").applyInPandas(run, schema)
-
-
-def embedding_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``id_1, id_2, score`` of ``id, embedding`` with a cosine of at least ``threshold``, exactly: pairs of blocks are compared as matrix products."""
-    v = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<float>").alias("e"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        unit = lambda pdf: (m := np.stack(pdf["e"].to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        out = [pd.DataFrame({"id_1": [], "id_2": [], "score": []})]
-        if len(left) and len(right):
-            m, n, x_ids, y_ids = unit(left), unit(right).T, left["id"].to_numpy(), right["id"].to_numpy()
-            for s in range(0, len(m), 512):
-                score = np.round(m[s : s + 512] @ n, 6)
-                p, q = np.nonzero(score >= threshold)
-                x, y = x_ids[s + p], y_ids[q]
-                keep = x < y if same else np.ones(len(x), bool)
-                out.append(pd.DataFrame({"id_1": np.minimum(x, y)[keep], "id_2": np.maximum(x, y)[keep], "score": score[p, q][keep]}))
-        return pd.concat(out[1:] or out)
-
-    kind = dict(vectors.dtypes)["id"]
-    return _block_pairs(v, "id", compare, f"id_1 {kind}, id_2 {kind}, score double")
-
-
 def describe_pairs(pairs: DataFrame, courses: DataFrame, high: float = 0.9) -> DataFrame:
     """Pairs with both courses' title, department, category and activity, and flags; duplicate ids count once."""
     one = courses.groupBy("id").agg(F.max_by(F.struct("title", "dept", "category", "activity"), F.struct(F.coalesce("activity", F.lit(-1)), "title")).alias("c"))
@@ -207,7 +128,7 @@ def content_report(courses: DataFrame, threshold: float = 0.7) -> dict[str, Data
     Pairs are computed once and kept in the shared checkpoint folder.
     """
     reps = representatives(courses, "id", "text")
-    pairs = cut_lineage(similar_pairs(term_weights(reps.select("id", "text")), threshold))
+    pairs = cut_lineage(similar_pairs(TermVectors.of(reps.select("id", "text")), threshold))
     described = describe_pairs(pairs, courses)
     nodes = network_nodes(pairs)
     return {
@@ -235,116 +156,41 @@ def same_number_pairs(courses: DataFrame) -> DataFrame:
     return a.join(b, "numeric_course_id").where("number_1 < number_2")
 
 
-def string_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Add ``indel`` (2 LCS over both lengths, in hundredths) and ``jaro_winkler`` of two text columns, by an Arrow UDF."""
-    @F.pandas_udf("double")
-    def indel(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(p or "", q or "") for p, q in zip(x, y)])
-
-    @F.pandas_udf("double")
-    def winkler(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(p or "", q or "") for p, q in zip(x, y)])
-
-    return pairs.withColumns({"indel": indel(F.lower(a), F.lower(b)), "jaro_winkler": winkler(a, b)})
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths, to two digits."""
-    if not a and not b:
-        return 1.0
-    masks: dict[str, int] = {}
-    for k, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << k
-    full = v = (1 << len(a)) - 1
-    for c in b:
-        u = v & masks.get(c, 0)
-        v = (v + u | v - u) & full
-    return round(200 * (len(a) - v.bit_count()) / (len(a) + len(b))) / 100
-
-
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity; above 0.7, up to four characters of common prefix weigh 0.1 each."""
-    if a == b:
-        return 1.0 if a else 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, hits = [False] * len(b), []
-    for k, c in enumerate(a):
-        for j in range(max(0, k - reach), min(len(b), k + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
-    if not hits:
-        return 0.0
-    m = len(hits)
-    swaps = sum(x != y for x, y in zip(hits, [c for c, u in zip(b, used) if u])) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + 0.1 * prefix * (1 - jaro)
-
-
-#: Letters that titles are counted by; all others count as one more.
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-
-
-def _letter_counts(titles: list[str]) -> np.ndarray:
-    place = {c: k for k, c in enumerate(LETTERS)}
-    out = np.zeros((len(titles), len(LETTERS) + 1), np.int16)
-    for k, t in enumerate(titles):
-        for c in t:
-            out[k, place.get(c, len(LETTERS))] += 1
-    return out
-
-
-def fuzzy_titles(courses: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs of different titles with a Jaro-Winkler similarity of at least ``least``.
-
-    Distinct titles are compared by blocks; a title in many courses is compared
-    once. Two titles have at most as many matching characters as they share
-    letters, which bounds their Jaro similarity from above, and ``k`` equal
-    first letters add a tenth each of what is missing to 1. Only pairs whose
-    bound reaches ``least`` are compared letter by letter, so none is lost.
-    """
-    t = courses.where("title is not null and title <> ''").groupBy(F.lower(F.trim("title")).alias("title")).agg(F.count("*").alias("n"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        a, b = left["title"].tolist(), right["title"].tolist()
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        ca, cb = _letter_counts(a), _letter_counts(b)
-        size_b = np.array([len(x) for x in b])
-        heads = lambda xs: np.array([x[:4].ljust(4, "\0") for x in xs], "U4").view(np.uint32).reshape(-1, 4)
-        ha, hb = (heads(x) if len(x) else np.zeros((0, 4), np.uint32) for x in (a, b))
-        out = []
-        for k, x in enumerate(a):
-            shared = np.minimum(ca[k], cb).sum(axis=1)
-            jaro = (shared / len(x) + shared / np.maximum(size_b, 1) + 1) / 3
-            prefix = np.logical_and.accumulate((ha[k] == hb) & (hb > 0), axis=1).sum(axis=1)
-            for j in np.flatnonzero(jaro + 0.1 * prefix * (1 - jaro) >= least - 1e-4).tolist():
-                if x < b[j] or (not same and x > b[j]):
-                    score = round(jaro_winkler(*sorted((x, b[j]))), 4)
-                    if score >= least:
-                        out.append((x, b[j], na[k], nb[j], score) if x < b[j] else (b[j], x, nb[j], na[k], score))
-        return pd.DataFrame(out, columns=["title_1", "title_2", "n_1", "n_2", "similarity"])
-
-    return _block_pairs(t, "title", compare, "title_1 string, title_2 string, n_1 long, n_2 long, similarity double")
-
-
-def course_pairs(courses: DataFrame, high: float = 0.6) -> DataFrame:
-    """Course similarity from title and description embeddings of ``id, title_vec, text_vec, text_length``.
-
-    The title similarity is joined first and prunes: with weight ``w`` on the
-    title, a pair below ``(high - (1 - w)) / w`` cannot reach ``high``.
+#: A description of fewer characters counts half, and the title makes up for it.
+SHORT = 20
+
+
+def combined_vector(title: Column, text: Column, dims: int, w: float) -> Column:
+    """Both directions in one vector whose products are ``w`` times the titles' cosine and the rest times the texts'."""
+    def part(v: Column, share: float) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+        return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)) * share**0.5)
+
+    some = F.coalesce(text.cast("array<double>"), F.array_repeat(F.lit(0.0), dims))
+    return F.concat(part(title.cast("array<double>"), w), part(some, 1 - w)) if w < 1 else part(title.cast("array<double>"), 1.0)
+
+
+def course_pairs(courses: DataFrame, high: float = 0.6, title_weight: float = 0.4) -> DataFrame:
+    """``id_1, id_2, title_score, text_score, score`` of courses of ``id, title_vec, text_vec, text_length`` with a combined score of at least ``high``.
+
+    The titles' weight depends on the shorter description: ``title_weight``
+    for long ones, half of the rest more for short ones, all without one. For
+    each of the three a weighted vector of both directions is searched within
+    cells, so pairs are pruned by their combined score and not by the title
+    alone; what is found is scored in full. Courses without a title vector
+    are left out; a text vector that is missing has a cosine of 0 with all.
     """
-    w = 0.4
-    need = max((high - (1 - w)) / w, -1.0)
-    pairs = embedding_pairs(courses.select("id", F.col("title_vec").alias("embedding")), need).withColumnRenamed("score", "title_score")
-    side = lambda k: courses.select(F.col("id").alias(f"id_{k}"), F.col("text_vec").alias(f"v_{k}"), F.col("text_length").alias(f"n_{k}"))
-    d = pairs.join(side(1), "id_1").join(side(2), "id_2").withColumn("text_score", F.round(cosine(F.col("v_1"), F.col("v_2")), 6))
-    score = F.round(combined_score(F.col("title_score"), F.col("text_score"), F.col("n_1"), F.col("n_2"), w), 8)
+    if high <= 0:
+        raise ValueError("the least score must be above 0")
+    c = courses.where("title_vec is not null")
+    first = c.where("text_vec is not null").select(F.size("text_vec")).first()
+    dims, n = first[0] if first else 0, F.col("text_length")
+    found = []
+    for w, rows in ((title_weight, n >= SHORT), (title_weight + (1 - title_weight) / 2, n > 0), (1.0, F.lit(True))):
+        vectors = c.where(rows).select("id", combined_vector(F.col("title_vec"), F.col("text_vec"), dims, w).alias("embedding"))
+        found.append(vector_pairs(vectors, high - 1e-5).select("id_1", "id_2"))
+    side = lambda k: courses.select(F.col("id").alias(f"id_{k}"), F.col("title_vec").alias(f"t_{k}"), F.col("text_vec").alias(f"v_{k}"), n.alias(f"n_{k}"))
+    d = reduce(DataFrame.union, found).distinct().join(side(1), "id_1").join(side(2), "id_2")
+    d = d.withColumns({"title_score": F.round(cosine(F.col("t_1"), F.col("t_2")), 6), "text_score": F.round(F.coalesce(cosine(F.col("v_1"), F.col("v_2")), F.lit(0.0)), 6)})
+    score = F.round(combined_score(F.col("title_score"), F.col("text_score"), F.col("n_1"), F.col("n_2"), title_weight), 8)
     return d.select("id_1", "id_2", "title_score", "text_score", score.alias("score")).where(F.col("score") >= high)

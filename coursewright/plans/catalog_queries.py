@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coursewright import config
 from coursewright.functions import dates, numbers, text
 from coursewright.operators import columns, merge, metrics, recommend, validate
 from coursewright.plans.fixtures import AS_OF, CATALOG, catalog
@@ -84,12 +85,22 @@ def merge_longest(spark, sf):
     return merge.merge_longest(catalog(spark, sf), text.numeric_course_id(F.col("course_no")))
 
 
+_KEY = lambda c: f"nullif(regexp_replace(trim({c}), '^[A-Za-z]+[-: ]', ''), '')"
+
+
 @query(
     "composite_keys",
-    rf"""{WITH} select row_no, coalesce(nullif(regexp_replace(trim(course_no), '^[A-Za-z]+[-: ]', ''), ''), '') as key from catalog""",
+    f"""{WITH}, d as (select * replace (case when row_no % 3 = 0 then course_no when row_no % 3 = 1 then ' ' end as course_no), case when row_no % 6 = 1 then 'TPL-' || course_no when row_no % 6 = 4 then 'tpl:' end as template from catalog)
+    select row_no, coalesce({_KEY('course_no')}, {_KEY('template')}, concat_ws('|', {CLEAN.format('course_title')}, left({CLEAN.format('course_description')}, 50), {CLEAN.format('category_name')},
+      cast(cast(round(duration_mins / 30) * 30 as bigint) as varchar))) as key from d""",
 )
 def composite_keys(spark, sf):
-    return catalog(spark, sf).select("row_no", "course_no", "course_title", "course_description", "category_name", "duration_mins").transform(lambda d: d.select("row_no", merge.composite_key(d).alias("key")))
+    """A third of the rows has a number; of the others some have the number of a template, the rest title, description, category and duration."""
+    d = catalog(spark, sf).select("row_no", "course_no", "course_title", "course_description", "category_name", "duration_mins")
+    part = F.col("row_no") % 6
+    template = F.when(part == 1, F.concat(F.lit("TPL-"), "course_no")).when(part == 4, F.lit("tpl:"))
+    d = d.withColumn("offering_template_no", template).withColumn("course_no", F.when(F.col("row_no") % 3 == 0, F.col("course_no")).when(F.col("row_no") % 3 == 1, F.lit(" ")))
+    return d.select("row_no", merge.composite_key(d).alias("key"))
 
 
 FIRST = lambda c: f"arg_min({c}, row_no) filter (where {c} is not null) as {c}"
@@ -359,16 +370,21 @@ FORMS = ("'%Y-%m-%d'", "'%d/%m/%Y'", "'%d.%m.%Y'", "'%d %b %Y'")
 
 @query(
     "parse_dates",
-    f"""{WITH} select row_no, course_available_from as parsed from catalog where course_available_from is not null and row_no % 5 <> 4
-    union all select row_no, cast(null as timestamp) from catalog where course_available_from is null or row_no % 5 = 4""",
+    f"""{WITH}, d as (select row_no, row_no % 15 as form, cast(course_available_from as timestamp) as x from catalog)
+    select row_no, case when form = 14 then null when form in (2, 5, 8) and day(x) <= 12 then make_timestamp(year(x), day(x), month(x), 0, 0, 0.0)
+      when form = 13 then x + to_seconds(row_no * 7 % 86400) else x end as parsed from d""",
 )
 def parse_dates(spark, sf):
-    """Dates written in four forms, and one that is none, are read back."""
+    """Dates written in each of the fourteen forms, and one that is none, are read back.
+
+    Where the first two numbers could be day and month either way, the form
+    that comes first decides, so months and days of up to 12 change places.
+    """
     d = F.col("course_available_from").cast("timestamp")
-    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd MMM yyyy")
-    raw = F.when(F.col("row_no") % 5 == 4, F.lit("soon"))
-    for k, f in enumerate(forms):
-        raw = raw.when(F.col("row_no") % 5 == k, F.date_format(d, f))
+    d = F.when(F.col("row_no") % 15 == 13, F.timestamp_micros(F.unix_micros(d) + F.col("row_no") * 7 % 86400 * 1_000_000)).otherwise(d)
+    raw = F.when(F.col("row_no") % 15 == 14, F.lit("soon"))
+    for k, f in enumerate(config.DATE_FORMATS):
+        raw = raw.when(F.col("row_no") % 15 == k, F.date_format(d, f))
     return catalog(spark, sf).withColumn("raw", raw).select("row_no", dates.parse_date(F.col("raw")).alias("parsed"))
 
 

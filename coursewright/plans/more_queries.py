@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coursewright.functions import dates, text
-from coursewright.operators import columns, merge, metrics, similarity
+from coursewright.operators import columns, merge, metrics, titles
 from coursewright.plans.analysis import analyze
 from coursewright.plans.catalog_queries import TS, WITH
 from coursewright.plans.fixtures import AS_OF, catalog, read
@@ -90,7 +90,7 @@ def file_structure(spark, sf):
     round(jaro_winkler_similarity(a.title, b.title), 4) as similarity from t a join t b on a.title < b.title) select * from p where similarity >= 0.85""",
 )
 def fuzzy_titles(spark, sf):
-    return similarity.fuzzy_titles(read(spark, sf, "part").select(F.col("p_name").alias("title")))
+    return titles.fuzzy_titles(read(spark, sf, "part").select(F.col("p_name").alias("title")))
 
 
 @query("column_dates", f"{WITH} select row_no, case when row_no % 9 <> 0 then course_available_from end as d, row_no % 9 <> 0 and course_available_from is not null as d_is_valid from catalog")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions import dates, text
-from coursewright.operators import charts, columns, metrics, profile, recommend, repair, similarity, validate, usage as use
+from coursewright.operators import cells, charts, columns, metrics, profile, quantiles, recommend, repair, similarity, titles, validate, usage as use
 from coursewright.plans import catalog_queries as cat, text_queries as tex
 from coursewright.plans.catalog_queries import QUALITY, TS, WITH, some
 from coursewright.plans.fixtures import AS_OF, CATALOG, catalog, courses_text, embeddings, read, usage
@@ -122,17 +125,24 @@ CLUSTERS = """both_ as (select id_1 as id, id_2 as other from links union select
 @query("dbscan_clusters", EMB.replace("with p", "with recursive p", 1) + ", links as (select id_1, id_2 from p where score >= 0.3), nodes_ as (select vec_id as id from embeddings), " + CLUSTERS.format(least=4))
 def dbscan_clusters(spark, sf):
     e = embeddings(spark, sf)
-    return profile.density_clusters(e, similarity.embedding_pairs(e, 0.3), 4)
+    return profile.density_clusters(e, cells.vector_pairs(e, 0.3), 4)
+
 
+GRAMS = f"""with recursive {REPS}, tok as (select id, {TOKENS} as t from reps), g as (select id, unnest(t) as term from tok union all select id, t[k] || ' ' || t[k + 1] from (select id, t, unnest(range(1, len(t))) as k from tok)
+    union all select id, t[k] || ' ' || t[k + 1] || ' ' || t[k + 2] from (select id, t, unnest(range(1, len(t) - 1)) as k from tok)),
+  tf as (select id, term, count(*) as tf from g group by 1, 2), terms as (select term, sum(tf) as total, count(*) as df from tf group by 1 order by total desc, term limit 5000),
+  raw as (select id, tf.term, tf * (ln((1.0 + (select count(*) from reps)) / (1.0 + df)) + 1) as x from tf join terms on tf.term = terms.term),
+  norms as (select id, sqrt(sum(x * x)) as norm from raw group by 1), w as (select raw.id, term, x / norm as w from raw join norms on raw.id = norms.id),
+  links as (select a.id as id_1, b.id as id_2 from w a join w b on a.term = b.term and a.id < b.id group by 1, 2 having round(sum(a.w * b.w), 6) >= 0.7), nodes_ as (select id from reps), """
 
-@query("text_clusters", TFIDF.replace("with ", "with recursive ", 1) + ", links as (select id_1, id_2 from pairs), nodes_ as (select id from reps), " + CLUSTERS.format(least=3))
+
+@query("text_clusters", GRAMS + CLUSTERS.format(least=5))
 def text_clusters(spark, sf):
-    """Clusters of texts whose TF-IDF vectors are close."""
-    reps = similarity.representatives(courses_text(spark, sf), "id", "text").select("id", "text")
-    return profile.density_clusters(reps, similarity.similar_pairs(similarity.term_weights(reps), 0.7), 3)
+    """Clusters of texts whose TF-IDF vectors over one to three words are within a cosine distance of 0.3, five or more to a core."""
+    return profile.text_clusters(similarity.representatives(courses_text(spark, sf), "id", "text").select("id", "text"))
 
 
-@query("cluster_sizes", TFIDF.replace("with ", "with recursive ", 1) + f", links as (select id_1, id_2 from pairs), nodes_ as (select id from reps), found as (select * from ({'with recursive ' + CLUSTERS.format(least=3)})) select cluster, count(*) as n from found where cluster <> -1 group by 1")
+@query("cluster_sizes", GRAMS + f"found as (select * from ({'with recursive ' + CLUSTERS.format(least=5)})) select cluster, count(*) as n from found where cluster <> -1 group by 1")
 def cluster_sizes(spark, sf):
     return text_clusters(spark, sf).where("cluster <> -1").groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -152,12 +162,9 @@ PAIR = f"""with b as (select item_id, text, lead(text) over (order by item_id) a
 @query("pair_cosines", PAIR)
 def pair_cosines(spark, sf):
     """TF-IDF cosine of each benchmark item with the next."""
-    from pyspark.sql import Window
-
-    # one bucket of the benchmark a window: items are few and their order is total
     b = read(spark, sf, "benchmark").select("item_id", "text")
-    order = b.select("item_id", F.lead("item_id").over(Window.orderBy("item_id")).alias("next_id"))
-    pairs = b.join(order.where("next_id is not null"), "item_id").join(b.select(F.col("item_id").alias("next_id"), F.col("text").alias("next")), "next_id")
+    order = quantiles.with_next(b.select("item_id"), "item_id", "next_id").where("next_id is not null")
+    pairs = b.join(order, "item_id").join(b.select(F.col("item_id").alias("next_id"), F.col("text").alias("next")), "next_id")
     return pairs.select("item_id", F.round(text.pair_cosine(F.col("text"), F.col("next")), 6).alias("cosine"))
 
 
@@ -166,14 +173,39 @@ COS = lambda a, b: f"round(list_cosine_similarity(cast({a} as double[]), cast({b
 
 @query(
     "course_pairs",
-    f"""with p as (select a.vec_id as id_1, b.vec_id as id_2, {COS('a.embedding', 'b.embedding')} as title_score, {COS('a.embedding[:8]', 'b.embedding[:8]')} as text_score, a.vec_id % 50 as n_1, b.vec_id % 50 as n_2
-      from embeddings a join embeddings b on a.vec_id < b.vec_id), w as (select *, case when n_1 = 0 or n_2 = 0 then 1.0 when n_1 < 20 or n_2 < 20 then 0.7 else 0.4 end::double as w from p where title_score >= -0.25)
-    select id_1, id_2, title_score, text_score, round(w * title_score + (1 - w) * text_score, 8) as score from w where round(w * title_score + (1 - w) * text_score, 8) >= 0.5""",
+    f"""with e as (select a.vec_id, a.embedding as t, b.embedding as d, a.vec_id % 50 as n from embeddings a left join embeddings b on b.vec_id = a.vec_id + 1),
+    p as (select a.vec_id as id_1, b.vec_id as id_2, {COS('a.t', 'b.t')} as title_score, coalesce({COS('a.d', 'b.d')}, 0) as text_score, a.n as n_1, b.n as n_2 from e a join e b on a.vec_id < b.vec_id),
+    w as (select *, case when n_1 = 0 or n_2 = 0 then 1.0 when n_1 < 20 or n_2 < 20 then 0.7 else 0.4 end::double as w from p)
+    select id_1, id_2, title_score, text_score, round(w * title_score + (1 - w) * text_score, 8) as score from w where round(w * title_score + (1 - w) * text_score, 8) >= 0.25""",
 )
 def course_pairs(spark, sf):
-    """Titles by the whole vector, descriptions by its first eight numbers."""
-    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("title_vec"), F.slice("embedding", 1, 8).alias("text_vec"), (F.col("vec_id") % 50).alias("text_length"))
-    return similarity.course_pairs(e, 0.5)
+    """Titles by a course's own vector, descriptions by that of the course after it."""
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("text_vec"))
+    e = e.join(after, "vec_id", "left").select(F.col("vec_id").alias("id"), F.col("embedding").alias("title_vec"), "text_vec", (F.col("vec_id") % 50).alias("text_length"))
+    return similarity.course_pairs(e, 0.25)
+
+
+PARTS = {
+    "copies": "select 'copies', count(*), null from documents where text is not null",
+    "pairs": "select 'pairs', count(*), round(sum(score), 4) from d",
+    "counts": "select 'counts', 1, round(avg(score), 4) from d",
+    "duplicates": "select 'duplicates', count(*), round(sum(score), 4) from d where score >= 0.8",
+    "across": "select 'across', count(*), round(sum(score), 4) from (select score from d where is_cross_dept order by score desc, id_1, id_2 limit 5)",
+    "consolidation": "select 'consolidation', count(*), round(sum(score), 4) from (select score from d where score >= 0.8 order by score desc, id_1, id_2 limit 20)",
+    "departments": "select 'departments', count(*), null from (select dept_1, dept_2 from d where dept_1 <> dept_2 union select dept_2, dept_1 from d where dept_1 <> dept_2 union select dept_1, dept_1 from d union select dept_2, dept_2 from d)",
+    "nodes": "select 'nodes', count(*), cast(sum(degree) as double) from nodes",
+    "edges": "select 'edges', count(*), round(sum(score), 4) from pairs where id_1 in (select id from nodes) and id_2 in (select id from nodes)",
+}
+
+
+@query("content_report", f"{TFIDF}, {tex.NODES}, r(part, n, total) as (" + " union all ".join(PARTS.values()) + ") select part, n, total from r")
+def content_report(spark, sf):
+    """How many rows each part of the report on similar content has, and what their scores sum up to."""
+    report = similarity.content_report(courses_text(spark, sf).select("id", "title", "text", "dept", "category", "activity"), 0.7)
+    total = {"counts": F.max("avg_score"), "nodes": F.sum("degree").cast("double")}
+    rows = [d.agg(F.lit(k).alias("part"), F.count("*").alias("n"), F.round(total.get(k, F.sum("score") if "score" in d.columns else F.lit(None).cast("double")), 4).alias("total")) for k, d in report.items()]
+    return reduce(DataFrame.union, rows)
 
 
 @query("title_winkler", "select a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) as jaro_winkler from part a join part b on b.p_partkey = a.p_partkey + 1")
@@ -181,7 +213,7 @@ def title_winkler(spark, sf):
     """Jaro-Winkler similarity of neighbouring part names."""
     p = read(spark, sf, "part")
     pairs = p.select("p_partkey", F.col("p_name").alias("a")).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
-    return similarity.string_ratio(pairs, "a", "b").select("p_partkey", F.round("jaro_winkler", 6).alias("jaro_winkler"))
+    return titles.string_ratio(pairs, "a", "b").select("p_partkey", F.round("jaro_winkler", 6).alias("jaro_winkler"))
 
 
 @query("weighted_texts", f"{WITH} select row_no as id, md5(t) as text_md5 from (select row_no, concat_ws(' ', course_title, course_title, course_title, course_description, course_keywords) as t from catalog) where trim(t) <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions import text
-from coursewright.operators import charts, metrics, profile, recommend, similarity, usage as use
+from coursewright.operators import cells, charts, metrics, profile, recommend, similarity, term_index, titles, usage as use
 from coursewright.plans.catalog_queries import CLEAN, QUALITY, SCORED, WITH
 from coursewright.plans.fixtures import CATALOG, USAGE, catalog, courses_text, embeddings, read, usage
 
@@ -90,9 +90,35 @@ def tech_terms(spark, sf):
     return _planted(spark, sf).select("doc_id", F.array_join(text.technical_terms(F.col("text")), ",").alias("terms"))
 
 
-@query("acronyms")
+def _plain(p: str) -> str:
+    """A pattern without the possessive signs, which change no match of these."""
+    return p.replace("*+", "*").replace("++", "+")
+
+
+def _found(patterns: tuple[str, ...]) -> str:
+    return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, '{_plain(p)}')" for p in patterns) + "]))"
+
+
+NAMED = """named as (select p_partkey, p_type || ' (' || left(upper(p_name), 3) || ') by ' || upper(p_name[1]) || p_name[2:] || ', ' || left(upper(p_name), 3) || '; A.B.C. and HR' || p_size % 7 || ' of Big Maker for '
+  || upper(left(p_brand, 5)) || case when p_partkey % 3 = 0 then ': ' else ' ' end || substr('ABCDEFGH', cast(p_size % 5 + 1 as int), 3) || case when p_partkey % 5 = 0 then ' twice ' || substr('ABCDEFGH', cast(p_size % 5 + 1 as int), 3) else '' end as text from part)"""
+
+
+@query(
+    "acronyms",
+    rf"""with {NAMED}, a as (select p_partkey, text, list_filter(list_distinct(list_transform({_found(text.ACRONYMS)}, lambda x: regexp_replace(x, '[^\w\s]', '', 'g'))), lambda x: length(x) >= 2) as bare, {_found(text.COMPOUNDS)} as c from named)
+    select p_partkey, array_to_string(list_sort(list_filter(bare, lambda x: len(string_split(text, x)) > 2 or regexp_matches(text, x || '\s*\([^)]+\)') or regexp_matches(text, '\b' || x || '\b\s*[:;]'))), ',') as acronyms,
+      array_to_string(list_sort(list_filter(c, lambda x: regexp_matches(x, '\S\s+\S'))), ',') as compounds from a""",
+)
 def acronyms(spark, sf):
-    return _planted(spark, sf).select("doc_id", F.array_join(text.acronyms(F.col("text")), ",").alias("acronyms"), F.array_join(text.compound_terms(F.col("text")), ",").alias("compounds"))
+    """Acronyms and compound terms of texts that define, repeat and list them."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    upper = F.left(F.upper("p_name"), F.lit(3))
+    listed = F.when(k % 3 == 0, F.lit(": ")).otherwise(F.lit(" "))
+    three = F.substr(F.lit("ABCDEFGH"), (F.col("p_size") % 5 + 1).cast("int"), F.lit(3))
+    twice = F.when(k % 5 == 0, F.concat(F.lit(" twice "), three)).otherwise(F.lit(""))
+    parts = ["p_type", " (", upper, ") by ", F.upper(F.left("p_name", F.lit(1))), F.substr("p_name", F.lit(2)), ", ", upper, "; A.B.C. and HR", (F.col("p_size") % 7).cast("string"), " of Big Maker for ", F.upper(F.left("p_brand", F.lit(5))), listed, three, twice]
+    named = F.concat(*[F.lit(x) if isinstance(x, str) and not x.startswith("p_") else F.col(x) if isinstance(x, str) else x for x in parts])
+    return p.select("p_partkey", F.array_join(text.acronyms(named), ",").alias("acronyms"), F.array_join(text.compound_terms(named), ",").alias("compounds"))
 
 
 WORDS = [w for ws in config.TRAINING_CATEGORIES.values() for w in ws]
@@ -125,14 +151,20 @@ def category_overlap(spark, sf):
     return profile.category_overlap(_categorised(spark, sf))
 
 
-@query("title_ratios")
+@query(
+    "title_ratios",
+    """with recursive p as (select a.p_partkey, a.p_name as a, b.p_name as b from part a join part b on b.p_partkey = a.p_partkey + 1),
+    lcs(p_partkey, a, b, k, line) as (select p_partkey, lower(a), lower(b), 0, list_transform(range(length(b) + 1), lambda x: 0) from p
+      union all select p_partkey, a, b, k + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when i > 1 and b[i - 1] = a[k + 1] then line[i - 1] + 1 else line[i] end)))
+      from lcs where k < length(a)),
+    best as (select p_partkey, line[length(b) + 1] as m, length(a) + length(b) as n from lcs where k = length(a))
+    select p.p_partkey, round_even(200.0 * m / n, 0) / 100 as indel, round(jaro_winkler_similarity(p.a, p.b), 6) as jaro_winkler from p join best using (p_partkey)""",
+)
 def title_ratios(spark, sf):
-    """String ratios of each part's name and the name reversed."""
-    p = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"), F.reverse("p_name").alias("b"))
-    return similarity.string_ratio(p, "a", "b").select("p_partkey", F.round("indel", 4).alias("indel"), F.round("jaro_winkler", 6).alias("jaro_winkler"))
-
-
-SQL["title_ratios"] = None
+    """String ratios of neighbouring parts' names; the SQL finds the longest common subsequence line by line."""
+    p = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"))
+    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
+    return titles.string_ratio(pairs, "a", "b").select("p_partkey", F.round("indel", 4).alias("indel"), F.round("jaro_winkler", 6).alias("jaro_winkler"))
 
 
 # Similarity
@@ -150,7 +182,7 @@ TFIDF = f"""with {REPS}, tok as (select id, unnest({TOKENS}) as term from reps),
 def _pairs(spark, sf):
     d = courses_text(spark, sf)
     reps = similarity.representatives(d, "id", "text")
-    return similarity.similar_pairs(similarity.term_weights(reps.select("id", "text")), 0.7)
+    return term_index.similar_pairs(term_index.TermVectors.of(reps.select("id", "text")), 0.7)
 
 
 def _described(spark, sf):
@@ -225,7 +257,7 @@ EMB = """with p as (select a.vec_id as id_1, b.vec_id as id_2, round(list_cosine
 
 @query("embed_pairs", f"{EMB} select * from p where score >= 0.3")
 def embed_pairs(spark, sf):
-    return similarity.embedding_pairs(embeddings(spark, sf), 0.3)
+    return cells.vector_pairs(embeddings(spark, sf), 0.3)
 
 
 @query(
@@ -235,7 +267,7 @@ def embed_pairs(spark, sf):
 )
 def sim_histogram(spark, sf):
     e = embeddings(spark, sf)
-    return similarity.histogram(similarity.embedding_pairs(e, 0.2), e).withColumn("n", F.col("n").cast("bigint"))
+    return similarity.histogram(cells.vector_pairs(e, 0.2), e).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query(
@@ -306,6 +338,30 @@ def fk_containment(spark, sf):
     return profile.containment(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), ("s_nationkey", "s_suppkey"))
 
 
+#: Key columns of all tables.
+KEYS = {
+    "region": ("r_regionkey",),
+    "nation": ("n_nationkey", "n_regionkey"),
+    "customer": ("c_custkey", "c_nationkey"),
+    "supplier": ("s_suppkey", "s_nationkey"),
+    "part": ("p_partkey",),
+    "orders": ("o_orderkey", "o_custkey"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
+}
+
+
+@query(
+    "fk_tables",
+    "with v as ("
+    + " union ".join(f"select '{t}.{c}' as c, cast({c} as varchar) as v from {t} where {c} is not null" for t, cs in KEYS.items() for c in cs)
+    + """), n as (select c, count(*) as n from v group by 1) select a.c as child, b.c as parent, any_value(n.n) as distinct_values, 0.8::double as confidence
+    from v a join v b on a.v = b.v and a.c <> b.c join n on n.c = a.c group by 1, 2 having count(*) = any_value(n.n)""",
+)
+def fk_tables(spark, sf):
+    """Which key columns' values another key column has, over seven tables."""
+    return profile.table_containment({t: (read(spark, sf, t), cs) for t, cs in KEYS.items()})
+
+
 @query(
     "column_confidence",
     f"""{WITH}, s as (select avg(learner_count) as m, stddev_pop(learner_count) as s from catalog)
@@ -449,5 +505,3 @@ def quality_chart(spark, sf):
 def term_frequencies(spark, sf):
     return charts.term_frequencies(read(spark, sf, "benchmark"))
 
-
-SQL = {k: v for k, v in SQL.items() if v}

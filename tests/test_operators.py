@@ -1,9 +1,16 @@
+import collections
 import datetime as dt
+import io
+import math
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coursewright.operators import columns, merge, metrics, profile, recommend, repair, similarity, usage, validate
+from coursewright import config
+from coursewright.operators import cells, columns, merge, metrics, profile, quantiles, recommend, repair, similarity, term_index, titles, usage, validate
 from coursewright.operators.graph import connected_components
 from coursewright.sources import readers, writers
 
@@ -82,19 +89,60 @@ def test_repair(spark):
     assert str(got[4]["course_available_from"])[:10] == "2023-01-01" and not got[4]["course_available_from_is_valid"]
 
 
-def test_pairs_are_exact(spark):
-    texts = ["alpha beta gamma delta", "alpha beta gamma epsilon", "zeta eta theta", "alpha beta gamma delta zeta", "eta theta zeta iota", ""]
-    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    w = similarity.term_weights(d)
-    a, b = (w.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "term", "w")]) for k in (1, 2))
-    full = a.join(b, (F.col("term_1") == F.col("term_2")) & (F.col("id_1") < F.col("id_2"))).groupBy("id_1", "id_2").agg(F.round(F.sum(F.col("w_1") * F.col("w_2")), 6).alias("score"))
-    for least in (0.3, 0.5, 0.7):
-        assert sorted(map(tuple, similarity.similar_pairs(w, least).collect())) == sorted(map(tuple, full.where(F.col("score") >= least).collect()))
+def brute_pairs(texts, least, most=1):
+    """All pairs of unit TF-IDF vectors of ``{id: text}``."""
+    words = {k: [w for w in re.findall(r"\w\w+", t.lower()) if w not in config.STOP_WORDS] for k, t in texts.items()}
+    tf = {k: collections.Counter(" ".join(w[j : j + n]) for n in range(1, most + 1) for j in range(len(w) - n + 1)) for k, w in words.items()}
+    df = collections.Counter(t for c in tf.values() for t in c)
+    x = {k: {t: n * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items()} for k, c in tf.items()}
+    norm = {k: math.sqrt(sum(v * v for v in c.values())) for k, c in x.items()}
+    out = {}
+    for a in x:
+        for b in x:
+            if a < b and norm[a] and norm[b]:
+                score = round(sum(v * x[b].get(t, 0) for t, v in x[a].items()) / norm[a] / norm[b], 6)
+                if score >= least:
+                    out[a, b] = score
+    return out
+
+
+def close_to(got, want):
+    assert {(r["id_1"], r["id_2"]) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r["score"] - want[r["id_1"], r["id_2"]]) <= 1.1e-6 for r in got)
+
+
+@pytest.mark.parametrize("block,least,most", [(1024, 0.7, 1), (1024, 0.3, 1), (7, 0.5, 1), (3, 0.75, 3)])
+def test_pairs_are_exact(spark, monkeypatch, block, least, most):
+    monkeypatch.setattr(term_index, "BLOCK", block)
+    rnd = random.Random(block)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 300}"
+    base = [" ".join(word() for _ in range(rnd.randrange(1, 40))) for _ in range(60)]
+    near = [" ".join(w if rnd.random() < 0.8 else word() for w in rnd.choice(base).split()) for _ in range(60)]
+    texts = dict(enumerate([*base, *near, "", "the of", "hot words here", "hot words here", "hot words here"]))
+    d = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "id long, text string, term string")
+    close_to(term_index.similar_pairs(term_index.TermVectors.of(d, most), least).collect(), brute_pairs(texts, least, most))
+
+
+def test_scored_pairs_grow_with_rows_and_results(spark):
+    """Four times the rows, of as many more kinds: pairs multiplied out stay near the rows and the result."""
+    rnd = random.Random(8)
+    for n in (150, 600):
+        rows = []
+        for g in range(n):
+            base = [f"t{rnd.randrange(4000)}" for _ in range(25)] + [f"c{rnd.randrange(30)}" for _ in range(10)]
+            rows += [(10 * g + k, " ".join(w if rnd.random() < 0.92 else f"t{rnd.randrange(4000)}" for w in base)) for k in range(3)]
+        v = term_index.TermVectors.of(spark.createDataFrame(rows, "id long, text string"))
+        scored = term_index.scored_pairs(v, 0.7)
+        result = scored.where("score >= 0.7").count()
+        assert result >= n and scored.count() <= 2 * (len(rows) + result)
+    assert term_index.similar_pairs(term_index.TermVectors.of(spark.createDataFrame([], "id long, text string")), 0.7).count() == 0
+    with pytest.raises(ValueError):
+        term_index.scored_pairs(v, 0.0)
 
 
 def test_string_ratios():
-    assert similarity.indel_ratio("abcd", "abxd") == 0.75 and similarity.indel_ratio("", "") == 1.0
-    assert round(similarity.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611 and similarity.jaro_winkler("a", "b") == 0.0
+    assert titles.indel_ratio("abcd", "abxd") == 0.75 and titles.indel_ratio("", "") == 1.0
+    assert round(titles.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611 and titles.jaro_winkler("a", "b") == 0.0
 
 
 def test_components_and_clusters(spark):
@@ -148,15 +196,6 @@ def test_stream(spark, tmp_path):
 
 
 def test_title_ratios_against_a_table_of_subsequences(spark):
-    from pathlib import Path
-
-    import pytest
-
-    from coursewright.plans import text_queries
-
-    if not Path("/root/testdata/sf0.001").exists():
-        pytest.skip("needs the driver's tables")
-
     def common(a, b):
         row = [0] * (len(b) + 1)
         for x in a:
@@ -166,10 +205,12 @@ def test_title_ratios_against_a_table_of_subsequences(spark):
             row = new
         return row[-1]
 
-    names = {r["p_partkey"]: r["p_name"].lower() for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
-    for r in text_queries.title_ratios(spark, "/root/testdata/sf0.001").collect():
-        a = names[r["p_partkey"]]
-        assert r["indel"] == round(round(200 * common(a, a[::-1]) / (2 * len(a))) / 100, 4)
+    rnd = random.Random(9)
+    names = ["".join(rnd.choice("abc deé") for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    d = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    for r in titles.string_ratio(d, "a", "b").collect():
+        n = len(r["a"]) + len(r["b"])
+        assert r["indel"] == (round(round(200 * common(r["a"], r["b"]) / n) / 100, 4) if n else 1.0)
 
 
 def test_usage_report(spark):
@@ -232,3 +273,148 @@ def test_columns_of_the_standard(spark):
     assert columns.column_type("learner_count") == "bigint" and columns.column_type("anything") == "string"
     assert columns.is_required("course_no") and not columns.is_required("learner_count")
     assert validate.missing_columns(spark.createDataFrame([], "course_no string, course_title string")) == ["category_name", "course_description", "course_type", "region_entity", "course_available_from"]
+
+
+@pytest.mark.parametrize("least", [-0.4, 0.0, 0.3, 0.9])
+def test_vector_pairs_are_exact(spark, monkeypatch, least):
+    monkeypatch.setattr(cells, "CELL", 20)
+    monkeypatch.setattr(cells, "BLOCK", 25)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (6, 12))
+    x = np.vstack([centres[rng.integers(0, 6, 150)] + rng.normal(0, 0.3, (150, 12)), rng.normal(0, 1, (60, 12)), np.tile(centres[0], (70, 1)), np.zeros((2, 12))]).astype(np.float32)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    d = spark.createDataFrame([*rows, (900, None), (901, [float("nan")] * 12)], "id long, embedding array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 6)
+    want = {(a, b): s[a, b] for a in range(len(x)) for b in range(a + 1, len(x)) if s[a, b] >= least}
+    got = {(r["id_1"], r["id_2"]): r["score"] for r in cells.vector_pairs(d, least).collect()}
+    assert set(got) ^ set(want) <= {k for k in set(got) | set(want) if abs(s[k] - least) < 2e-6} and all(abs(got[k] - s[k]) < 2e-6 for k in got)
+    assert cells.vector_pairs(d.limit(0), least).count() == 0
+
+
+def test_far_cells_are_not_compared(spark, monkeypatch):
+    """Rows of well separated kinds visit no cell of another kind; without a bound they would visit half of all."""
+    monkeypatch.setattr(cells, "CELL", 10)
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(8), 40, axis=0) + rng.normal(0, 0.01, (320, 8))
+    d = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, e array<float>")
+    c = cells.AngleCells.of(d, 0.9)
+    kind = (c.pivots.argmax(axis=1)).tolist()
+    visits = c.visits(d).select("cell", "visitor", "id").collect()
+    assert sum(not v["visitor"] for v in visits) == 320 and all(kind[v["cell"]] == v["id"] // 40 for v in visits)
+    loose = cells.AngleCells.of(d, -0.9).visits(d).where("visitor").count()
+    assert sum(v["visitor"] for v in visits) <= loose / 4
+
+
+def test_fuzzy_titles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(titles, "CELL", 12)
+    monkeypatch.setattr(cells, "BLOCK", 40)
+    rnd = random.Random(6)
+    words = "introduction to spark advanced data safety training clinical skills café naïve 101 & leadership".split()
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6))) for _ in range(60)]
+    typo = lambda t: "".join(c for c in t if rnd.random() > 0.05)[: rnd.choice([99, 12])] + rnd.choice(["", "", "s", " ii"])
+    rows = [*base, *map(typo, base), *map(typo, base), "An introduction to Spark", "Introduction to Spark ", "a", "b", "ab", "", None, "  ", "x" * 300, "x" * 290 + "y", "日本語 入門", "日本語 入門 ii"]
+    d = spark.createDataFrame([(t, "x") for t in rows], "title string, n string")
+    for least in (0.85, 0.6):
+        distinct = collections.Counter(t.strip(" ").lower() for t in rows if t is not None and t.strip(" "))
+        want = {(a, b, distinct[a], distinct[b]): round(titles.jaro_winkler(a, b), 4) for a in distinct for b in distinct if a < b}
+        want = {k: v for k, v in want.items() if v >= least}
+        got = {(r["title_1"], r["title_2"], r["n_1"], r["n_2"]): r["similarity"] for r in titles.fuzzy_titles(d, least).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert titles.fuzzy_titles(d.limit(0)).count() == 0
+    a, b = [rnd.choice(rows[:180]) for _ in range(500)] + ["", "", "x"], [rnd.choice(rows[:180]) for _ in range(500)] + ["", "x", ""]
+    assert np.allclose(titles.jaro_winklers(a, b), [titles.jaro_winkler(x, y) for x, y in zip(a, b)])
+
+
+def test_unlike_titles_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(titles, "CELL", 10)
+    d = spark.createDataFrame([(c * 20 + str(k), 1) for c in "aeiou" for k in range(30)], "title string, n long")
+    visits = titles.TitleCells.of(d).visits(d, 0.85).collect()
+    homes = {}
+    for v in visits:
+        if not v["visitor"]:
+            homes.setdefault(v["cell"], set()).add(v["title"][0])
+    assert len(visits) and all(v["title"][0] in homes[v["cell"]] for v in visits)
+
+
+def test_quantiles(spark):
+    rnd = random.Random(7)
+    rows = [("big", float(rnd.randrange(500))) for _ in range(3000)] + [("one", 4.5), ("two", 1.0), ("two", 2.0), ("none", None), (None, 3.0), (None, 9.0), ("tie", 5.0), ("tie", 5.0), ("tie", None)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = {r["g"]: [r["n"], *(r[f"q{k}"] for k in range(5))] for r in quantiles.quantiles(d, "v", shares, ("g",)).collect()}
+    for g in {g for g, _ in rows}:
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g][0] == len(v) and (np.allclose(got[g][1:], np.quantile(v, shares)) if v else got[g][1:] == [None] * 5)
+    whole = quantiles.quantiles(d, "v", shares).first()
+    assert np.allclose([whole[f"q{k}"] for k in range(5)], np.quantile([v for _, v in rows if v is not None], shares))
+    assert quantiles.quantiles(d.limit(0), "v", shares, ("g",)).count() == 0
+    counts = d.groupBy("g", "v").count().repartitionByRange(4, "g", "v").select("g", F.spark_partition_id().alias("p"))
+    assert counts.where("g = 'big'").select("p").distinct().count() > 1
+
+
+def test_containment(spark):
+    a = spark.createDataFrame([(k, k % 50, None, "x") for k in range(2000)], "a long, b long, c long, d string")
+    b = spark.createDataFrame([(k, 5000 + k) for k in range(0, 4000)], "a long, e long")
+    got = {(r["child"], r["parent"], r["distinct_values"]) for r in profile.table_containment({"s": (a, ("a", "b", "c", "d")), "t": (b, ("a", "e"))}, size=16).collect()}
+    assert got == {("s.b", "s.a", 50), ("s.a", "t.a", 2000), ("s.b", "t.a", 50)}
+    almost = spark.createDataFrame([(k, k if k != 777 else -1) for k in range(2000)], "a long, b long")
+    assert profile.containment(almost, ("a", "b")).count() == 0
+    assert profile.may_contain([1, 2], [1, 2, 3], 3) and not profile.may_contain([1, 2], [1, 3, 4], 3) and profile.may_contain([5], [1, 2, 3], 3) and not profile.may_contain([5], [1, 2], 3)
+
+
+def test_unnamed_columns(spark):
+    rows = [(k, None if k < 30 else "Course id", "" if k else "x", f"v{k}", None) for k in range(60)]
+    d = spark.createDataFrame(rows, "n long, `Unnamed: 1` string, `Unnamed: 2` string, `Unnamed: 3` string, `Unnamed: 4` string").repartition(3)
+    assert columns.settle_unnamed(d).columns == ["n", "inferred_course_id", "data_column_2"]
+    assert columns.settle_unnamed(d.limit(0)).columns == ["n"]
+
+
+def test_many_workbooks(spark, tmp_path):
+    t = lambda *r: spark.createDataFrame(list(r), "`Course No` string, Title string")
+    (tmp_path / "a.xlsx").write_bytes(writers.workbook({"One": t(("C1", "first"), ("C2", "N/A")), "Two": t(("C3", "on two"))}))
+    (tmp_path / "b.xlsx").write_bytes(writers.workbook({"One": t(("C4", "x & y <z>"))}))
+    (tmp_path / "c.xlsx").write_bytes(writers.workbook({"Other": spark.createDataFrame([(1, 2.5)], "n long, v double")}))
+    whole = (tmp_path / "b.xlsx").read_bytes()
+    (tmp_path / "broken.xlsx").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "text.xlsx").write_text("no workbook")
+    paths = [str(tmp_path / f"{n}.xlsx") for n in ("a", "b", "c", "broken", "text", "absent")]
+    good, bad = readers.read_workbooks(spark, paths)
+    assert sorted(p.rsplit("/", 1)[-1] for p, _ in bad) == ["absent.xlsx", "broken.xlsx", "text.xlsx"]
+    frames = {tuple(d.columns): d for _, d in good}
+    assert {tuple(r) for r in frames["Course No", "Title", "data_source", "sheet"].collect()} == {("C1", "first", "a.xlsx", "One"), ("C2", None, "a.xlsx", "One"), ("C4", "x & y <z>", "b.xlsx", "One")}
+    assert frames["n", "v", "data_source", "sheet"].first()["v"] == "2.5"
+    every = dict(readers.read_workbooks(spark, paths, every_sheet=True)[0])
+    assert every["a.xlsx"].count() == 4
+    with pytest.raises(ValueError):
+        readers.read_workbook(spark, paths[3])
+
+
+def test_workbook_sink(spark, tmp_path, monkeypatch):
+    n = 130_000
+    d = spark.range(0, n, 1, 3).select("id", F.concat(F.lit("row "), "id").alias("text"), (F.col("id") / 2).alias("half"), F.array("id").alias("list"), F.to_date(F.lit("2024-01-02")).alias("day"), F.lit(None).cast("string").alias("none"))
+    path = str(tmp_path / "out")
+    writers.write_workbooks(d, path, "Rows")
+    files = sorted(f.name for f in (tmp_path / "out").iterdir())
+    assert len(files) == 3 and all(f.endswith(".xlsx") for f in files)
+    (name, back), = readers.read_workbooks(spark, [path])[0]
+    assert back.columns == ["id", "text", "half", "list", "day", "none", "data_source", "sheet"] and back.count() == n
+    r = back.where("id = '99999'").first()
+    assert (r["text"], r["half"], r["list"], r["day"], r["none"], r["sheet"]) == ("row 99999", "49999.5", "[99999]", "2024-01-02", None, "Rows")
+    assert back.agg(F.sum(F.col("id").cast("long"))).first()[0] == n * (n - 1) // 2
+    writers.write_workbooks(d.limit(5), path)
+    assert readers.read_workbooks(spark, [path])[0][0][1].count() == 5
+    writers.write_workbooks(d.limit(2), path, mode="append")
+    assert readers.read_workbooks(spark, [path])[0][0][1].count() == 7
+    before = sorted(f.name for f in (tmp_path / "out").iterdir())
+    with pytest.raises(Exception):
+        writers.write_workbooks(d.limit(5).select(F.raise_error(F.lit("stop")).cast("string").alias("x")), path)
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == before
+    monkeypatch.setattr(writers, "SHEET_ROWS", 4)
+    out = io.BytesIO()
+    book = writers.Workbook(out)
+    assert book.add("Long", ["k"], [(k,) for k in range(7)]) == 7
+    book.close()
+    (tmp_path / "long.xlsx").write_bytes(out.getvalue())
+    (_, sheets), = readers.read_workbooks(spark, [str(tmp_path / "long.xlsx")], every_sheet=True)[0]
+    assert sorted((r["k"], r["sheet"]) for r in sheets.collect()) == [(str(k), "Long" if k < 3 else f"Long {k // 3 + 1}") for k in range(7)]

@@ -131,14 +131,20 @@ class GrayIndex:
     than the radius have no linked pair below them and are dropped whole; a
     child's mask holds its parent's, so differences add up on the way down.
     Nodes whose members are all in one component already are dropped as well,
-    which keeps dense groups from being compared pair by pair.
+    which keeps dense groups from being compared pair by pair. Rows of a group
+    that have one ``label`` are in one component from the start.
     """
 
-    def __init__(self, group: np.ndarray, prints: np.ndarray) -> None:
+    def __init__(self, group: np.ndarray, prints: np.ndarray, label: np.ndarray | None = None) -> None:
         n = len(group)
         self.prints, self.group, self.parent = prints, group, np.arange(n)
+        if label is not None and n:
+            order = np.lexsort((np.arange(n), label, group))
+            new = np.append(True, (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1]))
+            self.parent[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
         self.edges: list[np.ndarray] = []
         self.used = np.zeros(0, np.int64)
+        self.every = False
         self.starts = [np.arange(n)]
         self.same, self.pattern = [np.full_like(prints, 0xFFFFFFFFFFFFFFFF)], [prints]
         while len(self.starts) < LEVELS and len(self.starts[-1]) > 1:
@@ -187,20 +193,26 @@ class GrayIndex:
     def _pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.minimum(i, j) * len(self.group) + np.maximum(i, j)
 
-    def forest(self, radii: tuple[int, ...], sure: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, radii: tuple[int, ...], sure: int | None = None, forests: int | None = FORESTS) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs that span each component, with their differences.
 
         Rows of a group link if they differ in at most the last of ``radii``.
         The radii are gone through in order, so components are joined by links
         that are short, to within a step between radii. Links of more than
-        ``sure`` bits may turn out wrong, so ``FORESTS`` sets of them are given
+        ``sure`` bits may turn out wrong, so ``forests`` sets of them are given
         that have no pair in common, each spanning what the sure ones leave.
+        With ``forests`` None all links of up to the last radius are given.
         """
+        if forests is None:
+            self.every = True
+            self._descend(radii[-1])
+            e = np.concatenate(self.edges) if self.edges else np.zeros((0, 2), np.int64)
+            return e, np.bitwise_count(self.prints[e[:, 0]] ^ self.prints[e[:, 1]]).sum(axis=1)
         certain = [r for r in radii if sure is None or r <= sure]
         for radius in certain:
             self._join(radius)
         base = self.parent.copy()
-        for _ in range(FORESTS if len(certain) < len(radii) else 0):
+        for _ in range(forests if len(certain) < len(radii) else 0):
             self.parent, before = base.copy(), len(self.edges)
             for radius in radii[len(certain) :]:
                 self._join(radius)
@@ -239,6 +251,9 @@ class GrayIndex:
             i, j = i[keep], j[keep]
             if level == 0:
                 new = self.parent[i] != self.parent[j]
+                if self.every:
+                    self.edges.append(np.stack([i[new], j[new]], axis=1))
+                    continue
                 if len(self.used) and new.any():
                     new[new] = ~np.isin(self._pairs(i[new], j[new]), self.used)
                 if new.any():
@@ -263,12 +278,14 @@ class GrayIndex:
             stack += [(level - 1, ci[k : k + block], cj[k : k + block]) for k in range(0, len(ci), block)]
 
 
-def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None) -> DataFrame:
+def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None, forests: int | None = FORESTS) -> DataFrame:
     """Spanning edges ``src, dst, apart`` of the links within each group of ``mask, bits``.
 
-    With ``sure`` they are linked pairs with their differing bits, else stars.
+    With ``sure`` they are linked pairs with their differing bits, with
+    ``forests`` None all of these, else stars. Stars are between labels, if rows have
+    a ``label``: a group whose rows are in one component already gives none.
     """
-    prints = [f"f{k}" for k in range(lanes)]
+    prints, labelled = [f"f{k}" for k in range(lanes)], "label" in keyed.columns
 
     def link(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
@@ -276,17 +293,19 @@ def _search(keyed: DataFrame, lanes: int, *radii: int, sure: int | None = None)
         p = np.stack([t.column(c).to_numpy() for c in prints], axis=1).view(np.uint64)
         order = np.lexsort((gray_rank(p[:, 0]), bits, mask))
         node, mask, bits, p = node[order], mask[order], bits[order], p[order]
+        label = t.column("label").to_numpy()[order] if labelled else node
         group = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1]))])
         pair = np.zeros(len(group), bool)
         pair[1:] = group[1:] == group[:-1]
         pair[:-1] |= pair[1:].copy()
-        node, group, p = node[pair], group[pair], np.ascontiguousarray(p[pair])
-        index = GrayIndex(group, p)
-        e, apart = index.forest(radii, sure) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
-        if sure is None and len(node):
+        node, label, group, p = node[pair], label[pair], group[pair], np.ascontiguousarray(p[pair])
+        index = GrayIndex(group, p, label if labelled else None)
+        e, apart = index.forest(radii, sure, forests) if len(node) else (np.zeros((0, 2), np.int64), np.zeros(0))
+        if sure is None and forests is not None and len(node):
             # where only components matter, all keys give a row the same edge: to the first of its component
-            far = np.flatnonzero(index.parent != np.arange(len(node)))
-            e, apart = np.stack([far, index.parent[far]], axis=1), np.zeros(len(far))
+            far = np.flatnonzero(label != label[index.parent])
+            links = np.unique(np.stack([label[far], label[index.parent[far]]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), pa.array(np.zeros(len(links), np.int32))], names=["src", "dst", "apart"])
         return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]]), pa.array(apart.astype(np.int32))], names=["src", "dst", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,9 +432,11 @@ FINE, FINE_KEYS = 8, 4
 #: Of those 512 bits texts of similarity 0.8 differ in 77, with a deviation of 8: so many and fewer are links, those up to the last are counted exactly.
 SURE, STEPS = 50, (50, 64, 77, 90, 104)
 SHINGLE, SIMILAR = 5, 0.8
+#: Keys after which the candidates found so far are joined.
+KEY_ROUNDS = (4, 16)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_GROUP, forests: int | None = FORESTS) -> DataFrame:
     """``id, sig, component`` of every document, linking texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
     Candidates: a fingerprint over three-word shingles has 768 bits and one
@@ -426,36 +447,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0.9, and under 0.8 in one of 2,000); longer ones between components are
     counted on the texts' whole shingle sets and stand from ``SIMILAR``. A
     group of more than ``most`` rows is searched by pairs of its parts, with
-    the same links.
+    the same links. Of a group's longer links ``forests`` disjoint spanning sets
+    are counted. With None every pair of a group of candidates that differs in
+    up to the last of ``STEPS`` bits is counted, short or long, so no link
+    rests on bits alone and none is lost to the number of sets; the pairs of a
+    group then grow with its square.
+
+    Keys are gone through in rounds, few first: rows that one round has joined
+    have one label in the next, where a key tells only of labels that it
+    joins, so many keys of a large group do not repeat its links.
 
     ``sig`` is the text's hash, ``component`` the smallest ``(id is null, id,
     sig)`` of its group. Null and empty texts are copies of each other. A null
     id is never the smallest unless all are null; rows that repeat id and text
     have the same values; an empty table gives an empty result.
     """
+    exact = forests is None
     wide, fine = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(FINE)]
     d = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sig")).alias("key"), F.col(text_col).alias("t"))
     every = cut_lineage(fingerprints(d, "key", "t", 3, WIDE, more=(SHINGLE, FINE)).select("id.id", "id.sig", F.xxhash64(*wide, *fine).alias("node"), *wide, *fine))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sig"))
     prints = cut_lineage(every.groupBy("node").agg(least.alias("first_id"), *[F.first(c).alias(c) for c in (*wide, *fine)]))
-    keys = F.array(*[F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in (*wide[COMPARED:], *fine[:FINE_KEYS]) for k in range(4)])
-    keyed = prints.select("node", *wide[:COMPARED], F.posexplode(keys).alias("mask", "bits"))
-    edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, most, WIDE_RADIUS)
-    groups = connected_components(edges)
-    rows = groups.join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("component").alias("bits"))
-    links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS, sure=SURE))
-    sure = links.where(F.col("apart") <= SURE)
-    more = _similar(d, prints, links.where(F.col("apart") > SURE), connected_components(sure))
-    labels = components_of(prints, sure.select("src", "dst").union(more))
-    return every.select("id", "sig", "node").join(labels, "node").select("id", "sig", F.col("component_id").alias("component"))
+    keys = [F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF)) for c in (*wide[COMPARED:], *fine[:FINE_KEYS]) for k in range(4)]
+    labels, first = prints.select("node", F.col("node").alias("label")), 0
+    for last in (*KEY_ROUNDS, len(keys)):
+        rows = prints.join(labels, "node") if first else prints.withColumn("label", F.col("node"))
+        keyed = rows.select("node", "label", *wide[:COMPARED], F.posexplode(F.array(*keys[first:last])).alias("mask", "bits"))
+        edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, most, WIDE_RADIUS)
+        labels, first = cut_lineage(relabelled(labels, connected_components(edges))), last
+    several = labels.groupBy("label").count().where("count > 1").select("label")
+    rows = labels.join(several, "label").join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("label").alias("bits"))
+    links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS, sure=None if exact else SURE, forests=forests))
+    sure = links.where(F.col("apart") <= (-1 if exact else SURE))
+    joined = cut_lineage(relabelled(prints.select("node", F.col("node").alias("label")), connected_components(sure)))
+    more = _similar(d, prints, links.where(F.col("apart") > (-1 if exact else SURE)), joined)
+    labels = cut_lineage(relabelled(joined, connected_components(more)))
+    least = labels.join(prints.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("component"))
+    by_node = labels.join(least, "label").select("node", F.col("component").alias("c"))
+    return every.select("id", "sig", "node").join(by_node, "node").select("id", "sig", F.col("c").alias("component"))
+
+
+def relabelled(labels: DataFrame, components: DataFrame) -> DataFrame:
+    """``node, label`` with each label that ``components`` (``node, component``) names replaced by its component."""
+    to = components.select(F.col("node").alias("label"), "component")
+    return labels.join(to, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
 
 
 def _similar(d: DataFrame, prints: DataFrame, links: DataFrame, joined: DataFrame) -> DataFrame:
-    """Those of ``links`` between different components of ``joined`` whose texts are similar by their whole shingle sets."""
+    """The labels of ``joined`` that a link connects whose texts are similar by their whole shingle sets, as ``src, dst``."""
     for side in ("src", "dst"):
-        label = joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
-        links = links.join(label, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
-    links = cut_lineage(links.where("src_in <> dst_in").select("src", "dst").distinct())
+        links = links.join(joined.select(F.col("node").alias(side), F.col("label").alias(f"{side}_in")), side)
+    links = cut_lineage(links.where("src_in <> dst_in").select("src", "dst", "src_in", "dst_in").distinct())
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     texts = prints.join(nodes, "node").select("node", F.col("first_id.sig").alias("sig"))
 
@@ -467,27 +509,28 @@ def _similar(d: DataFrame, prints: DataFrame, links: DataFrame, joined: DataFram
     sets = cut_lineage(arrow_map(held, shingles, "node long, set array<long>", rows=64))
     pairs = links.join(sets.select(F.col("node").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("b")), "dst")
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select("src", "dst")
+    return pairs.where(both >= SIMILAR * (F.size("a") + F.size("b") - both)).select(F.col("src_in").alias("src"), F.col("dst_in").alias("dst")).distinct()
 
 
-def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int, sure: int | None = None) -> DataFrame:
+def _by_keys(keyed: DataFrame, lanes: int, most: int, *radii: int, sure: int | None = None, forests: int | None = FORESTS) -> DataFrame:
     """Edges within the groups ``mask, bits``.
 
     A group of more than ``most`` rows is cut into parts of about half as many,
     and each two parts are searched together, so that every pair meets.
     """
-    prints = [f"f{k}" for k in range(lanes)]
+    prints = [*(["label"] if "label" in keyed.columns else []), *[f"f{k}" for k in range(lanes)]]
     big = cut_lineage(keyed.groupBy("mask", "bits").count().where(F.col("count") > most))
     lean = keyed.select("node", *prints, "mask", "bits")
     if big.isEmpty():
-        return _search(lean, lanes, *radii, sure=sure)
+        return _search(lean, lanes, *radii, sure=sure, forests=forests)
     n_parts = F.ceil(2 * F.col("count") / F.lit(most)).cast("long")
     hot = lean.join(big.select("mask", "bits", n_parts.alias("n")), ["mask", "bits"])
     hot = hot.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("part <> other")
     pair = F.xxhash64("bits", F.least("part", "other"), F.greatest("part", "other"))
     second = hot.select("node", *prints, (F.col("mask") + 1000).alias("mask"), pair.alias("bits"))
-    return _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, *radii, sure=sure).union(_search(second, lanes, *radii, sure=sure))
+    rest = _search(lean.join(big, ["mask", "bits"], "left_anti"), lanes, *radii, sure=sure, forests=forests)
+    return rest.union(_search(second, lanes, *radii, sure=sure, forests=forests))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

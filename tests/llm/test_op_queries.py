@@ -207,11 +207,27 @@ def test_near_duplicates_are_those_of_an_exact_count(spark):
                 x, y = group[a], group[b]
                 group = [min(x, y) if g in (x, y) else g for g in group]
     d = spark.createDataFrame([*rows, rows[3], (3, "another text under that id")], "doc_id long, text string").withColumn("component", F.lit(1))
-    for most in (20_000, 5):
-        got = {(r["id"], r["sig"]): r["component"]["id"] for r in simhash.near_duplicates(d, most=most).collect()}
+    for how in ({}, {"most": 5}, {"forests": None}):
+        got = {(r["id"], r["sig"]): r["component"]["id"] for r in simhash.near_duplicates(d, **how).collect()}
         by = {i: c for (i, _), c in got.items() if i != 3}
-        assert by == {k: group[k] for k in by}, most
+        assert by == {k: group[k] for k in by}, how
     kept = simhash.keep_one_of_each(spark, d, "")
     want = sorted([k for k in range(len(rows)) if group[k] == k] + [3])
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == want
     assert simhash.keep_one_of_each(spark, d.limit(0), "").count() == 0
+
+
+def test_exact_near_duplicates_do_not_rest_on_forests(spark):
+    """Where no set of uncertain links is counted the links of a group are lost; the exact way counts all of them."""
+    rnd = random.Random(23)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    base = [word() for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 9):
+        w = list(base)
+        at = rnd.randrange(240)
+        w[at : at + 28] = [word() for _ in range(28)]
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    components = lambda **how: {r["component"]["id"] for r in simhash.near_duplicates(d, **how).collect()}
+    assert len(components(forests=0)) > 1 and components(forests=None) == {0}

@@ -27,13 +27,13 @@ CLASSES = 16
 #: Frequent words whose counts every task holds; rarer ones are joined. A bound, not a cut: base scores do not depend on it.
 HEAD = 1 << 17
 #: Training tokens for each hashed weight, and the least and most weights as powers of two.
-TOKENS_PER_WEIGHT, LEAST_BITS, MOST_BITS = 256, 16, 20
+TOKENS_PER_WEIGHT, LEAST_BITS, MOST_BITS = 4, 16, 20
 #: Of the four features of a history (the word before; the two before; the second word before; the third), how many count within a class.
 NODE_FEATURES = 2
 #: Tokens of a computed batch; synchronised rounds over disjoint parts of the training texts.
 BATCH, ROUNDS = 65_536, 2
-#: Part of a full Newton step that a round takes, and the prior's curvature.
-STEP, PRIOR = 0.25, 4.0
+#: Parts of a full Newton step that a round takes, one over the features that share a history: for class rows, for choices; the prior's curvature.
+ROW_STEP, NODE_STEP, PRIOR = 0.25, 0.5, 4.0
 _hash64 = xxhash.xxh64_intdigest
 
 
@@ -425,7 +425,7 @@ def stepped(model: EntropyModel, total: np.ndarray) -> EntropyModel:
     share = np.exp(model.tree.bias)
     rows = total[:n].reshape(-1, CLASSES) / (total[3 * n :, None] * (share * (1 - share)) + PRIOR)
     weights = total[n : 2 * n] / (total[2 * n : 3 * n] / 4 + PRIOR)
-    return EntropyModel(model.tree, model.bits, (model.rows + STEP * rows).astype(np.float32), (model.weights + STEP * weights).astype(np.float32))
+    return EntropyModel(model.tree, model.bits, (model.rows + ROW_STEP * rows).astype(np.float32), (model.weights + NODE_STEP * weights).astype(np.float32))
 
 
 def score_texts(texts: DataFrame, model: EntropyModel, vocabulary: Vocabulary, counts: DataFrame) -> DataFrame:

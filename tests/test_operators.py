@@ -418,3 +418,19 @@ def test_workbook_sink(spark, tmp_path, monkeypatch):
     (tmp_path / "long.xlsx").write_bytes(out.getvalue())
     (_, sheets), = readers.read_workbooks(spark, [str(tmp_path / "long.xlsx")], every_sheet=True)[0]
     assert sorted((r["k"], r["sheet"]) for r in sheets.collect()) == [(str(k), "Long" if k < 3 else f"Long {k // 3 + 1}") for k in range(7)]
+
+
+def test_temporary_tables_go(spark):
+    from pathlib import Path
+
+    from coursewright.functions import storage
+
+    with storage.temporary_tables(spark) as folder:
+        d = storage.stored(spark.range(10))
+        assert d.count() == 10 and list(Path(folder.removeprefix("file:")).glob("*/*.parquet"))
+    assert not Path(folder.removeprefix("file:")).exists()
+    with pytest.raises(RuntimeError), storage.temporary_tables(spark) as folder:
+        storage.stored(spark.range(3))
+        raise RuntimeError
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert storage.stored(spark.range(3)).count() == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Its cleaner goes by the driver's garbage collection, which a driver with
+    little to do rarely runs; loops of many small jobs call this between
+    rounds, so that their files do not add up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it; see ``temporary_tables`` for when it goes."""
     spark = df.sparkSession

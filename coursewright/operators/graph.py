@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.functions.storage import cut_lineage
+from coursewright.functions.storage import cut_lineage, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -38,6 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .distinct()
         )
         e = cut_lineage(small)
+        del both, low, large, small
+        release(e.sparkSession)
         state = e.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.functions.storage import cut_lineage
+from coursewright.functions.storage import cut_lineage, release
 from coursewright.llm.common import arrow_map, table
 from coursewright.operators.graph import connected_components
 
@@ -433,7 +433,7 @@ FINE, FINE_KEYS = 8, 4
 SURE, STEPS = 50, (50, 64, 77, 90, 104)
 SHINGLE, SIMILAR = 5, 0.8
 #: Keys after which the candidates found so far are joined.
-KEY_ROUNDS = (4, 16)
+KEY_ROUNDS = (8,)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_GROUP, forests: int | None = FORESTS) -> DataFrame:
@@ -475,6 +475,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed = rows.select("node", "label", *wide[:COMPARED], F.posexplode(F.array(*keys[first:last])).alias("mask", "bits"))
         edges = _by_keys(keyed.withColumn("mask", F.col("mask").cast("long")), COMPARED, most, WIDE_RADIUS)
         labels, first = cut_lineage(relabelled(labels, connected_components(edges))), last
+        del rows, keyed, edges
+        release(docs.sparkSession)
     several = labels.groupBy("label").count().where("count > 1").select("label")
     rows = labels.join(several, "label").join(prints, "node").select("node", *[F.col(c).alias(f"f{k}") for k, c in enumerate(fine)], F.lit(0).cast("long").alias("mask"), F.col("label").alias("bits"))
     links = cut_lineage(_by_keys(cut_lineage(rows), FINE, most, *STEPS, sure=None if exact else SURE, forests=forests))

@@ -14,7 +14,7 @@ NAMES = (
     "parse_dates alerts keywords tech_terms embed_pairs id_match_pairs correlations fk_containment fuzzy_titles aliased_columns assignment_hours timeline "
     "date_repair date_validity documented_score month_ends recommendation_groups insights dbscan_clusters text_clusters cross_dept_pairs pair_cosines course_pairs "
     "title_winkler weighted_texts stratified_sample random_sample alternative_keys value_types model_limits validation_totals result_counts missing_options "
-    "acronyms title_ratios composite_keys content_report fk_tables cluster_sizes tfidf_pairs numbering_stats box_plot metadata_quality file_structure focus kpis learner_bands top_creators category_counts organizations analysis_courses"
+    "acronyms title_ratios composite_keys content_report fk_tables numbering_stats box_plot metadata_quality file_structure focus kpis learner_bands top_creators category_counts organizations analysis_courses"
 ).split()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")

@@ -14,7 +14,7 @@ from coursewright.functions.text import category_confidence, exploded_tokens
 from coursewright.operators.graph import connected_components
 from coursewright.operators.metrics import distinct_counts, filled, to_rows
 from coursewright.operators.quantiles import quantiles, share_of, smallest
-from coursewright.operators.term_index import TermVectors, gram_counts, similar_pairs, top_by_total
+from coursewright.operators.term_index import Grams, TermVectors, similar_pairs
 
 
 def metadata_quality(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -135,7 +135,8 @@ def text_patterns(df: DataFrame, column: str, order: str, rows: int = 100) -> Da
 
 def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """``term, score`` with the largest summed TF-IDF over n-grams of up to ``most`` words (unnormalised weights)."""
-    terms = top_by_total(gram_counts(docs, most), vocabulary)
+    g = Grams.of(docs, most, vocabulary)
+    terms = docs.sparkSession.createDataFrame(list(zip(g.terms, g.totals.tolist(), g.frequencies.tolist())), "term string, total long, df long")
     n = docs.agg(F.count("*").alias("n"))
     score = F.col("total") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
     return terms.join(F.broadcast(n)).select("term", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "term").limit(limit)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions.storage import cut_lineage
 from coursewright.functions.text import category_confidence, exploded_tokens
+from coursewright.operators.cells import vector_pairs
 from coursewright.operators.graph import connected_components
 from coursewright.operators.metrics import distinct_counts, filled, to_rows
 from coursewright.operators.quantiles import quantiles, share_of, smallest
@@ -181,29 +185,84 @@ def category_overlap(flagged: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
-def density_clusters(nodes: DataFrame, links: DataFrame, least: int = 5) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch], src: str, dst: str) -> Iterator[pa.RecordBatch]:
+    """Edges between the same nodes that join what a task's edges join: one a node at most."""
+    a, b = np.zeros(0, object), np.zeros(0, object)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        label = np.arange(len(ids))
+        while True:
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            # roots learn of smaller ones, then every node takes its root's
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            while (new[new] != new).any():
+                new = new[new]
+            new = new[label]
+            if (new == label).all():
+                break
+            label = new
+            some = label[x] != label[y]
+            x, y = x[some], y[some]
+        other = label != np.arange(len(ids))
+        return ids[other], ids[label[other]]
+
+    for t in batches:
+        x, y = (t.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        a, b = (np.concatenate([u, v]) if len(u) else v for u, v in ((a, x), (b, y)))
+        if len(a) > 1 << 20:
+            a, b = joined(a, b)
+    if len(a):
+        a, b = joined(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=[src, dst])
+
+
+def density_clusters(nodes: DataFrame, links: DataFrame, least: int = 5, flagged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """DBSCAN: ``id, cluster`` from neighbour links ``id_1, id_2`` within the radius.
 
     A core has ``least`` neighbours, itself included. Cores linked to each
     other form clusters, named by their smallest id; a border point joins its
-    smallest core's cluster; the rest is noise, -1.
+    smallest core's cluster; the rest is noise, -1. Links are neither stored
+    nor shuffled one by one: tasks sum up degrees, keep a spanning forest of
+    the links between cores, and the smallest core next to a border point.
+    ``flagged`` gives the links once more, with ``core_1`` and ``core_2``, for
+    ``id, core``, each once; without it links are made distinct and joined to the cores.
     """
-    both = links.select("id_1", "id_2").union(links.select("id_2", "id_1")).toDF("id", "other").distinct()
-    core = both.groupBy("id").count().where(F.col("count") + 1 >= least).select("id")
-    inner = both.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "other"), "other", "left_semi")
+    if flagged is None:
+        links = links.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")).where("id_1 < id_2").distinct()
+    degree = links.select(F.explode(F.array("id_1", "id_2")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    core = cut_lineage(degree.where(F.col("n") + 1 >= least).select("id", F.lit(True).alias("core")))
+    if flagged is None:
+        side = lambda k: core.toDF(f"id_{k}", f"core_{k}")
+        pairs = links.select("id_1", "id_2").join(side(1), "id_1", "left").join(side(2), "id_2", "left")
+    else:
+        pairs = flagged(core)
+    pairs = pairs.select("id_1", "id_2", *[F.coalesce(f"core_{k}", F.lit(False)).alias(f"core_{k}") for k in (1, 2)])
+    kind = dict(links.dtypes)["id_1"]
+    inner = pairs.where("core_1 and core_2").select("id_1", "id_2").mapInArrow(lambda b: _forest(b, "id", "other"), f"id {kind}, other {kind}")
     comps = connected_components(inner, "id", "other").toDF("id", "cluster")
     cores = core.join(comps, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
-    border = both.join(core, "id", "left_anti").join(cores.toDF("other", "cluster"), "other").groupBy("id").agg(F.min_by("cluster", "other").alias("cluster"))
+    outer = pairs.where("core_1 <> core_2").select(F.when(F.col("core_1"), F.col("id_2")).otherwise(F.col("id_1")).alias("id"), F.when(F.col("core_1"), F.col("id_1")).otherwise(F.col("id_2")).alias("other"))
+    border = outer.groupBy("id").agg(F.min("other").alias("other")).join(cores.toDF("other", "cluster"), "other").select("id", "cluster")
     return nodes.select("id").join(cores.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def vector_clusters(vectors: DataFrame, threshold: float, least: int) -> DataFrame:
+    """DBSCAN over ``id, embedding``: neighbours have a cosine of at least ``threshold``."""
+    v = vectors.select("id", "embedding")
+    return density_clusters(v, vector_pairs(v, threshold), least, lambda core: vector_pairs(v.join(core, "id", "left"), threshold))
+
+
 def text_clusters(docs: DataFrame, radius: float = 0.3, least: int = 5, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """DBSCAN over ``id, text``: TF-IDF vectors over runs of up to ``most`` words, neighbours within a cosine distance of ``radius``.
 
-    Neighbours come from the index of rare terms, so only texts that share
-    one are compared. Texts without a term of the vocabulary are noise.
+    Texts without a term of the vocabulary are noise.
     """
-    return density_clusters(docs, cut_lineage(similar_pairs(TermVectors.of(docs, most, vocabulary), 1 - radius)), least)
+    v = TermVectors.of(docs, most, vocabulary)
+    return density_clusters(docs, similar_pairs(v, 1 - radius), least, lambda core: similar_pairs(v.carrying(core), 1 - radius))
 
 
 def stratified_sample(df: DataFrame, by: str | None, key: str, size: int = 10_000, groups: int = 20, least: int = 50, seed: int = 1) -> DataFrame:

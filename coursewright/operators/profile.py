@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from coursewright import config
 from coursewright.functions.storage import cut_lineage
-from coursewright.functions.text import category_confidence, exploded_tokens
+from coursewright.functions.text import category_confidence, exploded_tokens, tokens
 from coursewright.operators.cells import vector_pairs
 from coursewright.operators.graph import connected_components
 from coursewright.operators.metrics import distinct_counts, filled, to_rows
@@ -147,10 +149,22 @@ def top_terms(docs: DataFrame, limit: int = 20, most: int = 3, vocabulary: int =
 
 
 def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
-    """Each text's ``n`` most frequent tokens, in alphabetical order; ties in that order too."""
-    tf = exploded_tokens(docs, "text", "id").withColumnRenamed("term", "w").groupBy("id", "w").agg(F.count("*").alias("n"))
-    best = tf.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), 1, n).alias("top"))
-    return best.select("id", F.array_join(F.array_sort(F.transform("top", lambda s: s["w"])), ",").alias("keywords"))
+    """Each text's ``n`` most frequent tokens, in alphabetical order; ties in that order too.
+
+    A text's tokens are counted in the task that reads it and never shuffled.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part, out = b.slice(k, 256), []
+                for t in part.column(1).to_pylist():
+                    top = heapq.nsmallest(n, ((-m, w) for w, m in Counter(t).items()))
+                    out.append(",".join(sorted(w for _, w in top)) if top else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["id", "keywords"])
+
+    found = docs.select("id", tokens(F.col("text")).alias("t")).mapInArrow(best, f"id {dict(docs.dtypes)['id']}, keywords string")
+    return found.where("keywords is not null")
 
 
 def department_overlap(docs: DataFrame, least: float = 0.3) -> DataFrame:

@@ -111,3 +111,24 @@ def test_runs_are_counted_whole(spark, monkeypatch, most, vocabulary, listed):
     assert dict(zip(g.terms, zip(g.totals.tolist(), g.frequencies.tolist()))) == want
     counts = {(r["id"], g.terms[k]): n for r in g.rows.collect() for k, n in zip(r["ranks"], r["counts"])}
     assert counts == {(r["id"], r["term"]): r["tf"] for r in tf.collect() if r["term"] in want}
+
+
+def test_keywords_and_acronyms_are_found_in_their_row(spark):
+    from pyspark.sql import functions as F
+
+    from coursewright.functions import text
+
+    d = spark.createDataFrame([(1, "bb aa aa cc"), (2, ""), (3, None), (4, "the of")], "id long, text string")
+    found = profile.keywords(d, 2)
+    assert "Exchange" not in plan(found) and dict(found.collect()) == {1: "aa,bb"}
+    rnd = random.Random(9)
+    parts = ["HR", "IT ", "Big Maker", " (x)", "((", ")", ": ", ";", " A.B.", "HR (IT) ", "éHR:", "HRé;", "xIT;", " ", " :", "of", "A1 (y", "B C (AB)"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 12))) for _ in range(400)]
+    bare = F.array_distinct(F.transform(text._found(F.col("t"), text.ACRONYMS), lambda a: F.regexp_replace(a, r"(?U)[^\w\s]", "")))
+    said = lambda a, after: F.regexp_instr(F.col("t"), F.concat(F.lit("(?U)"), a, F.lit(after))) > 0
+    twice = lambda a: F.size(F.split("t", F.concat(F.lit(r"\Q"), a, F.lit(r"\E")), -1)) > 2
+    want = F.array_sort(F.filter(bare, lambda a: (F.length(a) >= 2) & (twice(a) | said(a, r"\s*\([^)]+\)") | said(F.concat(F.lit(r"\b"), a), r"\b\s*[:;]"))))
+    got = text.acronyms(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", got.alias("got"), want.alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"]] == [] and sum(len(r["got"]) for r in rows) > 300
+    assert "regexp_instr" not in str(got)

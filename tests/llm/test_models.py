@@ -587,3 +587,30 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in out.values()) and out[900] == out[901] < 0.5
     none = toxicity.fit_distance(toxicity.labelled_texts(d.limit(0), b.limit(0)))
     assert toxicity.score_toxicity(d.limit(5), none).count() == 5
+
+
+def test_words_that_no_item_counts_are_not_looked_up(monkeypatch):
+    """The bound looks only at words that some item counts, keeps what judge calls a leak, and is exact unless places are shared."""
+    rnd = random.Random(12)
+    vocabulary = {f"w{k}".encode(): k for k in range(1, 400)}
+    texts = [" ".join(f"w{rnd.randrange(1, 200)}" for _ in range(rnd.randrange(10, 40))) + "." for _ in range(12)]
+    weights = np.array([0] + [rnd.random() + (k < 150) for k in range(1, 400)], np.float32)
+    items = [decontam.read_item(k, t, vocabulary, weights) for k, t in enumerate(texts)]
+    terms = np.array([rnd.randrange(150, 400) for _ in range(900)], np.uint32)
+    for k, x in enumerate(items):
+        terms[60 * k + 10 : 60 * k + 10 + len(x.terms)] = x.terms
+    at, item = (x.ravel() for x in np.meshgrid(np.arange(0, 900, decontam.STEP), np.arange(len(items))))
+    leaks = np.array([decontam.judge(items[i], terms, a)[2] is not None for a, i in zip(at, item)])
+    want = []
+    for a, i in zip(at, item):
+        rarer, need = decontam.rarer_words(items[i], weights)
+        n = len(items[i].terms)
+        want.append(len(set(rarer) & set(terms[max(0, a - n) : a + decontam.PASSAGE + n].tolist())) >= need)
+    for places in (1 << 22, 500):
+        monkeypatch.setattr(decontam, "PAIRS", places)
+        bound = decontam.WordBound(items, weights)
+        words, before = bound.within(terms)
+        assert len(words) < 0.6 * len(terms) and before[-1] == len(words)
+        kept = bound.kept(words, before, np.zeros(len(at), int), np.full(len(at), 900), at, item)
+        assert leaks.sum() >= len(items) and not (leaks & ~kept).any() and not (np.array(want) & ~kept).any()
+        assert places == 500 or kept.tolist() == want

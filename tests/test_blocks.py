@@ -46,6 +46,54 @@ def test_pairs_are_not_shuffled(spark, vectors):
     assert described.count() > 60 and sorted(map(str, described.select(*columns).collect())) == sorted(map(str, joined.collect()))
 
 
+def test_a_task_prepares_a_block_once(spark):
+    import uuid
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from coursewright.operators.blocks import block_pairs
+
+    def compare(x, y, same):
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([x[0]]), pa.array([y[0]]), pa.array([x[1] * y[1] if not same else x[1] * (x[1] - 1) // 2])], names=["task", "x", "y", "pairs"])
+
+    found = block_pairs(spark.range(3000), lambda t: (uuid.uuid4().hex, t.num_rows), compare, "task long, x string, y string, pairs long", 20).collect()
+    assert sum(r["pairs"] for r in found) == 3000 * 2999 // 2
+    blocks = {k: {r[c] for r in found if r["task"] == k for c in "xy"} for k in {r["task"] for r in found}}
+    # at most those of two partitions, not one for each pair of blocks
+    assert max(map(len, blocks.values())) <= 2 * 10 and max(sum(r["task"] == k for r in found) for k in blocks) > 20
+
+
+def test_alike_texts_are_multiplied_as_a_matrix(monkeypatch):
+    """Many pairs of alike texts and few of others, in one block: all that reach the threshold, with the products of all terms."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    dims, n = 400, 300
+    full = np.zeros((n, dims))
+    for k in range(n):
+        some = rng.choice(100, 80, replace=False) + (k % 4) * 100 if k % 3 else rng.choice(dims, 6, replace=False)
+        full[k, some] = rng.integers(1, 4, len(some))
+    full[7], full[8] = full[9], full[9]
+    lists = [np.flatnonzero(v) for v in full]
+    t = pa.table({"id": list(range(n)), "ranks": pa.array(lists, pa.list_(pa.int16())), "counts": pa.array([full[k][x].astype(int) for k, x in enumerate(lists)], pa.list_(pa.int32())), "norm": np.linalg.norm(full, axis=1)})
+    half = t.slice(0, 170), t.slice(170)
+    want = unit(full) @ unit(full).T
+    entries = []
+    spans = term_index._spans
+    monkeypatch.setattr(term_index, "_spans", lambda starts, sizes: entries.append(int(sizes.sum())) or spans(starts, sizes))
+    got = {}
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        x, y = (term_index._Block.of(half[k], np.ones(dims)) for k in (a, b))
+        for p, q, score in term_index._near(x, y, a == b, dims, 0.5):
+            ids = [(min(i, j), max(i, j)) for i, j in zip(x.rows["id"].take(pa.array(p)).to_pylist(), y.rows["id"].take(pa.array(q)).to_pylist())]
+            assert not got.keys() & set(ids) and len(set(ids)) == len(ids)
+            got |= dict(zip(ids, score))
+    hits = {(i, j) for i in range(n) for j in range(i + 1, n) if want[i, j] >= 0.5}
+    assert hits <= set(got) and len(hits) > 500 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert sum(entries) < 0.6 * sum(np.count_nonzero(full[j]) for _, j in got)
+
+
 def test_course_pairs_by_brute_force(spark, monkeypatch, vectors):
     monkeypatch.setattr(similarity, "VECTORS", 25)
     n = len(vectors)

@@ -161,6 +161,21 @@ def test_runs_are_counted_whole(spark, monkeypatch, most, vocabulary, listed):
     assert counts == {(r["id"], r["term"]): r["tf"] for r in tf.collect() if r["term"] in want}
 
 
+def test_slices_of_a_batch_are_small(monkeypatch):
+    """However many texts come at once, what is held of them at a time has a bound; one long text is a slice of its own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(term_index, "HELD", 50)
+    rnd = random.Random(4)
+    texts = [[f"w{rnd.randrange(20)}" for _ in range(n)] for n in (0, 10, 40, 1, 300, 0, 0, 50, 7, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["id", "t"])
+    words = pa.array(sorted({w for t in texts for w in t})[:12])
+    found = list(term_index._words([batch.slice(0, 6), batch.slice(6)], words))
+    assert max(at[-1] for _, _, at in found if len(at) > 2) <= 50 and len(found) >= 4
+    got = {i: x[a:b].tolist() for ids, x, at in found for i, a, b in zip(ids.to_pylist(), at, at[1:])}
+    assert got == {k: [words.to_pylist().index(w) if w in words.to_pylist() else -1 for w in t] for k, t in enumerate(texts)}
+
+
 def test_keywords_and_acronyms_are_found_in_their_row(spark):
     from pyspark.sql import functions as F
 

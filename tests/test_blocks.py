@@ -195,3 +195,36 @@ def test_keywords_and_acronyms_are_found_in_their_row(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", got.alias("got"), want.alias("want")).collect()
     assert [r for r in rows if r["got"] != r["want"]] == [] and sum(len(r["got"]) for r in rows) > 300
     assert "regexp_instr" not in str(got)
+
+
+def test_a_report_stores_no_pairs(spark, monkeypatch):
+    """Parts of the report equal those made of all pairs one by one, though only their sums are kept."""
+    rnd = random.Random(2)
+    base = [" ".join(f"w{rnd.randrange(40)}" for _ in range(12)) for _ in range(6)]
+    rows = []
+    for k in range(150):
+        words = base[k % 6].split()
+        words[rnd.randrange(12)] = f"w{rnd.randrange(60)}"
+        rows.append((k, f"t{k}", " ".join(words), None if k % 17 == 0 else "" if k % 13 == 0 else f"d{k % 4}", "c", k % 9))
+    d = spark.createDataFrame(rows, "id long, title string, text string, dept string, category string, activity long")
+    monkeypatch.setattr(term_index, "BLOCK", 40)
+    r = similarity.content_report(d)
+    pairs = similarity.described_pairs(term_index.TermVectors.of(similarity.representatives(d, "id", "text").select("id", "text")), d, 0.7).cache()
+    nodes = similarity.network_nodes(pairs)
+    want = {
+        "counts": similarity.counts(pairs),
+        "across": similarity.cross_department(pairs).select("id_1", "id_2", "score", "dept_1", "dept_2"),
+        "consolidation": similarity.consolidation(pairs),
+        "departments": similarity.department_matrix(pairs),
+        "nodes": nodes,
+        "edges": similarity.network_edges(pairs, nodes),
+    }
+    n = pairs.count()
+    assert n > 500
+    for k, w in want.items():
+        assert sorted(map(str, r[k].collect())) == sorted(map(str, w.collect())), k
+    assert {(x["part"], x["n"]) for x in r["totals"].collect()} == {("pairs", n), ("duplicates", pairs.where("score >= 0.8").count())}
+    summary = similarity.pair_summary(term_index.TermVectors.of(d.select("id", "text")), d, 0.7)
+    assert summary.where("part in ('group', 'degree')").count() < n / 2
+    empty = similarity.content_report(d.limit(0))
+    assert empty["counts"].first()["pairs"] == 0 and empty["nodes"].count() == empty["edges"].count() == 0

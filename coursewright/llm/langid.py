@@ -231,8 +231,8 @@ def fit_chains(lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3,
     return model
 
 
-def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str, str]]:
-    """At most ``most`` (language, line) pairs of ``doc_id, text, lang``, the same share (20 at least) for each language.
+def sampled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> DataFrame | None:
+    """At most ``most`` rows ``lang, line`` of ``doc_id, text, lang``, the same share (20 at least) for each language; None if no row tells a language.
 
     Documents are drawn by the hash of their id, and lines of those by their
     own hash, so the sample does not depend on partitions. A line is cut into
@@ -241,7 +241,7 @@ def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str,
     known = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
     n = known.select("lang").distinct().count()
     if not n:
-        return []
+        return None
     share = max(20, most // n)
     # only languages and hashes are ranked, and only the first rows of each language leave a task; texts stay where they are
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -254,8 +254,13 @@ def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str,
         .where(F.col("line").rlike(r"\p{L}"))
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line"))
-    rows = pieces.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "line").collect()
-    return sorted((r["lang"], r["line"]) for r in rows)
+    return pieces.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "line")
+
+
+def labelled_lines(docs: DataFrame, most: int = SAMPLE_LINES) -> list[tuple[str, str]]:
+    """The rows of ``sampled_lines`` in order."""
+    rows = sampled_lines(docs, most)
+    return sorted((r["lang"], r["line"]) for r in rows.collect()) if rows is not None else []
 
 
 def _features_of_all(words: list[str], part: int = 8_000) -> np.ndarray:
@@ -347,9 +352,27 @@ def label_texts(docs: DataFrame, model: ChainModel, id_col: str = "doc_id", text
 
 
 def fit_language_model(docs: DataFrame, folds: int = 5, held: int = 0) -> ChainModel:
-    """The model fitted on the documents outside fold ``held``."""
-    train = docs.select("doc_id", "text", "lang").where(fold("doc_id", folds) != held)
-    return fit_chains(labelled_lines(train))
+    """The model fitted on the documents outside fold ``held``.
+
+    It is fitted in a task that reads the sample, of bounded size, so that the
+    driver holds neither lines nor what fitting takes, only the weights.
+    """
+    rows = sampled_lines(docs.select("doc_id", "text", "lang").where(fold("doc_id", folds) != held))
+    if rows is None:
+        return fit_chains([])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        if lines:
+            m = fit_chains(lines)
+            yield pa.RecordBatch.from_arrays([pa.array([m.languages], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (m.weights, m.transitions))], names=["languages", "weights", "transitions"])
+
+    made = rows.repartition(1).mapInArrow(fit, "languages array<string>, weights binary, transitions binary").first()
+    if made is None:
+        return fit_chains([])
+    n = len(made["languages"])
+    weights, transitions = (np.frombuffer(made[c], np.float32).reshape(-1, n) for c in ("weights", "transitions"))
+    return ChainModel(list(made["languages"]), weights, transitions)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

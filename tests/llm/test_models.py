@@ -292,6 +292,17 @@ def test_language(spark):
     assert nothing.count() == 0
 
 
+def test_language_model_is_not_fitted_on_the_driver(spark, monkeypatch):
+    rows = [(k, f"{'der die und nicht' if k % 2 else 'the and with not'} {k}\nzwei two {k % 7}", ("en", "de")[k % 2]) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = langid.fit_chains(langid.labelled_lines(d.where(langid.fold("doc_id", 5) != 0)))
+    here = []
+    monkeypatch.setattr(langid, "fit_chains", lambda lines, fit=langid.fit_chains: here.append(len(lines)) or fit(lines))
+    got = langid.fit_language_model(d)
+    assert not any(here) and got.languages == want.languages == ["de", "en"]
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.transitions, want.transitions)
+
+
 def test_blocks_of_a_chain_pass_messages_on():
     rng = np.random.default_rng(8)
     lengths = np.array([1, 64, 65, 300, 7, 128, 2000])

@@ -228,3 +228,23 @@ def test_a_report_stores_no_pairs(spark, monkeypatch):
     assert summary.where("part in ('group', 'degree')").count() < n / 2
     empty = similarity.content_report(d.limit(0))
     assert empty["counts"].first()["pairs"] == 0 and empty["nodes"].count() == empty["edges"].count() == 0
+
+
+@pytest.mark.parametrize("repeated", [1 << 18, 0])
+def test_distinct_texts_are_not_shuffled(spark, monkeypatch, repeated):
+    rnd = random.Random(5)
+    rows = [(k, f"text {k} {rnd.random()}") for k in range(200)]
+    rows += [(900 + k, rows[k % 20][1]) for k in range(60)] + [(3, rows[3][1]), (3, "another"), (None, "another"), (None, "nobody's"), (5, ""), (6, ""), (7, None)]
+    d = spark.createDataFrame(rows, "doc int, t string")
+    want = {}
+    for k, t in rows:
+        if t is not None:
+            least, n = want.get(t, (None, 0))
+            want[t] = (k if least is None else least if k is None else min(k, least), n + 1)
+    monkeypatch.setattr(similarity, "REPEATED", repeated)
+    r = similarity.representatives(d, "doc", "t")
+    assert {x["text"]: (x["id"], x["copies"]) for x in r.collect()} == want and r.count() == len(want)
+    # texts that no other row has leave the plan before the one exchange of texts
+    p = plan(r).split("Initial Plan")[-1]
+    assert p.count("Exchange hashpartitioning(text") == 1 and ("LeftAnti" in p) == bool(repeated), p
+    assert not repeated or p.index("LeftAnti") < p.index("LeftSemi") and p.index("Exchange hashpartitioning(text") < p.index("LeftSemi"), p

@@ -170,15 +170,20 @@ def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
 def department_overlap(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """TF-IDF cosine of each pair of departments' texts, with idf over just the two.
 
-    A term of both weighs 1, of one alone ln(3/2) + 1. With a department's
-    squared sums known, only shared terms are joined.
+    A term of both weighs 1, of one alone ln(3/2) + 1. Texts are read and
+    counted once: a term's departments are put side by side in one row, which
+    gives its pairs, and each department with itself for the squared sums.
+    Such a row holds as many counts as there are departments.
     """
     tf = exploded_tokens(docs.where("dept is not null"), "text", "dept").groupBy("dept", "term").agg(F.count("*").cast("double").alias("tf"))
-    squares = tf.groupBy("dept").agg(F.sum(F.col("tf") * F.col("tf")).alias("s"))
-    a, b = tf.select(F.col("dept").alias("dept_1"), "term", F.col("tf").alias("x")), tf.select(F.col("dept").alias("dept_2"), "term", F.col("tf").alias("y"))
-    shared = a.join(b, "term").where("dept_1 < dept_2").groupBy("dept_1", "dept_2").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("terms"))
+    of_term = tf.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("dept", "tf"))).alias("e"))
+    first = of_term.select("e", F.posexplode("e").alias("k", "a"))
+    pairs = first.select("a", F.explode(F.slice("e", F.col("k") + 1, F.size("e"))).alias("b")).select(F.col("a.dept").alias("dept_1"), F.col("b.dept").alias("dept_2"), F.col("a.tf").alias("x"), F.col("b.tf").alias("y"))
+    total = lambda x, y: F.sum(F.col(x) * F.col(y))
+    d = pairs.groupBy("dept_1", "dept_2").agg(total("x", "y").alias("dot"), total("x", "x").alias("xx"), total("y", "y").alias("yy"), F.count("*").alias("terms"))
+    own = F.when(F.col("dept_1") == F.col("dept_2"), F.col("xx"))
+    d = d.withColumns({f"s{k}": F.max(own).over(Window.partitionBy(f"dept_{k}")) for k in (1, 2)}).where("dept_1 < dept_2")
     k = 1.4054651081081644**2
-    d = shared.join(squares.toDF("dept_1", "s1"), "dept_1").join(squares.toDF("dept_2", "s2"), "dept_2")
     norm = lambda s, own: F.sqrt(F.col(own) + k * (F.col(s) - F.col(own)))
     out = d.select("dept_1", "dept_2", "terms", F.round(F.try_divide(F.col("dot"), norm("s1", "xx") * norm("s2", "yy")), 6).alias("similarity"))
     return out.where(F.col("similarity") > least)

@@ -434,3 +434,30 @@ def test_temporary_tables_go(spark):
         raise RuntimeError
     assert not Path(folder.removeprefix("file:")).exists()
     assert storage.stored(spark.range(3)).count() == 3
+
+
+def test_department_overlap_reads_texts_once(spark, tmp_path):
+    """Pairs as by brute force, from one reading of the texts and no join of their counts."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(rng.choice(["a", "b", "c", "", None]), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(60)]
+    rows += [("d", "rare2 rare3"), ("e", None), ("f", ""), ("g", "w1 " * 50), ("h", "rare2")]
+    spark.createDataFrame(rows, "dept string, text string").write.parquet(str(tmp_path / "docs"))
+    found = profile.department_overlap(spark.read.parquet(str(tmp_path / "docs")), 0.01)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    counts = collections.defaultdict(collections.Counter)
+    for dept, text in rows:
+        if dept is not None:
+            counts[dept].update((text or "").split())
+    want = {}
+    for x in counts:
+        for y in counts:
+            both = counts[x].keys() & counts[y].keys()
+            if x < y and both:
+                dot = sum(counts[x][t] * counts[y][t] for t in both)
+                norm = lambda d: math.sqrt(sum((n * (1 if t in both else math.log(1.5) + 1)) ** 2 for t, n in counts[d].items()))
+                want[x, y] = (len(both), round(dot / norm(x) / norm(y), 6))
+    got = {(r["dept_1"], r["dept_2"]): (r["terms"], r["similarity"]) for r in found.collect()}
+    assert got.keys() == {k for k, v in want.items() if v[1] > 0.01} and len(got) > 8
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 2e-6 for k in got)

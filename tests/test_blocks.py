@@ -248,3 +248,42 @@ def test_distinct_texts_are_not_shuffled(spark, monkeypatch, repeated):
     p = plan(r).split("Initial Plan")[-1]
     assert p.count("Exchange hashpartitioning(text") == 1 and ("LeftAnti" in p) == bool(repeated), p
     assert not repeated or p.index("LeftAnti") < p.index("LeftSemi") and p.index("Exchange hashpartitioning(text") < p.index("LeftSemi"), p
+
+
+def shared_texts(spark, n=150):
+    """Courses many of whose texts are alike, with departments that are null or empty."""
+    rnd = random.Random(2)
+    base = [" ".join(f"w{rnd.randrange(40)}" for _ in range(12)) for _ in range(6)]
+    rows = []
+    for k in range(n):
+        words = base[k % 6].split()
+        words[rnd.randrange(12)] = f"w{rnd.randrange(60)}"
+        rows.append(((k * 37) % 1009, f"t{k}", " ".join(words), None if k % 17 == 0 else "" if k % 13 == 0 else f"d{k % 4}", None if k % 19 == 0 else f"c{k % 3}", k % 9))
+    return spark.createDataFrame(rows, "id long, title string, text string, dept string, category string, activity long")
+
+
+def counting(monkeypatch):
+    """How often pairs of all blocks are computed."""
+    runs, pairs = [], term_index.block_pairs
+    monkeypatch.setattr(term_index, "block_pairs", lambda *a, **k: runs.append(1) or pairs(*a, **k))
+    return runs
+
+
+def same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_a_heatmap_finds_pairs_once_and_lists_none(spark, monkeypatch):
+    d = shared_texts(spark)
+    monkeypatch.setattr(term_index, "BLOCK", 40)
+    v = term_index.TermVectors.of(d.select("id", "text"))
+    want = similarity.department_matrix(similarity.described_pairs(v, d, 0.7)).collect()
+    from coursewright.plans import text_queries
+
+    monkeypatch.setattr(text_queries, "_vectors", lambda *_: v)
+    monkeypatch.setattr(text_queries, "courses_text", lambda *_: d)
+    runs = counting(monkeypatch)
+    got = text_queries.dept_heatmap(spark, "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 15
+    # no pair is left to find when the rows are read
+    assert len(runs) == 1 and "PythonMapInArrow" not in plan(got) and "MapInArrow" not in plan(got)

@@ -287,3 +287,17 @@ def test_a_heatmap_finds_pairs_once_and_lists_none(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 15
     # no pair is left to find when the rows are read
     assert len(runs) == 1 and "PythonMapInArrow" not in plan(got) and "MapInArrow" not in plan(got)
+
+
+def test_flags_are_told_where_pairs_are_found(spark, monkeypatch):
+    d = shared_texts(spark)
+    monkeypatch.setattr(term_index, "BLOCK", 40)
+    v = term_index.TermVectors.of(d.select("id", "text"))
+    from coursewright.plans import text_queries
+
+    monkeypatch.setattr(text_queries, "_vectors", lambda *_: v)
+    monkeypatch.setattr(text_queries, "courses_text", lambda *_: d)
+    got = text_queries.tfidf_pairs(spark, "")
+    assert same(got, similarity.described_pairs(v, d, 0.7)) and got.where("is_cross_dept and not is_cross_category").count() > 10
+    # departments and categories do not leave the task with each pair
+    assert "dept_" not in plan(got) and "category_" not in plan(got)

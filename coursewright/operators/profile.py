@@ -20,7 +20,7 @@ from coursewright.operators.cells import vector_pairs
 from coursewright.operators.graph import connected_components
 from coursewright.operators.metrics import distinct_counts, filled, to_rows
 from coursewright.operators.quantiles import quantiles, share_of, smallest
-from coursewright.operators.term_index import Grams, TermVectors, similar_pairs
+from coursewright.operators.term_index import Grams, TermVectors, folded_pairs
 
 
 def metadata_quality(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -204,30 +204,36 @@ def category_overlap(flagged: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
+def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of edges, each once, and the smallest that each is joined to."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        # roots learn of smaller ones, then every node takes its root's
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+        some = label[x] != label[y]
+        x, y = x[some], y[some]
+    return ids, ids[label]
+
+
 def _forest(batches: Iterator[pa.RecordBatch], src: str, dst: str) -> Iterator[pa.RecordBatch]:
     """Edges between the same nodes that join what a task's edges join: one a node at most."""
     a, b = np.zeros(0, object), np.zeros(0, object)
 
     def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = place[: len(a)], place[len(a) :]
-        label = np.arange(len(ids))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            # roots learn of smaller ones, then every node takes its root's
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            while (new[new] != new).any():
-                new = new[new]
-            new = new[label]
-            if (new == label).all():
-                break
-            label = new
-            some = label[x] != label[y]
-            x, y = x[some], y[some]
-        other = label != np.arange(len(ids))
-        return ids[other], ids[label[other]]
+        ids, roots = _rooted(a, b)
+        other = ids != roots
+        return ids[other], roots[other]
 
     for t in batches:
         x, y = (t.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -278,10 +284,78 @@ def vector_clusters(vectors: DataFrame, threshold: float, least: int) -> DataFra
 def text_clusters(docs: DataFrame, radius: float = 0.3, least: int = 5, most: int = 3, vocabulary: int = 5000) -> DataFrame:
     """DBSCAN over ``id, text``: TF-IDF vectors over runs of up to ``most`` words, neighbours within a cosine distance of ``radius``.
 
-    Texts without a term of the vocabulary are noise.
+    Texts without a term of the vocabulary are noise. The clusters are those
+    of ``density_clusters``, but most links are never multiplied out: blocks
+    that are compared with themselves and the next one tell many cores and
+    join most of them. Rows that are not known as cores by then are compared
+    with all, to count their neighbours; then cores with those of other
+    clusters and with other rows. Blocks of one cluster alone are not compared.
     """
     v = TermVectors.of(docs, most, vocabulary)
-    return density_clusters(docs, similar_pairs(v, 1 - radius), least, lambda core: similar_pairs(v.carrying(core), 1 - radius))
+    v = TermVectors(cut_lineage(v.rows), v.idf)
+    kind, near, need = dict(v.rows.dtypes)["id"], 1 - radius, max(1, least - 1)
+
+    def joined(x: pa.Table, y: pa.Table, p: np.ndarray, q: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        """Rows with enough of the given neighbours, and a row that each is joined to by links among them."""
+        ids = pa.concat_arrays([part for t in ([x] if x is y else [x, y]) for part in t["id"].chunks])
+        q = q if x is y else q + x.num_rows
+        core = np.bincount(np.append(p, q), minlength=len(ids)) >= need
+        root, some = np.arange(len(ids)), core[p] & core[q]
+        ends, roots = _rooted(p[some], q[some])
+        root[ends] = roots
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.flatnonzero(core))), ids.take(pa.array(root[core]))], names=["id", "other"])
+
+    first = cut_lineage(folded_pairs(v, near, joined, f"id {kind}, other {kind}", chained=True))
+    known = first.select("id").distinct().join(connected_components(first, "id", "other").toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    known = cut_lineage(known)
+
+    def unknown(t: pa.Table) -> np.ndarray:
+        return t["unknown"].to_numpy() == 1
+
+    def counted(x: pa.Table, y: pa.Table, p: np.ndarray, q: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        ends = [(t, np.where(unknown(t), np.bincount(k, minlength=t.num_rows), 0)) for t, k in ((x, p), (y, q))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([t["id"].combine_chunks().take(pa.array(np.flatnonzero(n))) for t, n in ends]), pa.array(np.concatenate([n[n > 0] for _, n in ends]))], names=["id", "n"])
+
+    def one_unknown(x: pa.Table, y: pa.Table) -> Callable[[slice], np.ndarray]:
+        own, other = unknown(x), unknown(y)
+        return lambda rows: own[rows, None] | other[None, :]
+
+    rest = v.carrying(known.select("id", F.lit(0).alias("unknown")))
+    rest = TermVectors(rest.rows.withColumn("unknown", F.coalesce("unknown", F.lit(1))), v.idf)
+    degree = folded_pairs(rest, near, counted, f"id {kind}, n long", one_unknown, order=("unknown", "id"), meets=lambda low_i, high_i, low_j, high_j: (high_i == 1) | (high_j == 1))
+    core = cut_lineage(known.union(degree.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("id", F.col("id").alias("label"))))
+
+    def places(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the rows' clusters, one for all rows that are no cores."""
+        codes = pa.concat_arrays([part for t in (x, y) for part in t["place"].chunks]).dictionary_encode().indices.to_numpy()
+        return codes[: x.num_rows], codes[x.num_rows :]
+
+    def apart(x: pa.Table, y: pa.Table) -> Callable[[slice], np.ndarray]:
+        own, other = places(x, y)
+        return lambda rows: own[rows, None] != other[None, :]
+
+    def linked(x: pa.Table, y: pa.Table, p: np.ndarray, q: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        """Clusters that links join, and other rows with the cores next to them."""
+        ids, labels = ([t[c].combine_chunks() for t in (x, y)] for c in ("id", "label"))
+        cores = [c.is_valid().to_numpy(zero_copy_only=False) for c in labels]
+        own, other = places(x, y)
+        some = cores[0][p] & cores[1][q]
+        numbers, at = np.unique(np.append(own, other), return_index=True)
+        ends, roots = _rooted(own[p[some]], other[q[some]])
+        label = lambda n: pa.concat_arrays(labels).take(pa.array(at[np.searchsorted(numbers, n)]))
+        found = [(label(ends), label(roots), False)]
+        for k, a, b in ((0, p, q), (1, q, p)):
+            s = ~some & cores[k][a]
+            found.append((ids[1 - k].take(pa.array(b[s])), ids[k].take(pa.array(a[s])), True))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), pa.array([f[2] for f in found for _ in range(len(f[0]))], pa.bool_())], names=["id", "other", "border"])
+
+    rows = v.carrying(core).rows.withColumn("place", F.when(F.col("label").isNotNull(), F.concat(F.lit("core "), F.col("label").cast("string"))).otherwise("none"))
+    same = lambda low_i, high_i, low_j, high_j: (low_i == high_i) & (low_j == high_j) & (low_i == low_j)
+    links = cut_lineage(folded_pairs(TermVectors(rows, v.idf), near, linked, f"id {kind}, other {kind}, border boolean", apart, order=("place", "id"), meets=lambda *ends: ~same(*ends)))
+    comps = connected_components(links.where("not border"), "id", "other").toDF("label", "cluster")
+    cores = core.join(comps, "label", "left").select("id", F.coalesce("cluster", "label").alias("cluster"))
+    border = links.where("border").groupBy("id").agg(F.min("other").alias("other")).join(cores.toDF("other", "cluster"), "other").select("id", "cluster")
+    return docs.select("id").join(cores.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def stratified_sample(df: DataFrame, by: str | None, key: str, size: int = 10_000, groups: int = 20, least: int = 50, seed: int = 1) -> DataFrame:

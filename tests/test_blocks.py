@@ -301,3 +301,38 @@ def test_flags_are_told_where_pairs_are_found(spark, monkeypatch):
     assert same(got, similarity.described_pairs(v, d, 0.7)) and got.where("is_cross_dept and not is_cross_category").count() > 10
     # departments and categories do not leave the task with each pair
     assert "dept_" not in plan(got) and "category_" not in plan(got)
+
+
+def test_clusters_skip_pairs_of_one_cluster(spark, monkeypatch):
+    d = shared_texts(spark, 240)
+    monkeypatch.setattr(term_index, "BLOCK", 20)
+    v = term_index.TermVectors.of(d.select("id", "text"), 3)
+    want = profile.density_clusters(d, term_index.similar_pairs(v, 0.7), 5)
+    met, pairs = [], term_index.block_pairs
+
+    def seen(*a, **k):
+        found = pairs(*a, **k)
+        met.append((a[5], a[6] is not None, a[7]))
+        return found
+
+    monkeypatch.setattr(term_index, "block_pairs", seen)
+    got = profile.text_clusters(d.select("id", "text"))
+    assert same(got, want) and len({r["cluster"] for r in got.collect()}) > 3
+    # first neighbouring blocks alone, then only blocks that may add something
+    assert met == [((), False, True), (("unknown", "id"), True, False), (("place", "id"), True, False)]
+
+
+def test_blocks_that_are_apart_do_not_meet(spark):
+    import pyarrow as pa
+
+    from coursewright.operators.blocks import block_pairs
+
+    def compare(x, y, same):
+        a, b = (t["id"].to_pylist() for t in (x, y))
+        yield pa.RecordBatch.from_arrays([pa.array([min(a)]), pa.array([min(b)])], names=["x", "y"])
+
+    near = lambda low_i, high_i, low_j, high_j: (low_j <= high_i + 1) & (low_i <= high_j + 1)
+    met = block_pairs(spark.range(1000), lambda t: t, compare, "x long, y long", 20, ("id",), near).collect()
+    assert len(met) < 200 and all(abs(r["x"] - r["y"]) <= 21 for r in met) and {r["x"] for r in met if r["x"] == r["y"]}.issuperset({0})
+    chained = block_pairs(spark.range(1000), lambda t: t, compare, "x long, y long", 20, chained=True).collect()
+    assert 50 < len(chained) <= 2 * 60

@@ -336,3 +336,23 @@ def test_blocks_that_are_apart_do_not_meet(spark):
     assert len(met) < 200 and all(abs(r["x"] - r["y"]) <= 21 for r in met) and {r["x"] for r in met if r["x"] == r["y"]}.issuperset({0})
     chained = block_pairs(spark.range(1000), lambda t: t, compare, "x long, y long", 20, chained=True).collect()
     assert 50 < len(chained) <= 2 * 60
+
+
+def test_few_or_summed_pairs_equal_those_of_all_pairs(spark, monkeypatch):
+    d = shared_texts(spark)
+    monkeypatch.setattr(term_index, "BLOCK", 20)
+    v = term_index.TermVectors.of(d.select("id", "text"))
+    pairs = similarity.described_pairs(v, d, 0.7).cache()
+    steep = pairs.orderBy(similarity.F.desc("score")).limit(60).agg({"score": "min"}).first()[0]
+    monkeypatch.setattr(similarity, "STEEP", (1.0, steep, 0.71))
+    runs = counting(monkeypatch)
+    for part, made in (("across", similarity.cross_department), ("high", similarity.consolidation)):
+        best = similarity.best_pairs(v, d, 0.7 if part == "across" else 0.8, part)
+        columns = ["id_1", "id_2", "score", *(["dept_1", "dept_2"] if part == "across" else ["keep_course", "detail"])]
+        assert same(made(best).select(*columns), made(pairs)) and made(pairs).count() == (5 if part == "across" else 20)
+    # lower scores were not looked for once there were enough
+    assert steep > 0.8 and len(runs) <= 4
+    assert same(similarity.most_linked(v, 0.7), similarity.network_nodes(pairs))
+    want = pairs.where("is_cross_dept and score >= 0.8").count(), pairs.where("score > 0.85").count()
+    assert min(want) > 10 and tuple(similarity.duplicate_counts(v, d).first()) == want
+    assert str(similarity.counts_of(similarity.pair_groups(v, d, 0.7)).first()) == str(similarity.counts(pairs).first())
